@@ -6,14 +6,13 @@ of them reaches the parquet scan as a pushed filter.
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stockledger.params import LedgerWindow, as_day, as_moment
+from stockledger.params import LedgerWindow, TimeLike, as_day, as_moment
 
-TimeLike = str | date | datetime
 
 
 def moment(value: TimeLike) -> Column:

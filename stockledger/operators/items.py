@@ -47,6 +47,10 @@ def item_units(source: Source) -> DataFrame:
     )
 
 
+def item_factors(source: Source) -> DataFrame:
+    return item_units(source).select(*ITEM, "factors")
+
+
 def factor_of(kd_satuan: Column, zero: str = ZERO_IS_ONE) -> Column:
     """Conversion factor of a unit, from the ``factors`` of a joined item."""
     return unit_factor(F.col("factors")[kd_satuan], zero)
@@ -54,7 +58,7 @@ def factor_of(kd_satuan: Column, zero: str = ZERO_IS_ONE) -> Column:
 
 def item_master(source: Source) -> DataFrame:
     """Active items with all their names; an item lacking any dimension is left out."""
-    units = item_units(source).where("sale_unit is not null")
+    units = item_units(source).where("sale_unit is not null").select(*ITEM, "sale_unit")
     active = source.table("m_kategori").where("status <> 2")
 
     def named(table: str, key: str, name: str) -> DataFrame:
@@ -84,7 +88,6 @@ def item_master(source: Source) -> DataFrame:
             "warna",
             F.col("sale_unit.harga_jual").alias("harga_jual"),
             F.col("sale_unit.kd_satuan").alias("kd_satuan_terkecil"),
-            "factors",
         )
     )
 

@@ -6,7 +6,10 @@ from dataclasses import dataclass, replace
 from datetime import date, datetime
 
 
-def as_day(value: str | date | datetime) -> date:
+TimeLike = str | date | datetime
+
+
+def as_day(value: TimeLike) -> date:
     if isinstance(value, datetime):
         return value.date()
     if isinstance(value, date):
@@ -14,7 +17,7 @@ def as_day(value: str | date | datetime) -> date:
     return datetime.fromisoformat(value).date()
 
 
-def as_moment(value: str | date | datetime) -> datetime:
+def as_moment(value: TimeLike) -> datetime:
     if isinstance(value, datetime):
         return value
     if isinstance(value, date):

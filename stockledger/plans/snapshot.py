@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockledger.functions.numbers import ZERO_IS_ZERO, to_double
 from stockledger.functions.text import or_blank
-from stockledger.operators.items import ITEM, division_names, factor_of, item_master
+from stockledger.operators.items import ITEM, division_names, factor_of, item_factors, item_master
 from stockledger.operators.movements import (
     HISTORY_POLICY,
     SNAPSHOT_POLICY,
@@ -30,14 +30,13 @@ def stock_snapshot(source: Source, window: LedgerWindow) -> DataFrame:
     ledger = movements(source, window, SNAPSHOT_POLICY)
     items = item_master(source)
     stock = net_stock(
-        net_by_unit(ledger, *STOCK).join(items.select(*ITEM, "factors"), ITEM),
+        net_by_unit(ledger, *STOCK).join(item_factors(source), ITEM, "left"),
         factor_of(F.col("kd_satuan")),
         *STOCK,
     )
     priced = (
         items.join(last_buy_price(source), ITEM, "left")
         .join(weighted_average_price(source), ITEM, "left")
-        .drop("factors")
     )
     zero = F.lit(0)
     return (
@@ -74,14 +73,13 @@ def stock_as_of(source: Source, window: LedgerWindow) -> DataFrame:
     items = item_master(source)
     # The master keeps active categories only, which settles the category rule of the ledger.
     stock = net_stock(
-        net_by_unit(ledger, *STOCK, null_is_zero=False).join(items.select(*ITEM, "factors"), ITEM),
+        net_by_unit(ledger, *STOCK, null_is_zero=False).join(item_factors(source), ITEM, "left"),
         factor_of(F.col("kd_satuan"), ZERO_IS_ZERO),
         *STOCK,
     )
     priced = (
         items.join(last_buy_price(source), ITEM, "left")
         .join(opening_costs(source), ITEM, "left")
-        .drop("factors")
     )
     return (
         stock.join(priced, ITEM)

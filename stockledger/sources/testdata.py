@@ -168,12 +168,19 @@ class TestdataSource(Source):
         lines = lineitem.where(F.col("l_returnflag") == flag)
         return lines if status is None else lines.where(F.col("l_linestatus") == status)
 
+    def _owners(self, table: str, nation_key: str) -> DataFrame:
+        """Customers or suppliers with the site their nation belongs to."""
+        owners = self._raw(table)
+        if not self.by_region:
+            return owners.withColumn("server_key", F.lit(self.server_key))
+        nation = self._nation().select("n_nationkey", "server_key")
+        return owners.join(nation, F.col(nation_key) == F.col("n_nationkey"))
+
     def _orders(self) -> DataFrame:
-        customer, nation = self._raw("customer"), self._nation()
+        customer = self._owners("customer", "c_nationkey")
         return (
             self._raw("orders")
-            .join(customer, F.col("o_custkey") == customer.c_custkey)
-            .join(nation, F.col("c_nationkey") == nation.n_nationkey)
+            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .select(
                 "o_orderkey",
                 "o_orderstatus",
@@ -207,8 +214,7 @@ class TestdataSource(Source):
             .groupBy("l_orderkey", "l_suppkey")
             .agg(F.max("l_shipdate").alias("tanggal_server"))
         )
-        supplier, nation = self._raw("supplier"), self._nation()
-        site = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
+        site = self._owners("supplier", "s_nationkey").select(
             "s_suppkey", "server_key", F.col("s_nationkey").cast("string").alias("kd_divisi")
         )
         return (
@@ -256,12 +262,9 @@ class TestdataSource(Source):
 
     def _locate(self, lines: DataFrame, by_supplier: bool) -> DataFrame:
         """Give each line the site of its document."""
-        nation = self._nation().select("n_nationkey", "server_key")
         if by_supplier:
-            owner = self._raw("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            return lines.join(
-                owner.select("s_suppkey", "server_key"), F.col("l_suppkey") == F.col("s_suppkey")
-            )
+            owner = self._owners("supplier", "s_nationkey").select("s_suppkey", "server_key")
+            return lines.join(owner, F.col("l_suppkey") == F.col("s_suppkey"))
         owner = self._orders().select("o_orderkey", F.col("customer_site").alias("server_key"))
         return lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
 
