@@ -40,8 +40,19 @@ def query(fn: Query) -> Query:
     return fn
 
 
+_sources: dict[tuple, TestdataSource] = {}
+
+
+def _source(spark: SparkSession, sf_dir: str, by_region: bool = False) -> TestdataSource:
+    """One source per session and folder: its tables are declared once, and read each time."""
+    key = (spark, sf_dir, by_region)
+    if key not in _sources:
+        _sources[key] = TestdataSource(spark, sf_dir, by_region)
+    return _sources[key]
+
+
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.stock_snapshot(TestdataSource(spark, sf_dir), COUNTS)
+    return snapshot.stock_snapshot(_source(spark, sf_dir), COUNTS)
 
 
 def _doubles(df: DataFrame, *names: str) -> DataFrame:
@@ -54,12 +65,12 @@ def _doubles(df: DataFrame, *names: str) -> DataFrame:
 @query
 def division_scan(spark, sf_dir):
     statement = "SELECT kd_divisi, nama FROM {m_divisi} WHERE keterangan LIKE :region"
-    return run_statement(TestdataSource(spark, sf_dir), statement, {"region": "A%"})
+    return run_statement(_source(spark, sf_dir), statement, {"region": "A%"})
 
 
 @query
 def unit_scan(spark, sf_dir):
-    units = TestdataSource(spark, sf_dir).table("m_barang_satuan")
+    units = _source(spark, sf_dir).table("m_barang_satuan")
     return units.select("kd_barang", "kd_satuan", F.col("jumlah").cast("double").alias("jumlah"))
 
 
@@ -68,23 +79,23 @@ def unit_scan(spark, sf_dir):
 
 @query
 def master_items(spark, sf_dir):
-    master = items.item_master(TestdataSource(spark, sf_dir))
+    master = items.item_master(_source(spark, sf_dir))
     return _doubles(master, "harga_jual")
 
 
 @query
 def last_buy_price(spark, sf_dir):
-    return _doubles(purchases.last_buy_price(TestdataSource(spark, sf_dir)), "harga_beli")
+    return _doubles(purchases.last_buy_price(_source(spark, sf_dir)), "harga_beli")
 
 
 @query
 def weighted_avg_price(spark, sf_dir):
-    return _doubles(purchases.weighted_average_price(TestdataSource(spark, sf_dir)), "harga_avg")
+    return _doubles(purchases.weighted_average_price(_source(spark, sf_dir)), "harga_avg")
 
 
 @query
 def net_buy_price(spark, sf_dir):
-    layers = costing.purchase_layers(TestdataSource(spark, sf_dir))
+    layers = costing.purchase_layers(_source(spark, sf_dir))
     return layers.select(
         "no_transaksi",
         "line_no",
@@ -97,7 +108,7 @@ def net_buy_price(spark, sf_dir):
 
 @query
 def inbound_layers(spark, sf_dir):
-    layers = costing.inbound_layers(TestdataSource(spark, sf_dir), COUNTS)
+    layers = costing.inbound_layers(_source(spark, sf_dir), COUNTS)
     return layers.select(
         "kd_barang",
         dates.as_text(F.col("tanggal")).alias("tanggal"),
@@ -109,7 +120,7 @@ def inbound_layers(spark, sf_dir):
 
 @query
 def stock_per_item(spark, sf_dir):
-    return _doubles(costing.stock_per_item(TestdataSource(spark, sf_dir), COUNTS), "stok_akhir")
+    return _doubles(costing.stock_per_item(_source(spark, sf_dir), COUNTS), "stok_akhir")
 
 
 # ---- movements -------------------------------------------------------------
@@ -118,7 +129,7 @@ def stock_per_item(spark, sf_dir):
 def _movement_query(name: str, *branches: movements.Branch) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         policy = movements.HISTORY_POLICY.only(*branches)
-        ledger = movements.movements(TestdataSource(spark, sf_dir), COUNTS, policy)
+        ledger = movements.movements(_source(spark, sf_dir), COUNTS, policy)
         return ledger.groupBy("kd_divisi", "kd_barang", "transaksi").agg(
             F.count(F.lit(1)).alias("baris"),
             F.sum("debet").cast("double").alias("debet"),
@@ -140,7 +151,7 @@ _movement_query("mv_returns", movements.SALE_RETURN, movements.PURCHASE_RETURN)
 @query
 def ledger_all(spark, sf_dir):
     ledger = movements.movements(
-        TestdataSource(spark, sf_dir), LedgerWindow(CLOSING), movements.HISTORY_POLICY
+        _source(spark, sf_dir), LedgerWindow(CLOSING), movements.HISTORY_POLICY
     )
     return ledger.groupBy("branch_no", "transaksi", "kd_divisi").agg(
         F.count(F.lit(1)).alias("baris"),
@@ -159,17 +170,17 @@ def snapshot_full(spark, sf_dir):
 
 @query
 def snapshot_orders_only(spark, sf_dir):
-    return snapshot.stock_snapshot(TestdataSource(spark, sf_dir), ORDERS)
+    return snapshot.stock_snapshot(_source(spark, sf_dir), ORDERS)
 
 
 @query
 def stock_as_of(spark, sf_dir):
-    return snapshot.stock_as_of(TestdataSource(spark, sf_dir), ORDERS)
+    return snapshot.stock_as_of(_source(spark, sf_dir), ORDERS)
 
 
 @query
 def multi_server_snapshot(spark, sf_dir):
-    return snapshot.stock_snapshot(TestdataSource(spark, sf_dir, by_region=True), COUNTS)
+    return snapshot.stock_snapshot(_source(spark, sf_dir, by_region=True), COUNTS)
 
 
 # ---- delta -----------------------------------------------------------------
@@ -177,24 +188,24 @@ def multi_server_snapshot(spark, sf_dir):
 
 @query
 def delta_rows(spark, sf_dir):
-    rows = delta.delta_rows(TestdataSource(spark, sf_dir), FEED)
+    rows = delta.delta_rows(_source(spark, sf_dir), FEED)
     return _doubles(rows, "debet", "kredit")
 
 
 @query
 def delta_by_source(spark, sf_dir):
-    return delta.delta_by_source(delta.delta_rows(TestdataSource(spark, sf_dir), FEED))
+    return delta.delta_by_source(delta.delta_rows(_source(spark, sf_dir), FEED))
 
 
 def _base_and_delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    source = TestdataSource(spark, sf_dir)
+    source = _source(spark, sf_dir)
     base = snapshot.stock_snapshot(source, BASE)
     return base, delta.accumulate(delta.delta_rows(source, FEED), source)
 
 
 @query
 def delta_accum(spark, sf_dir):
-    source = TestdataSource(spark, sf_dir)
+    source = _source(spark, sf_dir)
     return _doubles(delta.accumulate(delta.delta_rows(source, FEED), source), "delta_stok")
 
 
@@ -215,7 +226,7 @@ def _store(spark: SparkSession) -> SnapshotStore:
 @query
 def delta_refreshed_store(spark, sf_dir):
     """Full refresh, then a batch delta, through the snapshot store."""
-    source, store = TestdataSource(spark, sf_dir), _store(spark)
+    source, store = _source(spark, sf_dir), _store(spark)
     full_refresh(store, source, ORDERS, LAST_REFRESH)
     delta_refresh(store, source, ORDERS, END_OF_FEED)
     return store.read("main")
@@ -224,7 +235,7 @@ def delta_refreshed_store(spark, sf_dir):
 @query
 def delta_stream(spark, sf_dir):
     """Full refresh, then a stream of the lines, through the snapshot store."""
-    source, store = TestdataSource(spark, sf_dir), _store(spark)
+    source, store = _source(spark, sf_dir), _store(spark)
     full_refresh(store, source, ORDERS, LAST_REFRESH)
     lines = (
         spark.readStream.schema(source.lineitem.schema)
@@ -241,7 +252,7 @@ def delta_stream(spark, sf_dir):
 @query
 def snapshot_info(spark, sf_dir):
     """Stored state of each site after a full refresh and a delta."""
-    source, store = TestdataSource(spark, sf_dir), _store(spark)
+    source, store = _source(spark, sf_dir), _store(spark)
     full_refresh(store, source, ORDERS, LAST_REFRESH)
     delta_refresh(store, source, ORDERS, END_OF_FEED)
     return store.info().select(
@@ -293,7 +304,7 @@ _search_query("search_division", nama="red%", divisi="nation_7")
 
 
 def _history(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return history.movement_history(TestdataSource(spark, sf_dir), CLOSING, **options)
+    return history.movement_history(_source(spark, sf_dir), CLOSING, **options)
 
 
 @query

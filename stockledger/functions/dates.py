@@ -41,12 +41,13 @@ def in_days(tanggal: Column, first: TimeLike, last: TimeLike) -> Column:
 
 
 def ingest_bounds(tanggal_server: Column, window: LedgerWindow) -> Column | None:
+    """A document without an ingest time is never news, so it belongs to the base."""
     bounds = None
     if window.ingested_after is not None:
         bounds = tanggal_server > moment(window.ingested_after)
     if window.ingested_until is not None:
         until = tanggal_server <= moment(window.ingested_until)
-        bounds = until if bounds is None else bounds & until
+        bounds = (until | tanggal_server.isNull()) if bounds is None else bounds & until
     return bounds
 
 

@@ -56,6 +56,19 @@ ALL = (
 NEED_ACTIVE_CATEGORY = (OPENING, SALE)
 
 
+# Columns a document gives to its movement rows.
+DOCUMENT = (
+    "server_key",
+    "kd_divisi",
+    "kd_barang",
+    "tanggal",
+    "tanggal_server",
+    "no_transaksi",
+    "line_no",
+    "kd_satuan",
+)
+
+
 @dataclass(frozen=True)
 class LedgerPolicy:
     """Which branches a product reads, and which purchase statuses count (None: all)."""
@@ -75,34 +88,28 @@ HISTORY_POLICY = LedgerPolicy(ALL, purchase_status=(0, 1))
 DELTA_POLICY = LedgerPolicy(tuple(b for b in ALL if b.source is not None))
 
 
-def _zero() -> Column:
-    return F.lit(0).cast(QTY)
-
-
-def _side(branch: Branch, qty: Column) -> list[Column]:
-    debet, kredit = (qty, _zero()) if branch.inbound else (_zero(), qty)
-    return [
-        F.lit(branch.no).alias("branch_no"),
-        F.lit(branch.label).alias("transaksi"),
-        F.lit(branch.source).cast("string").alias("sumber"),
-        debet.alias("debet"),
-        kredit.alias("kredit"),
-    ]
-
-
-def _rows(df: DataFrame, kd_divisi: str, document: str, harga: Column, tail: list) -> DataFrame:
-    return df.select(
-        "server_key",
-        F.col(kd_divisi).alias("kd_divisi"),
-        "kd_barang",
-        "tanggal",
-        "tanggal_server",
-        F.col(document).alias("no_transaksi"),
-        "line_no",
-        "kd_satuan",
-        harga.cast(PRICE).alias("harga"),
-        *tail,
-    )
+ZERO = f"cast(0 AS {QTY})"
+
+
+def _text(value: str | None) -> str:
+    return "cast(NULL AS string)" if value is None else f"'{value}'"
+
+
+def _side(branch: Branch, qty: str) -> dict[str, str]:
+    """What a branch adds to a document row: its tags, and the quantity on one side."""
+    return {
+        "branch_no": str(branch.no),
+        "transaksi": _text(branch.label),
+        "sumber": _text(branch.source),
+        "debet": qty if branch.inbound else ZERO,
+        "kredit": ZERO if branch.inbound else qty,
+    }
+
+
+def _rows(df: DataFrame, harga: str, side: dict[str, str], **columns: str) -> DataFrame:
+    """Movement rows; ``columns`` says where a column of another name or value comes from."""
+    named = {c: columns.get(c, c) for c in DOCUMENT} | {"harga": f"cast({harga} AS {PRICE})"}
+    return df.selectExpr(*[f"{value} AS {name}" for name, value in (named | side).items()])
 
 
 def document_lines(
@@ -128,16 +135,16 @@ def opening(source: Source, window: LedgerWindow) -> DataFrame:
     The unit is left null: opening stock is kept in smallest units, so its factor is 1
     with or without a base unit. Histories put the unit's code in.
     """
-    rows = (
-        source.table("m_barang_divisi")
-        .withColumn("tanggal", dates.moment(window.closing_ts))
-        .withColumn("tanggal_server", F.lit(None).cast("timestamp_ntz"))
-        .withColumn("no_transaksi", F.lit("0"))
-        .withColumn("line_no", F.lit(None).cast("int"))
-        .withColumn("kd_satuan", F.lit(None).cast("string"))
+    closing = dates.moment(window.closing_ts)
+    return _rows(
+        source.table("m_barang_divisi").withColumn("tanggal", closing),
+        "harga_beli_awal",
+        _side(OPENING, "stok_awal"),
+        tanggal_server="cast(NULL AS timestamp_ntz)",
+        no_transaksi="'0'",
+        line_no="cast(NULL AS int)",
+        kd_satuan="cast(NULL AS string)",
     )
-    tail = _side(OPENING, F.col("stok_awal"))
-    return _rows(rows, "kd_divisi", "no_transaksi", F.col("harga_beli_awal"), tail)
 
 
 def transfers(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> DataFrame:
@@ -145,26 +152,19 @@ def transfers(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> Dat
     lines = document_lines(
         source, "t_mutasi_stok", "no_transaksi", window, "kd_divisi_asal", "kd_divisi_tujuan"
     )
-    sides = [
-        F.struct(F.col(division).alias("kd_divisi"), *_side(branch, F.col("qty")))
-        for branch, division in (
-            (TRANSFER_OUT, "kd_divisi_asal"),
-            (TRANSFER_IN, "kd_divisi_tujuan"),
-        )
-        if policy.wants(branch)
-    ]
-    exploded = lines.select(
-        "server_key",
-        "kd_barang",
-        "tanggal",
-        "tanggal_server",
-        "no_transaksi",
-        "line_no",
-        "kd_satuan",
-        F.explode(F.array(*sides)).alias("side"),
+    sides = []
+    for branch, division in (
+        (TRANSFER_OUT, "kd_divisi_asal"),
+        (TRANSFER_IN, "kd_divisi_tujuan"),
+    ):
+        if policy.wants(branch):
+            row = {"kd_divisi": division, **_side(branch, "qty")}
+            fields = ", ".join(f"'{name}', {value}" for name, value in row.items())
+            sides.append(f"named_struct({fields})")
+    both = lines.selectExpr(
+        *[c for c in DOCUMENT if c != "kd_divisi"], f"inline(array({', '.join(sides)}))"
     )
-    tail = [F.col(f"side.{c}") for c in ("branch_no", "transaksi", "sumber", "debet", "kredit")]
-    return _rows(exploded, "side.kd_divisi", "no_transaksi", F.lit(0), tail)
+    return _rows(both, "0", {c: c for c in _side(TRANSFER_IN, "qty")})
 
 
 def counts(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> DataFrame:
@@ -177,22 +177,15 @@ def counts(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> DataFr
         rows = rows.where(~adds)
     else:
         rows = rows.where(F.col("status").isNotNull())
-    rows = rows.withColumn("tanggal_server", F.lit(None).cast("timestamp_ntz")).withColumn(
-        "line_no", F.lit(None).cast("int")
+    inward, outward = _side(COUNT_IN, "qty"), _side(COUNT_OUT, "qty")
+    either = {
+        name: f"CASE WHEN status = 2 THEN {inward[name]} ELSE {outward[name]} END"
+        for name in inward
+    }
+    return _rows(
+        rows, "0", either, tanggal_server="cast(NULL AS timestamp_ntz)", line_no="cast(NULL AS int)"
     )
 
-    def pick(inward, outward) -> Column:
-        return F.when(adds, inward).otherwise(outward)
-
-    tail = [
-        pick(F.lit(COUNT_IN.no), F.lit(COUNT_OUT.no)).alias("branch_no"),
-        pick(F.lit(COUNT_IN.label), F.lit(COUNT_OUT.label)).alias("transaksi"),
-        F.lit(None).cast("string").alias("sumber"),
-        pick(F.col("qty"), _zero()).alias("debet"),
-        pick(_zero(), F.col("qty")).alias("kredit"),
-    ]
-    return _rows(rows, "kd_divisi", "no_transaksi", F.lit(0), tail)
-
 
 def purchases(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> DataFrame:
     lines = document_lines(
@@ -200,13 +193,12 @@ def purchases(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> Dat
     )
     if policy.purchase_status is not None:
         lines = lines.where(F.col("status").isin(*policy.purchase_status))
-    tail = _side(PURCHASE, F.col("qty"))
-    return _rows(lines, "kd_divisi", "no_transaksi", F.col("harga_beli"), tail)
+    return _rows(lines, "harga_beli", _side(PURCHASE, "qty"))
 
 
 def _plain(source, window, branch, name, key, price) -> DataFrame:
     lines = document_lines(source, name, key, window, "kd_divisi")
-    return _rows(lines, "kd_divisi", key, F.col(price), _side(branch, F.col("qty")))
+    return _rows(lines, price, _side(branch, "qty"), no_transaksi=key)
 
 
 def movements(

@@ -7,7 +7,6 @@ sources get it as a constant, so one job serves one site or all of them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QTY = "decimal(18,4)"
 PRICE = "decimal(18,2)"
@@ -141,12 +140,12 @@ def conform(df: DataFrame, columns: dict[str, str], server_key: str | None = Non
     picked = []
     for name, kind in columns.items():
         if name in present:
-            column = F.col(name) if present[name] == kind else F.col(name).cast(kind)
+            source = f"`{name}`" if present[name] == kind else f"cast(`{name}` AS {kind})"
         elif name == "server_key" and server_key is not None:
-            column = F.lit(server_key)
+            source = "'" + server_key.replace("\\", "\\\\").replace("'", "\\'") + "'"
         elif name in OPTIONAL:
-            column = F.lit(None).cast(kind)
+            source = f"cast(NULL AS {kind})"
         else:
             raise ValueError(f"source lacks column {name}; it has {sorted(present)}")
-        picked.append(column.alias(name))
-    return df.select(*picked)
+        picked.append(f"{source} AS `{name}`")
+    return df.selectExpr(*picked)

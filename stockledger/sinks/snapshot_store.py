@@ -14,7 +14,7 @@ rows, and ``compact`` folds them into a new version from time to time.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -85,6 +85,10 @@ class SnapshotStore:
         state = self._state().get(server_key)
         return state["last_refresh"] if state else None
 
+    def as_of(self, server_key: str) -> date | None:
+        state = self._state().get(server_key)
+        return state["tanggal"] if state else None
+
     def needs_full_refresh(self, server_key: str) -> bool:
         """No snapshot of the site, or one without a refresh moment to start from."""
         return self.last_refresh(server_key) is None

@@ -31,6 +31,7 @@ class Source:
         self.server_key = server_key
         self.on_missing = on_missing
         self.missing: dict[str, str] = {}
+        self._tables: dict[str, DataFrame] = {}
 
     def exists(self, name: str) -> bool:
         raise NotImplementedError
@@ -39,6 +40,12 @@ class Source:
         raise NotImplementedError
 
     def table(self, name: str) -> DataFrame:
+        """The declared columns of a table; the same frame each time it is asked for."""
+        if name not in self._tables:
+            self._tables[name] = self._load(name)
+        return self._tables[name]
+
+    def _load(self, name: str) -> DataFrame:
         columns = schemas.TABLES[name]
         try:
             if not self.exists(name):
@@ -85,7 +92,7 @@ class AllSites(Source):
     def exists(self, name: str) -> bool:
         return any(site.exists(name) for site in self.sites)
 
-    def table(self, name: str) -> DataFrame:
+    def _load(self, name: str) -> DataFrame:
         return reduce(DataFrame.unionByName, [site.table(name) for site in self.sites])
 
     def available(self) -> list[str | None]:

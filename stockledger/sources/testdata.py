@@ -6,16 +6,72 @@ query grows with them. The rules are those of FIXTURES.md, part 2.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from stockledger.schemas import PRICE, QTY
+from stockledger.schemas import PRICE, QTY, ddl
 from stockledger.sources.base import Source
 
 # Fixed values of the mapping.
 REGION_KEYS = ("0", "1", "2", "3", "4")
 UNIT_NAMES = (("PCS", "Pieces"), ("BOX", "Box"), ("NOL", "Nol"), ("NUL", "Nul"), ("BJI", "Biji"))
 
+# Columns of the test tables that the mapping uses.
+RAW = {
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "customer": {"c_custkey": "bigint", "c_nationkey": "int"},
+    "supplier": {"s_suppkey": "bigint", "s_nationkey": "int"},
+    "part": {
+        "p_partkey": "bigint",
+        "p_name": "string",
+        "p_brand": "string",
+        "p_type": "string",
+        "p_size": "int",
+        "p_retailprice": "double",
+    },
+    "orders": {
+        "o_orderkey": "bigint",
+        "o_custkey": "bigint",
+        "o_orderstatus": "string",
+        "o_orderdate": "timestamp_ntz",
+        "o_orderpriority": "string",
+    },
+    "lineitem": {
+        "l_orderkey": "bigint",
+        "l_partkey": "bigint",
+        "l_suppkey": "bigint",
+        "l_linenumber": "int",
+        "l_quantity": "double",
+        "l_extendedprice": "double",
+        "l_discount": "double",
+        "l_returnflag": "string",
+        "l_linestatus": "string",
+        "l_shipdate": "timestamp_ntz",
+    },
+    "events": {
+        "event_id": "bigint",
+        "ts": "timestamp_ntz",
+        "user_id": "bigint",
+        "event_type": "string",
+        "value": "double",
+    },
+}
+
+SALES = "l_returnflag = 'N'"
+PURCHASES = "l_returnflag = 'A' AND l_linestatus = 'F'"
+TRANSFERS = "l_returnflag = 'A' AND l_linestatus = 'O'"
+SALE_RETURNS = "l_returnflag = 'R' AND l_linestatus = 'F'"
+PURCHASE_RETURNS = "l_returnflag = 'R' AND l_linestatus = 'O'"
+
+ORDER_KEY = "cast(l_orderkey AS string)"
+PAIR_KEY = "concat(cast(l_orderkey AS string), '-', cast(l_suppkey AS string))"
+UNIT_OF_LINE = (
+    "CASE WHEN l_linenumber <= 2 THEN 'PCS' WHEN l_linenumber = 3 THEN 'BOX' "
+    "WHEN l_linenumber = 4 THEN 'KRT' WHEN l_linenumber = 5 THEN 'NUL' "
+    "WHEN l_linenumber = 6 THEN 'NOL' END AS kd_satuan"
+)
+LINE_PRICE = f"cast(l_extendedprice AS {PRICE}) AS "
+
 
 class TestdataSource(Source):
     """``by_region=True`` makes each region of the divisions a site of its own.
@@ -36,10 +92,14 @@ class TestdataSource(Source):
         super().__init__(spark, None if by_region else "main")
         self.sf_dir = sf_dir
         self.by_region = by_region
+        self._files: dict[str, DataFrame] = {}
         self.lineitem = self._raw("lineitem") if lineitem is None else lineitem
 
     def _raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._files:
+            reader = self.spark.read.schema(ddl(RAW[name]))
+            self._files[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._files[name]
 
     def exists(self, name: str) -> bool:
         return hasattr(self, f"_{name}")
@@ -55,295 +115,262 @@ class TestdataSource(Source):
     def _on_every_site(self, df: DataFrame) -> DataFrame:
         if not self.by_region:
             return df
-        sites = F.array(*[F.lit(key) for key in REGION_KEYS])
-        return df.select("*", F.explode(sites).alias("server_key"))
+        sites = ", ".join(f"'{key}'" for key in REGION_KEYS)
+        return df.selectExpr("*", f"explode(array({sites})) AS server_key")
 
     def _nation(self) -> DataFrame:
-        site = F.col("n_regionkey").cast("string") if self.by_region else F.lit("main")
-        return self._raw("nation").withColumn("server_key", site)
+        site = "cast(n_regionkey AS string)" if self.by_region else f"'{self.server_key}'"
+        return self._raw("nation").selectExpr("*", f"{site} AS server_key")
 
     # ---- item master -------------------------------------------------------
 
-    def _part(self) -> DataFrame:
-        return self._raw("part").withColumn("kd_barang", F.col("p_partkey").cast("string"))
-
     def _m_barang(self) -> DataFrame:
         return self._on_every_site(
-            self._part().select(
-                "kd_barang",
-                F.col("p_name").alias("nama"),
-                F.col("p_type").alias("kd_kategori"),
-                F.col("p_brand").alias("kd_merk"),
-                F.split_part("p_name", F.lit(" "), F.lit(2)).alias("kd_model"),
-                F.split_part("p_name", F.lit(" "), F.lit(1)).alias("kd_warna"),
-                F.col("p_size").cast("string").alias("ukuran"),
+            self._raw("part").selectExpr(
+                "cast(p_partkey AS string) AS kd_barang",
+                "p_name AS nama",
+                "p_type AS kd_kategori",
+                "p_brand AS kd_merk",
+                "split_part(p_name, ' ', 2) AS kd_model",
+                "split_part(p_name, ' ', 1) AS kd_warna",
+                "cast(p_size AS string) AS ukuran",
             )
         )
 
-    def _m_kategori(self) -> DataFrame:
-        kinds = self._part().select(F.col("p_type").alias("kd_kategori")).distinct()
-        status = F.when(F.col("kd_kategori") == "PROMO", 2).otherwise(1)
-        return self._on_every_site(
-            kinds.select("kd_kategori", F.lower("kd_kategori").alias("nama"), status.alias("status"))
-        )
+    def _names(self, key: str, value: str, *columns: str) -> DataFrame:
+        names = self._raw("part").selectExpr(f"{value} AS {key}").distinct()
+        return self._on_every_site(names.selectExpr(key, *(columns or (f"{key} AS nama",))))
 
-    def _names(self, key: str, value: Column) -> DataFrame:
-        return self._on_every_site(
-            self._part().select(value.alias(key)).distinct().withColumn("nama", F.col(key))
-        )
+    def _m_kategori(self) -> DataFrame:
+        status = "CASE WHEN kd_kategori = 'PROMO' THEN 2 ELSE 1 END AS status"
+        return self._names("kd_kategori", "p_type", "lower(kd_kategori) AS nama", status)
 
     def _m_merk(self) -> DataFrame:
-        return self._names("kd_merk", F.col("p_brand")).where("kd_merk <> 'Brand#25'")
+        return self._names("kd_merk", "p_brand").where("kd_merk <> 'Brand#25'")
 
     def _m_model(self) -> DataFrame:
-        return self._names("kd_model", F.split_part("p_name", F.lit(" "), F.lit(2)))
+        return self._names("kd_model", "split_part(p_name, ' ', 2)")
 
     def _m_warna(self) -> DataFrame:
-        return self._names("kd_warna", F.split_part("p_name", F.lit(" "), F.lit(1)))
+        return self._names("kd_warna", "split_part(p_name, ' ', 1)")
 
     def _m_barang_satuan(self) -> DataFrame:
-        part, key = self._part(), F.col("p_partkey")
-        price = F.col("p_retailprice").cast(PRICE)
-
-        def unit(name: str, jumlah, harga: Column, status, kept: Column) -> Column:
-            row = F.struct(
-                F.lit(name).alias("kd_satuan"),
-                F.lit(jumlah).cast(QTY).alias("jumlah"),
-                harga.cast(PRICE).alias("harga_jual"),
-                (F.lit(status) if isinstance(status, int) else status).alias("status"),
+        def unit(kept: str, name: str, jumlah: str, harga: str = "0", status: str = "1") -> str:
+            row = ", ".join(
+                [
+                    f"'kd_satuan', '{name}'",
+                    f"'jumlah', cast({jumlah} AS {QTY})",
+                    f"'harga_jual', cast({harga} AS {PRICE})",
+                    f"'status', {status}",
+                ]
             )
-            return F.when(kept, row)
-
-        pcs_status = F.when(key % 20 == 7, 0).otherwise(1)
-        units = F.array(
-            unit("PCS", 1, price, pcs_status, key % 50 != 0),
-            unit("BOX", 12, price * 12, 1, key % 3 == 0),
-            unit("NOL", 0, price, 1, key % 10 == 4),
-            unit("NUL", None, price, 1, key % 10 == 5),
-            unit("BJI", 1, price + 1, 1, key % 100 == 3),
+            return f"CASE WHEN {kept} THEN named_struct({row}) END"
+
+        price = f"cast(p_retailprice AS {PRICE})"
+        off_sale = "CASE WHEN p_partkey % 20 = 7 THEN 0 ELSE 1 END"
+        units = ", ".join(
+            [
+                unit("p_partkey % 50 <> 0", "PCS", "1", price, off_sale),
+                unit("p_partkey % 3 = 0", "BOX", "12", f"{price} * 12"),
+                unit("p_partkey % 10 = 4", "NOL", "0", price),
+                unit("p_partkey % 10 = 5", "NUL", "NULL", price),
+                unit("p_partkey % 100 = 3", "BJI", "1", f"{price} + 1"),
+            ]
+        )
+        rows = self._raw("part").selectExpr(
+            "cast(p_partkey AS string) AS kd_barang",
+            f"inline(array_compact(array({units})))",
         )
-        rows = part.select("kd_barang", F.explode(F.array_compact(units)).alias("unit"))
-        return self._on_every_site(rows.select("kd_barang", "unit.*"))
+        return self._on_every_site(rows)
 
     def _m_satuan(self) -> DataFrame:
-        names = self.spark.createDataFrame(UNIT_NAMES, "kd_satuan string, nama string")
-        return self._on_every_site(names)
+        values = ", ".join(f"('{kode}', '{nama}')" for kode, nama in UNIT_NAMES)
+        return self._on_every_site(
+            self.spark.sql(f"SELECT * FROM VALUES {values} AS t(kd_satuan, nama)")
+        )
 
     def _m_divisi(self) -> DataFrame:
         nation, region = self._nation(), self._raw("region")
         return (
             nation.where("n_nationkey <> 24")
             .join(region, nation.n_regionkey == region.r_regionkey)
-            .select(
+            .selectExpr(
                 "server_key",
-                F.col("n_nationkey").cast("string").alias("kd_divisi"),
-                F.col("n_name").alias("nama"),
-                F.concat("r_name", F.lit(" / "), "n_name").alias("keterangan"),
-                F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("kepala_nota"),
+                "cast(n_nationkey AS string) AS kd_divisi",
+                "n_name AS nama",
+                "concat(r_name, ' / ', n_name) AS keterangan",
+                "concat('N', n_nationkey) AS kepala_nota",
             )
         )
 
     def _m_barang_divisi(self) -> DataFrame:
         # (p_partkey + n_nationkey) % 5 = 0 as an equality of residues.
-        part = self._part().withColumn("residue", F.pmod(-F.col("p_partkey"), F.lit(5)))
-        nation = self._nation().withColumn("residue", F.col("n_nationkey").cast("long") % 5)
-        size = F.col("p_size")
-        stok = F.when(size % 10 == 0, None).when(size % 10 == 1, 0).otherwise(size)
-        cost = F.when(
-            F.col("p_partkey") % 7 != 0,
-            (F.col("p_retailprice").cast(PRICE) * F.lit("0.8").cast("decimal(2,1)")),
-        )
-        return part.join(nation, "residue").select(
+        part = self._raw("part").selectExpr("*", "pmod(-p_partkey, 5) AS residue")
+        nation = self._nation().selectExpr("*", "cast(n_nationkey AS bigint) % 5 AS residue")
+        return part.join(nation, "residue").selectExpr(
             "server_key",
-            F.col("n_nationkey").cast("string").alias("kd_divisi"),
-            "kd_barang",
-            stok.cast(QTY).alias("stok_awal"),
-            cost.cast(PRICE).alias("harga_beli_awal"),
+            "cast(n_nationkey AS string) AS kd_divisi",
+            "cast(p_partkey AS string) AS kd_barang",
+            "CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size % 10 = 1 THEN 0 ELSE p_size END "
+            "AS stok_awal",
+            f"CASE WHEN p_partkey % 7 <> 0 THEN cast(p_retailprice AS {PRICE}) * 0.8BD END "
+            "AS harga_beli_awal",
         )
 
     # ---- documents ---------------------------------------------------------
 
-    @staticmethod
-    def _kind(lineitem: DataFrame, flag: str, status: str | None = None) -> DataFrame:
-        lines = lineitem.where(F.col("l_returnflag") == flag)
-        return lines if status is None else lines.where(F.col("l_linestatus") == status)
-
     def _owners(self, table: str, nation_key: str) -> DataFrame:
         """Customers or suppliers with the site their nation belongs to."""
         owners = self._raw(table)
         if not self.by_region:
-            return owners.withColumn("server_key", F.lit(self.server_key))
+            return owners.selectExpr("*", f"'{self.server_key}' AS server_key")
         nation = self._nation().select("n_nationkey", "server_key")
-        return owners.join(nation, F.col(nation_key) == F.col("n_nationkey"))
+        return owners.join(nation, owners[nation_key] == nation.n_nationkey)
 
     def _orders(self) -> DataFrame:
-        customer = self._owners("customer", "c_nationkey")
-        return (
-            self._raw("orders")
-            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .select(
-                "o_orderkey",
-                "o_orderstatus",
-                "o_orderpriority",
-                F.col("o_orderdate").alias("tanggal"),
-                F.col("c_nationkey").cast("string").alias("customer_divisi"),
-                F.col("server_key").alias("customer_site"),
-            )
+        customer, orders = self._owners("customer", "c_nationkey"), self._raw("orders")
+        return orders.join(customer, orders.o_custkey == customer.c_custkey).selectExpr(
+            "o_orderkey",
+            "o_orderstatus",
+            "o_orderpriority",
+            "o_orderdate AS tanggal",
+            "cast(c_nationkey AS string) AS customer_divisi",
+            "server_key AS customer_site",
         )
 
-    def _order_header(self, key: str, flag: str, status: str | None = None) -> DataFrame:
+    def _order_header(self, key: str, lines: str) -> DataFrame:
         """Header per order; the division is the customer's nation."""
         arrived = (
-            self._kind(self._raw("lineitem"), flag, status)
-            .groupBy("l_orderkey")
-            .agg(F.max("l_shipdate").alias("tanggal_server"))
+            self._raw("lineitem")
+            .where(lines)
+            .selectExpr("l_orderkey AS o_orderkey", "l_shipdate")
+            .groupBy("o_orderkey")
+            .agg({"l_shipdate": "max"})
         )
-        orders = self._orders()
-        return orders.join(arrived, orders.o_orderkey == arrived.l_orderkey, "left").select(
-            F.col("customer_site").alias("server_key"),
-            F.col("o_orderkey").cast("string").alias(key),
-            F.col("customer_divisi").alias("kd_divisi"),
-            "tanggal",
-            "tanggal_server",
+        return (
+            self._orders()
+            .join(arrived, "o_orderkey", "left")
+            .selectExpr(
+                "customer_site AS server_key",
+                f"cast(o_orderkey AS string) AS {key}",
+                "customer_divisi AS kd_divisi",
+                "tanggal",
+                "`max(l_shipdate)` AS tanggal_server",
+            )
         )
 
-    def _supplier_header(self, key: str, flag: str, status: str, *extra: Column) -> DataFrame:
+    def _supplier_header(self, key: str, lines: str, *columns: str) -> DataFrame:
         """Header per (order, supplier); the division is the supplier's nation."""
         documents = (
-            self._kind(self._raw("lineitem"), flag, status)
+            self._raw("lineitem")
+            .where(lines)
             .groupBy("l_orderkey", "l_suppkey")
-            .agg(F.max("l_shipdate").alias("tanggal_server"))
-        )
-        site = self._owners("supplier", "s_nationkey").select(
-            "s_suppkey", "server_key", F.col("s_nationkey").cast("string").alias("kd_divisi")
+            .agg({"l_shipdate": "max"})
         )
+        orders, supplier = self._orders(), self._owners("supplier", "s_nationkey")
         return (
-            documents.join(self._orders(), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(site, F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(
+            documents.join(orders, documents.l_orderkey == orders.o_orderkey)
+            .join(supplier, documents.l_suppkey == supplier.s_suppkey)
+            .selectExpr(
                 "server_key",
-                self._pair_key().alias(key),
-                "kd_divisi",
+                f"{PAIR_KEY} AS {key}",
                 "tanggal",
-                "tanggal_server",
-                *extra,
+                "`max(l_shipdate)` AS tanggal_server",
+                *columns,
             )
         )
 
-    @staticmethod
-    def _pair_key() -> Column:
-        return F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
-
-    def _line_rows(
-        self, flag: str, status: str | None, key: str, by_supplier: bool, *extra: Column
-    ) -> DataFrame:
-        lines = self._kind(self.lineitem, flag, status)
-        number = F.col("l_linenumber")
-        satuan = (
-            F.when(number <= 2, "PCS")
-            .when(number == 3, "BOX")
-            .when(number == 4, "KRT")
-            .when(number == 5, "NUL")
-            .when(number == 6, "NOL")
-        )
-        document = self._pair_key() if by_supplier else F.col("l_orderkey").cast("string")
-        site = []
+    def _line_rows(self, key: str, lines: str, document: str, *columns: str) -> DataFrame:
+        rows, site = self.lineitem.where(lines), []
         if self.by_region:
-            lines, site = self._locate(lines, by_supplier), ["server_key"]
-        return lines.select(
+            rows, site = self._locate(rows, document == PAIR_KEY), ["server_key"]
+        return rows.selectExpr(
             *site,
-            document.alias(key),
-            number.cast("int").alias("line_no"),
-            F.col("l_partkey").cast("string").alias("kd_barang"),
-            F.col("l_quantity").cast(QTY).alias("qty"),
-            satuan.alias("kd_satuan"),
-            *extra,
+            f"{document} AS {key}",
+            "l_linenumber AS line_no",
+            "cast(l_partkey AS string) AS kd_barang",
+            f"cast(l_quantity AS {QTY}) AS qty",
+            UNIT_OF_LINE,
+            *columns,
         )
 
     def _locate(self, lines: DataFrame, by_supplier: bool) -> DataFrame:
         """Give each line the site of its document."""
         if by_supplier:
             owner = self._owners("supplier", "s_nationkey").select("s_suppkey", "server_key")
-            return lines.join(owner, F.col("l_suppkey") == F.col("s_suppkey"))
-        owner = self._orders().select("o_orderkey", F.col("customer_site").alias("server_key"))
-        return lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
-
-    @staticmethod
-    def _price(name: str) -> Column:
-        return F.col("l_extendedprice").cast(PRICE).alias(name)
+            return lines.join(owner, lines.l_suppkey == owner.s_suppkey)
+        owner = self._orders().selectExpr("o_orderkey", "customer_site AS server_key")
+        return lines.join(owner, lines.l_orderkey == owner.o_orderkey)
 
     def _t_penjualan(self) -> DataFrame:
-        return self._order_header("no_transaksi", "N")
+        return self._order_header("no_transaksi", SALES)
 
     def _t_penjualan_detail(self) -> DataFrame:
-        return self._line_rows("N", None, "no_transaksi", False, self._price("harga_jual"))
+        return self._line_rows("no_transaksi", SALES, ORDER_KEY, LINE_PRICE + "harga_jual")
 
     def _t_penjualan_retur(self) -> DataFrame:
-        return self._order_header("no_retur", "R", "F")
+        return self._order_header("no_retur", SALE_RETURNS)
 
     def _t_penjualan_retur_detail(self) -> DataFrame:
-        return self._line_rows("R", "F", "no_retur", False, self._price("harga_jual"))
+        return self._line_rows("no_retur", SALE_RETURNS, ORDER_KEY, LINE_PRICE + "harga_jual")
 
     def _t_pembelian(self) -> DataFrame:
-        priority = F.col("o_orderpriority")
-        discount = F.when(priority == "1-URGENT", F.lit("0.02")).when(priority == "2-HIGH", F.lit("5"))
-        none = F.lit(None).cast("string")
         return self._supplier_header(
             "no_transaksi",
-            "A",
-            "F",
-            (F.col("o_orderkey") % 3).cast("int").alias("status"),
-            discount.alias("diskon1"),
-            *[none.alias(f"diskon{i}") for i in (2, 3, 4)],
-            F.when(F.col("o_orderstatus") == "F", F.lit("0.11")).alias("pajak"),
-            F.when(priority == "5-LOW", F.lit("0.05")).alias("ppnbm"),
+            PURCHASES,
+            "cast(s_nationkey AS string) AS kd_divisi",
+            "o_orderkey % 3 AS status",
+            "CASE o_orderpriority WHEN '1-URGENT' THEN 0.02 WHEN '2-HIGH' THEN 5 END AS diskon1",
+            "NULL AS diskon2",
+            "NULL AS diskon3",
+            "NULL AS diskon4",
+            "CASE WHEN o_orderstatus = 'F' THEN 0.11 END AS pajak",
+            "CASE WHEN o_orderpriority = '5-LOW' THEN 0.05 END AS ppnbm",
         )
 
     def _t_pembelian_detail(self) -> DataFrame:
-        none = F.lit(None).cast("string")
         return self._line_rows(
-            "A",
-            "F",
             "no_transaksi",
-            True,
-            self._price("harga_beli"),
-            F.col("l_discount").cast("decimal(4,2)").alias("diskon1"),
-            F.when(F.col("l_linenumber") == 7, F.lit(25)).alias("diskon2"),
-            none.alias("diskon3"),
-            none.alias("diskon4"),
+            PURCHASES,
+            PAIR_KEY,
+            LINE_PRICE + "harga_beli",
+            "cast(l_discount AS decimal(4,2)) AS diskon1",
+            "CASE WHEN l_linenumber = 7 THEN 25 END AS diskon2",
+            "NULL AS diskon3",
+            "NULL AS diskon4",
         )
 
     def _t_pembelian_retur(self) -> DataFrame:
-        return self._supplier_header("no_retur", "R", "O")
+        division = "cast(s_nationkey AS string) AS kd_divisi"
+        return self._supplier_header("no_retur", PURCHASE_RETURNS, division)
 
     def _t_pembelian_retur_detail(self) -> DataFrame:
-        return self._line_rows("R", "O", "no_retur", True, self._price("harga"))
+        return self._line_rows("no_retur", PURCHASE_RETURNS, PAIR_KEY, LINE_PRICE + "harga")
 
     def _t_mutasi_stok(self) -> DataFrame:
-        header = self._supplier_header("no_transaksi", "A", "O", F.col("customer_divisi"))
-        return header.withColumnsRenamed(
-            {"kd_divisi": "kd_divisi_asal", "customer_divisi": "kd_divisi_tujuan"}
+        return self._supplier_header(
+            "no_transaksi",
+            TRANSFERS,
+            "cast(s_nationkey AS string) AS kd_divisi_asal",
+            "customer_divisi AS kd_divisi_tujuan",
         )
 
     def _t_mutasi_stok_detail(self) -> DataFrame:
-        return self._line_rows("A", "O", "no_transaksi", True)
+        return self._line_rows("no_transaksi", TRANSFERS, PAIR_KEY)
 
     def _t_opname_stok(self) -> DataFrame:
-        kind = F.col("event_type")
-        status = F.when(kind == "purchase", 2).when(kind == "error", 1).otherwise(0)
-        divisi = F.col("user_id") % 25
-        counts = self._raw("events").where(kind.isin("purchase", "error", "signup"))
-        site = []
+        counts, site = self._raw("events").where("event_type IN ('purchase', 'error', 'signup')"), []
         if self.by_region:
-            nation = self._nation().select("n_nationkey", "server_key")
-            counts, site = counts.join(nation, divisi == nation.n_nationkey), ["server_key"]
-        return counts.select(
+            nation = self._nation().selectExpr("cast(n_nationkey AS bigint) AS nation", "server_key")
+            counts = counts.selectExpr("*", "user_id % 25 AS nation").join(nation, "nation")
+            site = ["server_key"]
+        return counts.selectExpr(
             *site,
-            F.col("event_id").cast("string").alias("no_transaksi"),
-            divisi.cast("string").alias("kd_divisi"),
-            (F.col("event_id") % 200).cast("string").alias("kd_barang"),
-            F.col("ts").alias("tanggal"),
-            F.col("value").cast(QTY).alias("qty"),
-            F.lit("PCS").alias("kd_satuan"),
-            status.alias("status"),
+            "cast(event_id AS string) AS no_transaksi",
+            "cast(user_id % 25 AS string) AS kd_divisi",
+            "cast(event_id % 200 AS string) AS kd_barang",
+            "ts AS tanggal",
+            "value AS qty",
+            "'PCS' AS kd_satuan",
+            "CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS status",
         )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stockledger.params import LedgerWindow, TimeLike
+from stockledger.params import LedgerWindow, TimeLike, as_day
 from stockledger.plans.delta import accumulate, delta_rows
 from stockledger.plans.snapshot import stock_snapshot
 from stockledger.sinks.snapshot_store import SnapshotStore
@@ -35,11 +35,13 @@ def delta_refresh(
 ) -> str:
     """Add what was ingested between the stored refresh moment and ``known_until``.
 
-    Falls back to a full refresh where there is no snapshot to start from. The upper
-    bound is fixed before the read, so nothing that arrives meanwhile is skipped.
+    Falls back to a full refresh where there is no snapshot to start from, or where its
+    as-of day is another one: documents ingested before, but dated between the two days,
+    are in no delta. The upper bound is fixed before the read, so nothing that arrives
+    meanwhile is skipped.
     """
     since = store.last_refresh(server_key)
-    if since is None:
+    if since is None or store.as_of(server_key) != as_day(window.as_of):
         full_refresh(store, source, window, known_until)
         return "full"
     bounded = LedgerWindow(window.closing_ts, window.as_of, since, known_until)
