@@ -25,20 +25,21 @@ from stockledger.sources.base import Source
 class Branch:
     no: int
     label: str
+    table: str
     source: str | None
     inbound: bool
 
 
-# Order, names and tags of the nine kinds of movement.
-OPENING = Branch(1, "Stok Awal", None, True)
-TRANSFER_OUT = Branch(2, "Mutasi Keluar", "mutasi_out", False)
-TRANSFER_IN = Branch(3, "Mutasi Masuk", "mutasi_in", True)
-COUNT_IN = Branch(4, "Opname Masuk", None, True)
-COUNT_OUT = Branch(5, "Opname Keluar", None, False)
-PURCHASE = Branch(6, "Pembelian", "pembelian", True)
-PURCHASE_RETURN = Branch(7, "Retur Pembelian", "retur_beli", False)
-SALE = Branch(8, "Penjualan", "penjualan", False)
-SALE_RETURN = Branch(9, "Retur Penjualan", "retur_jual", True)
+# Order, names, tables and tags of the nine kinds of movement.
+OPENING = Branch(1, "Stok Awal", "m_barang_divisi", None, True)
+TRANSFER_OUT = Branch(2, "Mutasi Keluar", "t_mutasi_stok", "mutasi_out", False)
+TRANSFER_IN = Branch(3, "Mutasi Masuk", "t_mutasi_stok", "mutasi_in", True)
+COUNT_IN = Branch(4, "Opname Masuk", "t_opname_stok", None, True)
+COUNT_OUT = Branch(5, "Opname Keluar", "t_opname_stok", None, False)
+PURCHASE = Branch(6, "Pembelian", "t_pembelian", "pembelian", True)
+PURCHASE_RETURN = Branch(7, "Retur Pembelian", "t_pembelian_retur", "retur_beli", False)
+SALE = Branch(8, "Penjualan", "t_penjualan", "penjualan", False)
+SALE_RETURN = Branch(9, "Retur Penjualan", "t_penjualan_retur", "retur_jual", True)
 SALE_RETURN_WITH_RECEIPT = "Retur Penjualan Dengan Nota"
 
 ALL = (
@@ -137,7 +138,7 @@ def opening(source: Source, window: LedgerWindow) -> DataFrame:
     """
     closing = dates.moment(window.closing_ts)
     return _rows(
-        source.table("m_barang_divisi").withColumn("tanggal", closing),
+        source.table(OPENING.table).withColumn("tanggal", closing),
         "harga_beli_awal",
         _side(OPENING, "stok_awal"),
         tanggal_server="cast(NULL AS timestamp_ntz)",
@@ -150,7 +151,7 @@ def opening(source: Source, window: LedgerWindow) -> DataFrame:
 def transfers(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> DataFrame:
     """Both sides of each transfer line from one scan and one join."""
     lines = document_lines(
-        source, "t_mutasi_stok", "no_transaksi", window, "kd_divisi_asal", "kd_divisi_tujuan"
+        source, TRANSFER_OUT.table, "no_transaksi", window, "kd_divisi_asal", "kd_divisi_tujuan"
     )
     sides = []
     for branch, division in (
@@ -169,7 +170,7 @@ def transfers(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> Dat
 
 def counts(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> DataFrame:
     """Stock counts: status 2 adds, any other status takes out; a null status is neither."""
-    rows = source.table("t_opname_stok").where(dates.in_window(F.col("tanggal"), window))
+    rows = source.table(COUNT_IN.table).where(dates.in_window(F.col("tanggal"), window))
     adds = F.col("status") == 2
     if not policy.wants(COUNT_OUT):
         rows = rows.where(adds)
@@ -189,15 +190,17 @@ def counts(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> DataFr
 
 def purchases(source: Source, window: LedgerWindow, policy: LedgerPolicy) -> DataFrame:
     lines = document_lines(
-        source, "t_pembelian", "no_transaksi", window, "kd_divisi", "status"
+        source, PURCHASE.table, "no_transaksi", window, "kd_divisi", "status"
     )
     if policy.purchase_status is not None:
         lines = lines.where(F.col("status").isin(*policy.purchase_status))
     return _rows(lines, "harga_beli", _side(PURCHASE, "qty"))
 
 
-def _plain(source, window, branch, name, key, price) -> DataFrame:
-    lines = document_lines(source, name, key, window, "kd_divisi")
+def _plain(
+    source: Source, window: LedgerWindow, branch: Branch, key: str, price: str
+) -> DataFrame:
+    lines = document_lines(source, branch.table, key, window, "kd_divisi")
     return _rows(lines, price, _side(branch, "qty"), no_transaksi=key)
 
 
@@ -220,15 +223,11 @@ def movements(
     if policy.wants(PURCHASE):
         parts.append(purchases(source, window, policy))
     if policy.wants(PURCHASE_RETURN):
-        parts.append(
-            _plain(source, window, PURCHASE_RETURN, "t_pembelian_retur", "no_retur", "harga")
-        )
+        parts.append(_plain(source, window, PURCHASE_RETURN, "no_retur", "harga"))
     if policy.wants(SALE):
-        parts.append(_plain(source, window, SALE, "t_penjualan", "no_transaksi", "harga_jual"))
+        parts.append(_plain(source, window, SALE, "no_transaksi", "harga_jual"))
     if policy.wants(SALE_RETURN):
-        parts.append(
-            _plain(source, window, SALE_RETURN, "t_penjualan_retur", "no_retur", "harga_jual")
-        )
+        parts.append(_plain(source, window, SALE_RETURN, "no_retur", "harga_jual"))
     ledger = reduce(DataFrame.unionByName, parts)
     if items is not None:
         ledger = ledger.where(F.col("kd_barang").isin(*items))

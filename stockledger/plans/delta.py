@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockledger.functions.numbers import NET_QTY
 from stockledger.operators.items import ITEM, factor_of, item_factors
-from stockledger.operators.movements import DELTA_POLICY, movements
+from stockledger.operators.movements import DELTA_POLICY, LedgerPolicy, movements
 from stockledger.operators.stock import net_by_unit, net_stock
 from stockledger.params import LedgerWindow
 from stockledger.plans.snapshot import STOCK
@@ -16,7 +16,9 @@ from stockledger.sources.base import Source
 DELTA = ["server_key", "kd_divisi", "kd_barang", "debet", "kredit", "kd_satuan", "source"]
 
 
-def delta_movements(source: Source, window: LedgerWindow) -> DataFrame:
+def delta_movements(
+    source: Source, window: LedgerWindow, policy: LedgerPolicy = DELTA_POLICY
+) -> DataFrame:
     """Documents that reached the server after ``window.ingested_after``.
 
     A document counts however late it arrives, as long as its own date lies in the
@@ -24,11 +26,13 @@ def delta_movements(source: Source, window: LedgerWindow) -> DataFrame:
     """
     if window.ingested_after is None:
         raise ValueError("a delta needs ingested_after")
-    return movements(source, window, DELTA_POLICY)
+    return movements(source, window, policy)
 
 
-def delta_rows(source: Source, window: LedgerWindow) -> DataFrame:
-    return delta_movements(source, window).withColumnRenamed("sumber", "source").select(*DELTA)
+def delta_rows(
+    source: Source, window: LedgerWindow, policy: LedgerPolicy = DELTA_POLICY
+) -> DataFrame:
+    return delta_movements(source, window, policy).withColumnRenamed("sumber", "source").select(*DELTA)
 
 
 def delta_by_source(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from stockledger import schemas
 from stockledger.sources.base import Source
 
 
@@ -37,7 +39,13 @@ class ParquetSource(Source):
         return self._path(name) is not None
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        try:
+            return self.spark.read.parquet(self._path(name))
+        except AnalysisException as problem:
+            # The folder is there, but holds no file yet: a table without rows.
+            if problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return schemas.empty(self.spark, schemas.TABLES[name])
 
 
 class CatalogSource(Source):

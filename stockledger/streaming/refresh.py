@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stockledger.operators.movements import DELTA_POLICY
 from stockledger.params import LedgerWindow, TimeLike, as_day
 from stockledger.plans.delta import accumulate, delta_rows
 from stockledger.plans.snapshot import stock_snapshot
@@ -64,13 +65,16 @@ def stream_refresh(
 ) -> StreamingQuery:
     """Keep the snapshot up to date from a stream of document lines.
 
-    ``feed`` is a source whose line tables are streaming frames and whose header tables
-    are static; ``lookup`` gives the unit factors. All available lines are processed in
+    ``feed`` is a source with streaming line tables and static header tables; kinds of
+    document whose lines do not stream are left out. ``lookup`` gives the unit factors. All available lines are processed in
     micro-batches, then the query stops; the checkpoint remembers what was read. A batch
     that runs again after a failure is recognised by the stream's name and its number,
     and changes nothing.
     """
 
+    streamed = [b for b in DELTA_POLICY.branches if feed.table(f"{b.table}_detail").isStreaming]
+    rows = delta_rows(feed, window, DELTA_POLICY.only(*streamed))
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         step = f"{name}-{batch_id}"
         if store.is_applied(step):
@@ -82,8 +86,7 @@ def stream_refresh(
         batch.unpersist()
 
     return (
-        delta_rows(feed, window)
-        .writeStream.foreachBatch(apply)
+        rows.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         {
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.maxMetadataStringLength": "4000",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
             "spark.checkpoint.dir": str(root / "checkpoint"),
