@@ -19,6 +19,7 @@ from stockledger.functions.numbers import RUNNING
 from stockledger.session import reliable_checkpoint
 
 CUT = "__cut"
+COUNT = "__count"
 
 
 @dataclass(frozen=True)
@@ -29,50 +30,83 @@ class Level:
     ascending: bool = True
 
 
-def _ordered(name: str, level: Level) -> Column:
-    return F.col(name).asc() if level.ascending else F.col(name).desc()
+def level_names(levels: Sequence[Level]) -> list[str]:
+    return [f"__level{i}" for i in range(len(levels))]
 
 
-def _before(
-    chunks: DataFrame,
-    group: list[str],
-    names: list[str],
-    levels: Sequence[Level],
-    totals: list[str],
+def with_levels(rows: DataFrame, levels: Sequence[Level]) -> DataFrame:
+    return rows.withColumns({n: v.key for n, v in zip(level_names(levels), levels, strict=True)})
+
+
+def _kind(total: str) -> str:
+    return "bigint" if total == COUNT else RUNNING
+
+
+def before_name(total: str) -> str:
+    return f"__before{total}"
+
+
+def totals_before(
+    chunks: DataFrame, group: Sequence[str], levels: Sequence[Level], totals: Sequence[str]
 ) -> DataFrame:
-    """Per chunk, the sum of each total over all earlier chunks of the group."""
-    outer = [*group, *names[:-1]]
+    """Per chunk, the sum of each total over all earlier chunks of its group.
+
+    ``chunks`` has one row for each chunk: the group, the level keys and the totals.
+    """
+    names = level_names(levels)
+    outer, last, down = [*group, *names[:-1]], names[-1], not levels[-1].ascending
     earlier = (
         Window.partitionBy(*outer)
-        .orderBy(_ordered(names[-1], levels[-1]))
+        .orderBy(F.col(last).desc() if down else F.col(last).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     here = chunks.select(
         *outer,
-        names[-1],
-        *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).cast(RUNNING).alias(t) for t in totals],
+        last,
+        *[
+            F.coalesce(F.sum(t).over(earlier), F.lit(0)).cast(_kind(t)).alias(before_name(t))
+            for t in totals
+        ],
     )
-    if len(names) == 1:
+    if len(levels) == 1:
         return here
-    summed = chunks.groupBy(*outer).agg(*[F.sum(t).cast(RUNNING).alias(t) for t in totals])
-    above = _before(summed, group, names[:-1], levels[:-1], totals)
-    above = above.withColumnsRenamed({t: f"above_{t}" for t in totals})
+    summed = chunks.groupBy(*outer).agg(*[F.sum(t).cast(_kind(t)).alias(t) for t in totals])
+    above = totals_before(summed, group, levels[:-1], totals).withColumnsRenamed(
+        {before_name(t): f"__above{t}" for t in totals}
+    )
+    both = {t: F.col(before_name(t)) + F.col(f"__above{t}") for t in totals}
     return here.join(above, outer).select(
-        *outer,
-        names[-1],
-        *[(F.col(t) + F.col(f"above_{t}")).cast(RUNNING).alias(t) for t in totals],
+        *outer, last, *[column.cast(_kind(t)).alias(before_name(t)) for t, column in both.items()]
     )
 
 
-def cut_by_range(rows: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Number the ranges of the sorted rows in a column that serves as the only level.
+def within_chunks(
+    rows: DataFrame,
+    chunk: Sequence[str],
+    order: Sequence[Column],
+    sums: Mapping[str, Column],
+    ordinal: str | None = None,
+) -> DataFrame:
+    """Cumulative sums, and the ordinal, of rows that carry what came before their chunk.
 
-    The ranges are of similar size whatever the distribution of the sort key. Their
-    bounds come from a sample of the rows, so the cut rows are checkpointed: both passes
-    of the running total, and any recomputed task, must see the same ranges.
+    The rows of a chunk are taken in ``order``. Sum number i continues the total
+    ``__sum<i>``, the ordinal the total ``__count``.
     """
-    ranges = rows.repartitionByRange(*[F.col(c) for c in group], *order)
-    return reliable_checkpoint(ranges.withColumn(CUT, F.spark_partition_id()))
+    window = (
+        Window.partitionBy(*chunk)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    added = {
+        name: F.sum(F.coalesce(column, F.lit(0))).over(window).cast(RUNNING)
+        + F.col(before_name(f"__sum{i}"))
+        for i, (name, column) in enumerate(sums.items())
+    }
+    result = {name: column.cast(RUNNING) for name, column in added.items()}
+    if ordinal is not None:
+        result[ordinal] = F.row_number().over(window) + F.col(before_name(COUNT))
+    kept = [c for c in rows.columns if c not in result and not c.startswith("__")]
+    return rows.select(*kept, *[column.alias(name) for name, column in result.items()])
 
 
 def running_totals(
@@ -89,32 +123,24 @@ def running_totals(
     not be null. Both passes over ``rows`` read the same deterministic plan, so a lost
     executor only means recomputed tasks.
     """
-    names = [f"__level{i}" for i in range(len(levels))]
-    group = list(group)
-    chunk = [*group, *names]
-    measures = {f"__sum{i}": column for i, column in enumerate(sums.values())}
+    chunk = [*group, *level_names(levels)]
+    keyed = with_levels(rows, levels)
+    measures = {f"__sum{i}": F.coalesce(column, F.lit(0)) for i, column in enumerate(sums.values())}
     if ordinal is not None:
-        measures["__count"] = F.lit(1).cast("decimal(18,0)")
-    keyed = rows.withColumns(
-        {name: level.key for name, level in zip(names, levels, strict=True)}
-    ).withColumns({m: F.coalesce(column, F.lit(0)) for m, column in measures.items()})
+        measures[COUNT] = F.lit(1)
+    chunks = keyed.groupBy(*chunk).agg(
+        *[F.sum(column).cast(_kind(t)).alias(t) for t, column in measures.items()]
+    )
+    before = totals_before(chunks, group, levels, list(measures))
+    return within_chunks(keyed.join(before, chunk), chunk, order, sums, ordinal)
 
-    chunks = keyed.groupBy(*chunk).agg(*[F.sum(m).cast(RUNNING).alias(m) for m in measures])
-    before = _before(chunks, group, names, levels, list(measures))
-    before = before.withColumnsRenamed({m: f"__before{m}" for m in measures})
 
-    within = (
-        Window.partitionBy(*chunk)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # Windowed before the join: the sort of the window also serves the merge join.
-    local = keyed.withColumns({m: F.sum(m).over(within).cast(RUNNING) for m in measures})
-    totals = {m: F.col(m) + F.col(f"__before{m}") for m in measures}
-    result = {name: totals[f"__sum{i}"].cast(RUNNING) for i, name in enumerate(sums)}
-    if ordinal is not None:
-        result[ordinal] = totals["__count"].cast("bigint")
-    kept = [c for c in rows.columns if c not in result]
-    return local.join(before, chunk).select(
-        *kept, *[column.alias(name) for name, column in result.items()]
-    )
+def cut_by_range(rows: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Number the ranges of the sorted rows in a column that serves as the only level.
+
+    The ranges are of similar size whatever the distribution of the sort key. Their
+    bounds come from a sample of the rows, so the cut rows are checkpointed: both passes
+    of the running total, and any recomputed task, must see the same ranges.
+    """
+    ranges = rows.repartitionByRange(*[F.col(c) for c in group], *order)
+    return reliable_checkpoint(ranges.withColumn(CUT, F.spark_partition_id()))

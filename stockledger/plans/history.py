@@ -1,13 +1,22 @@
-"""Movement histories with unit conversion, running balances and totals."""
+"""Movement histories with unit conversion, running balances and totals.
+
+A history keeps its ledger rows apart from the item attributes they need. Rows as such
+are never shuffled by item: where totals are wanted, the ledger is first summed per
+(item, division, day, kind, unit) and only the sums meet the items; a running balance
+brings the items to its chunks of rows together with what came before each chunk. An
+item with a third of all movements is spread over its divisions and days throughout.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockledger.functions import dates
+from stockledger.functions.numbers import NET_QTY, RUNNING
 from stockledger.functions.text import converted_label, or_blank
 from stockledger.operators.items import ITEM, factor_of, in_active_category, item_cards
 from stockledger.operators.movements import (
@@ -18,12 +27,62 @@ from stockledger.operators.movements import (
     movements,
     needs_active_category,
 )
-from stockledger.operators.running import CUT, Level, cut_by_range, running_totals
+from stockledger.operators.running import (
+    COUNT,
+    CUT,
+    Level,
+    cut_by_range,
+    level_names,
+    running_totals,
+    totals_before,
+    with_levels,
+    within_chunks,
+)
 from stockledger.params import LedgerWindow
 from stockledger.schemas import QTY
 from stockledger.sources.base import Source
 
 TIE_BREAKERS = ["branch_no", "no_transaksi", "line_no", "kd_satuan", "debet", "kredit", "harga"]
+CLASS = ["kd_divisi", "branch_no", "transaksi", "kd_satuan"]
+NOT_IN_CLASS = {"tanggal": "timestamp_ntz", "no_transaksi": "string", "line_no": "int", "harga": QTY}
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class History:
+    """Ledger rows, the items they refer to, and the steps that make a history of both.
+
+    A step sees one column set, whether the rows are single movements or their sums per
+    class, and treats quantities linearly; so it may be applied to either.
+    """
+
+    ledger: DataFrame
+    cards: DataFrame
+    steps: tuple[Step, ...]
+
+    def then(self, step: Step) -> "History":
+        return replace(self, steps=(*self.steps, step))
+
+    def shape(self, carded: DataFrame) -> DataFrame:
+        for step in self.steps:
+            carded = step(carded)
+        return carded
+
+    def rows(self) -> DataFrame:
+        """All movements of the history, in no order."""
+        return self.shape(self.ledger.join(self.cards, ITEM, "left"))
+
+    def classes(self, *keys: str, ledger: DataFrame | None = None) -> DataFrame:
+        """Summed quantities and row counts per item, class and further ``keys``."""
+        ledger = self.ledger if ledger is None else ledger
+        summed = ledger.groupBy(*ITEM, *CLASS, *keys).agg(
+            F.sum("debet").alias("debet"),
+            F.sum("kredit").alias("kredit"),
+            F.count(F.lit(1)).alias(COUNT),
+        )
+        blank = {c: F.lit(None).cast(kind) for c, kind in NOT_IN_CLASS.items()}
+        return self.shape(summed.withColumns(blank).join(self.cards, ITEM, "left"))
 
 
 def movement_history(
@@ -35,7 +94,7 @@ def movement_history(
     end: str | None = None,
     known_only: bool = False,
     opening_units: str = "first",
-) -> DataFrame:
+) -> History:
     """Every movement after the closing, for some items or all of them.
 
     start, end      days to keep; an opening row is dated at the closing and drops out of
@@ -51,65 +110,76 @@ def movement_history(
     wanted = dates.day_range(F.col("tanggal"), start, end)
     if wanted is not None:
         ledger = ledger.where(wanted)
-    ledger = ledger.where("kd_barang is not null")
+    ledger = ledger.where("kd_barang is not null").drop("tanggal_server", "sumber")
 
-    cards = item_cards(source)
     divisi = source.table("m_divisi").select("server_key", "kd_divisi", "keterangan", "kepala_nota")
-    if known_only:
-        cards = cards.where("barang is not null")
-    how = "inner" if known_only else "left"
-    rows = in_active_category(ledger.join(cards, ITEM, how), needs_active_category())
-
-    opens = F.col("branch_no") == OPENING.no
-    if opening_units == "each":
-        base = F.map_keys(F.map_filter("factors", lambda _, jumlah: jumlah == 1))
-        rows = rows.withColumn("base_unit", F.explode_outer(F.when(opens, F.coalesce(base, F.array()))))
-        rows = rows.where(~opens | F.col("base_unit").isNotNull())
-    rows = rows.withColumn("kd_satuan", F.when(opens, F.col("base_unit")).otherwise(F.col("kd_satuan")))
-    if not known_only:
-        label = F.when(F.col("branch_no") == SALE_RETURN.no, SALE_RETURN_WITH_RECEIPT)
-        rows = rows.withColumn("transaksi", F.coalesce(label, "transaksi"))
-
     satuan = source.table("m_satuan").select("server_key", "kd_satuan", F.col("nama").alias("satuan"))
-    return (
-        rows.join(divisi, ["server_key", "kd_divisi"], how)
-        .join(satuan, ["server_key", "kd_satuan"], "left")
-        .select(
-            "server_key",
-            or_blank(F.col("kd_divisi")).alias("kd_divisi"),
-            or_blank(F.col("keterangan")).alias("divisi"),
-            or_blank(F.col("kepala_nota")).alias("kepala_nota"),
-            "tanggal",
-            "transaksi",
-            "no_transaksi",
-            "kd_barang",
-            or_blank(F.col("barang")).alias("barang"),
-            F.coalesce("debet", F.lit(0)).cast(QTY).alias("debet"),
-            F.coalesce("kredit", F.lit(0)).cast(QTY).alias("kredit"),
-            "kd_satuan",
-            or_blank(F.col("satuan")).alias("satuan"),
-            F.coalesce("harga", F.lit(0)).alias("harga"),
-            factor_of(F.col("kd_satuan")).alias("konversi"),
-            "branch_no",
-            "line_no",
+
+    def counted(rows: DataFrame) -> DataFrame:
+        if known_only:
+            rows = rows.where("barang is not null")
+        return in_active_category(rows, needs_active_category())
+
+    def with_unit_code(rows: DataFrame) -> DataFrame:
+        opens = F.col("branch_no") == OPENING.no
+        if opening_units == "each":
+            base = F.map_keys(F.map_filter("factors", lambda _, jumlah: jumlah == 1))
+            each = F.when(opens, F.coalesce(base, F.array()))
+            rows = rows.withColumn("base_unit", F.explode_outer(each))
+            rows = rows.where(~opens | F.col("base_unit").isNotNull())
+        code = F.when(opens, F.col("base_unit")).otherwise(F.col("kd_satuan"))
+        return rows.withColumn("kd_satuan", code)
+
+    def with_names(rows: DataFrame) -> DataFrame:
+        label = F.col("transaksi")
+        if not known_only:
+            label = F.when(
+                F.col("branch_no") == SALE_RETURN.no, SALE_RETURN_WITH_RECEIPT
+            ).otherwise(label)
+        hidden = [c for c in rows.columns if c.startswith("__")]
+        return (
+            rows.join(divisi, ["server_key", "kd_divisi"], "inner" if known_only else "left")
+            .join(satuan, ["server_key", "kd_satuan"], "left")
+            .select(
+                "server_key",
+                or_blank(F.col("kd_divisi")).alias("kd_divisi"),
+                or_blank(F.col("keterangan")).alias("divisi"),
+                or_blank(F.col("kepala_nota")).alias("kepala_nota"),
+                "tanggal",
+                label.alias("transaksi"),
+                "no_transaksi",
+                "kd_barang",
+                or_blank(F.col("barang")).alias("barang"),
+                F.coalesce("debet", F.lit(0)).alias("debet"),
+                F.coalesce("kredit", F.lit(0)).alias("kredit"),
+                "kd_satuan",
+                or_blank(F.col("satuan")).alias("satuan"),
+                F.coalesce("harga", F.lit(0)).alias("harga"),
+                factor_of(F.col("kd_satuan")).alias("konversi"),
+                "branch_no",
+                "line_no",
+                *hidden,
+            )
         )
-    )
+
+    return History(ledger, item_cards(source), (counted, with_unit_code, with_names))
 
 
-def with_unit(history: DataFrame, satuan: str = "ALL") -> DataFrame:
+def with_unit(history: History, satuan: str = "ALL") -> History:
     """Only the rows of one unit name; ``ALL`` keeps every row."""
-    return history if satuan == "ALL" else history.where(F.col("satuan") == satuan)
+    if satuan == "ALL":
+        return history
+    return history.then(lambda rows: rows.where(F.col("satuan") == satuan))
 
 
-def converted(history: DataFrame) -> DataFrame:
+def converted(history: History) -> History:
     """Quantities in smallest units; the unit name says where that changed them."""
-    return history.withColumns(
-        {
-            "debet": F.col("debet") * F.col("konversi"),
-            "kredit": F.col("kredit") * F.col("konversi"),
-            "satuan": converted_label(F.col("satuan"), F.col("konversi")),
-        }
-    )
+    changed = {
+        "debet": F.col("debet").cast(NET_QTY) * F.col("konversi"),
+        "kredit": F.col("kredit").cast(NET_QTY) * F.col("konversi"),
+        "satuan": converted_label(F.col("satuan"), F.col("konversi")),
+    }
+    return history.then(lambda rows: rows.withColumns(changed))
 
 
 def _day() -> Column:
@@ -122,7 +192,7 @@ def _or_epoch() -> Column:
 
 def _ledger_order() -> tuple[list[Level], list[Column]]:
     """Division, then date; documents of one date in the order of their kind."""
-    return [Level(F.col("kd_divisi")), Level(_day())], [
+    return [Level(or_blank(F.col("kd_divisi"))), Level(_day())], [
         F.col(c).asc_nulls_first() for c in ("tanggal", *TIE_BREAKERS)
     ]
 
@@ -130,46 +200,58 @@ def _ledger_order() -> tuple[list[Level], list[Column]]:
 def _screen_order(ascending: bool = True) -> tuple[list[Level], list[Column]]:
     """Date over all divisions, a missing date counting as the epoch."""
     moment = _or_epoch()
-    ties = [F.col(c).asc_nulls_first() for c in ("kd_divisi", "tanggal", *TIE_BREAKERS)]
-    return [Level(F.to_date(moment), ascending)], [
-        moment.asc() if ascending else moment.desc(),
-        *ties,
+    levels = [
+        Level(F.to_date(moment), ascending),
+        Level(moment, ascending),
+        Level(or_blank(F.col("kd_divisi"))),
     ]
+    return levels, [F.col(c).asc_nulls_first() for c in ("tanggal", *TIE_BREAKERS)]
 
 
-def _group(reset_per_division: bool) -> list[str]:
-    return [*ITEM, "kd_divisi"] if reset_per_division else ITEM
+def _net() -> Column:
+    return (F.col("debet") - F.col("kredit")).cast(RUNNING)
 
 
-def _net() -> Column:
-    return F.col("debet") - F.col("kredit")
+def _balanced(
+    history: History, levels: list[Level], order: list[Column], reset_per_division: bool
+) -> DataFrame:
+    ledger = with_levels(history.ledger, levels)
+    group = list(ITEM)
+    if reset_per_division:
+        group.append("__division")
+        ledger = ledger.withColumn("__division", or_blank(F.col("kd_divisi")))
+    chunk = [*group, *level_names(levels)]
+    keys = [c for c in chunk if c not in ITEM]
+    chunks = (
+        history.classes(*keys, ledger=ledger)
+        .groupBy(*chunk)
+        .agg(F.sum(_net()).cast(RUNNING).alias("__sum0"), F.sum(COUNT).alias(COUNT))
+    )
+    before = totals_before(chunks, group, levels, ["__sum0", COUNT]).join(
+        history.cards, ITEM, "left"
+    )
+    rows = history.shape(ledger.join(before, chunk))
+    return within_chunks(rows, chunk, order, {"saldo": _net()}, ordinal="no")
 
 
-def with_balance(history: DataFrame, reset_per_division: bool = False) -> DataFrame:
+def with_balance(history: History, reset_per_division: bool = False) -> DataFrame:
     """Row number and running balance in ledger order.
 
     The balance of an item runs on over its divisions unless it is reset per division.
     """
-    levels, order = _ledger_order()
-    return running_totals(
-        history, _group(reset_per_division), levels, order, {"saldo": _net()}, ordinal="no"
-    )
+    return _balanced(history, *_ledger_order(), reset_per_division)
 
 
 def with_balance_by_date(
-    history: DataFrame, ascending: bool = True, reset_per_division: bool = False
+    history: History, ascending: bool = True, reset_per_division: bool = False
 ) -> DataFrame:
     """Row number and running balance by date, as a screen shows them."""
-    levels, order = _screen_order(ascending)
-    return running_totals(
-        history, _group(reset_per_division), levels, order, {"saldo": _net()}, ordinal="no"
-    )
+    return _balanced(history, *_screen_order(ascending), reset_per_division)
 
 
-def numbered(history: DataFrame, name: str = "no") -> DataFrame:
+def numbered(history: History) -> DataFrame:
     """Row number of each movement of an item in ledger order."""
-    levels, order = _ledger_order()
-    return running_totals(history, ITEM, levels, order, {}, ordinal=name)
+    return with_balance(history).drop("saldo")
 
 
 def sort_order(column: str, ascending: bool = True) -> list[Column]:
@@ -189,7 +271,7 @@ def sorted_history(
 ) -> DataFrame:
     """Position of each movement of an item, and its balance, in the chosen order.
 
-    ``history`` carries the row number ``no`` of ``numbered``. A column of any kind can be
+    ``history`` are rows with the row number ``no`` of ``numbered``. A column of any kind can be
     chosen, so the chunks are ranges of the sorted rows instead of its leading keys.
     """
     order = sort_order(column, ascending)
@@ -197,10 +279,11 @@ def sorted_history(
     return running_totals(cut, ITEM, [Level(F.col(CUT))], order, {"saldo": _net()}, name).drop(CUT)
 
 
-def totals(history: DataFrame) -> DataFrame:
+def totals(history: History) -> DataFrame:
     """Quantities in and out and the closing balance of each item."""
     return (
-        history.groupBy(*ITEM)
+        history.classes()
+        .groupBy(*ITEM)
         .agg(F.sum("debet").alias("debet"), F.sum("kredit").alias("kredit"))
         .select(
             *ITEM,
@@ -211,12 +294,14 @@ def totals(history: DataFrame) -> DataFrame:
     )
 
 
-def unit_names(history: DataFrame) -> DataFrame:
+def unit_names(history: History) -> DataFrame:
     """Unit names that occur in the history of each item."""
-    return history.where(F.col("satuan") != "").select(*ITEM, "satuan").distinct()
+    return history.classes().where(F.col("satuan") != "").select(*ITEM, "satuan").distinct()
 
 
-def in_history_order(history: DataFrame, column: str | None = None, ascending: bool = True):
+def in_history_order(
+    history: DataFrame, column: str | None = None, ascending: bool = True
+) -> DataFrame:
     """Rows sorted for output: per item in ledger order, or by a column."""
     if column is None:
         return history.orderBy(*ITEM, "no")

@@ -49,7 +49,7 @@ def write_stock_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
     _write(stock_export(report), path, fmt)
 
 
-def history_export(history: DataFrame, konversi: bool = False) -> DataFrame:
+def history_export(history: H.History, konversi: bool = False) -> DataFrame:
     """History with its running balance in ledger order, optionally in smallest units."""
     balanced = H.with_balance(H.converted(history) if konversi else history)
     shown = []
@@ -64,6 +64,6 @@ def history_export(history: DataFrame, konversi: bool = False) -> DataFrame:
 
 
 def write_history_report(
-    history: DataFrame, path: str, konversi: bool = False, fmt: str = "csv"
+    history: H.History, path: str, konversi: bool = False, fmt: str = "csv"
 ) -> None:
     _write(history_export(history, konversi), path, fmt)

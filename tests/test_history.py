@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,17 +75,18 @@ def test_balance_reset_per_division(source):
 def test_conversion_and_label(source):
     plain = H.movement_history(source, CLOSING, items=["1"])
     found = H.converted(plain)
-    assert rows(found.where("transaksi = 'Penjualan'"), "kredit", "satuan") == [(24, "Box (Conv)")]
-    assert rows(found.where("transaksi = 'Retur Pembelian'"), "kredit", "satuan") == [(3, "Pieces")]
+    shown = found.rows()
+    assert rows(shown.where("transaksi = 'Penjualan'"), "kredit", "satuan") == [(24, "Box (Conv)")]
+    assert rows(shown.where("transaksi = 'Retur Pembelian'"), "kredit", "satuan") == [(3, "Pieces")]
     assert rows(H.totals(found), "total_debet", "total_kredit", "saldo_akhir") == [(98.0, 40.0, 58.0)]
     assert rows(H.totals(plain), "saldo_akhir") == [(25.0,)]
 
 
 def test_last_balance_equals_totals(source):
+    history = H.converted(H.movement_history(source, CLOSING))
     for shaped in (H.with_balance, H.with_balance_by_date):
-        found = shaped(H.converted(H.movement_history(source, CLOSING)))
-        last = found.groupBy("kd_barang").agg(F.max_by("saldo", "no").cast("double"))
-        assert rows(last) == rows(H.totals(found), "kd_barang", "saldo_akhir")
+        last = shaped(history).groupBy("kd_barang").agg(F.max_by("saldo", "no").cast("double"))
+        assert rows(last) == rows(H.totals(history), "kd_barang", "saldo_akhir")
 
 
 def test_by_date_order(source):
@@ -98,23 +101,23 @@ def test_range_drops_the_opening_row(source):
     ranged = H.movement_history(source, CLOSING, items=["1"], start="2024-02-03", end="2024-02-09")
     assert listed(H.with_balance(ranged), "transaksi", "saldo") == [("Mutasi Keluar", -1), ("Mutasi Masuk", 0)]
     on_closing = H.movement_history(source, CLOSING, items=["1"], start="2024-01-31", end="2024-01-31")
-    assert rows(on_closing, "transaksi", "kd_divisi") == [("Stok Awal", "A"), ("Stok Awal", "B")]
+    assert rows(on_closing.rows(), "transaksi", "kd_divisi") == [("Stok Awal", "A"), ("Stok Awal", "B")]
 
 
 def test_items_and_divisions(source):
     history = H.movement_history(source, CLOSING, items=["1", "two"], divisions=["B", "A"])
-    assert rows(history.select("kd_barang", "kd_divisi").distinct()) == [("1", "A"), ("1", "B"), ("two", "A")]
+    assert rows(history.rows().select("kd_barang", "kd_divisi").distinct()) == [("1", "A"), ("1", "B"), ("two", "A")]
 
 
 def test_category_gates_opening_and_sales_only(source):
     found = H.movement_history(source, CLOSING, items=["off", "bare"])
-    assert rows(found, "kd_barang", "transaksi") == [("off", "Pembelian")]
+    assert rows(found.rows(), "kd_barang", "transaksi") == [("off", "Pembelian")]
 
 
 def test_unknown_names_are_blank_or_dropped(source):
     history = H.movement_history(source, CLOSING, items=["1"])
-    assert rows(history.where("kd_divisi = 'Z'"), "divisi", "kepala_nota", "satuan", "harga") == [("", "", "", 0)]
-    known = H.movement_history(source, CLOSING, known_only=True)
+    assert rows(history.rows().where("kd_divisi = 'Z'"), "divisi", "kepala_nota", "satuan", "harga") == [("", "", "", 0)]
+    known = H.movement_history(source, CLOSING, known_only=True).rows()
     assert rows(known.where("kd_divisi = 'Z'")) == []
     assert "Retur Penjualan Dengan Nota" not in {r.transaksi for r in known.collect()}
 
@@ -122,19 +125,19 @@ def test_unknown_names_are_blank_or_dropped(source):
 def test_opening_unit(source):
     def opening(units):
         found = H.movement_history(source, CLOSING, items=["two"], opening_units=units)
-        return rows(found, "transaksi", "kd_satuan")
+        return rows(found.rows(), "transaksi", "kd_satuan")
 
     assert opening("first") == [("Stok Awal", "BOX")]
     assert opening("each") == [("Stok Awal", "BOX"), ("Stok Awal", "PCS")]
     each = H.movement_history(source, CLOSING, items=["1"], opening_units="each")
-    assert each.count() == len(EXPORT_ORDER)
+    assert each.rows().count() == len(EXPORT_ORDER)
 
 
 def test_unit_names_and_filter(source):
     history = H.movement_history(source, CLOSING, items=["1"])
     assert rows(H.unit_names(history), "satuan") == [("Box",), ("Pieces",)]
-    assert H.with_unit(history, "ALL").count() == len(EXPORT_ORDER)
-    assert H.with_unit(history, "Box").count() == 4
+    assert H.with_unit(history, "ALL").rows().count() == len(EXPORT_ORDER)
+    assert H.with_unit(history, "Box").rows().count() == 4
 
 
 @pytest.mark.parametrize("ascending", [True, False])
@@ -163,7 +166,8 @@ def test_sorting_by_any_column(source, column, ascending):
 
 def test_null_dates_sort_first(spark, source):
     history = H.movement_history(source, CLOSING, items=["1"])
-    undated = history.withColumn("tanggal", F.when(F.col("transaksi") != "Penjualan", F.col("tanggal")))
+    dated = F.when(F.col("transaksi") != "Penjualan", F.col("tanggal"))
+    undated = replace(history, ledger=history.ledger.withColumn("tanggal", dated))
     assert listed(H.with_balance(undated), "transaksi")[0] == ("Penjualan",)
     assert listed(H.with_balance_by_date(undated), "transaksi")[0] == ("Penjualan",)
     assert listed(H.with_balance_by_date(undated, ascending=False), "transaksi")[-1] == ("Penjualan",)
