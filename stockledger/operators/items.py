@@ -12,39 +12,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockledger.functions.numbers import ZERO_IS_ONE, unit_factor
+from stockledger.schemas import QTY
 from stockledger.sources.base import Source
 
 ITEM = ["server_key", "kd_barang"]
 
 
+def _unit_sums() -> list[Column]:
+    """Base unit and all units of a group of unit rows; a row without a unit adds nothing."""
+    row = F.when(F.col("kd_satuan").isNotNull(), F.struct("kd_satuan", "jumlah"))
+    return [
+        F.min(F.when(F.col("jumlah") == 1, F.col("kd_satuan"))).alias("base_unit"),
+        F.sort_array(F.collect_list(row)).alias("units"),
+    ]
+
+
+def _factors() -> Column:
+    """Factor per unit; the last of several rows of a unit is its largest factor."""
+    last_of_unit = F.filter(
+        "units",
+        lambda unit, i: ~unit["kd_satuan"].eqNullSafe(F.get("units", i + 1)["kd_satuan"]),
+    )
+    return F.map_from_entries(last_of_unit).alias("factors")
+
+
 def item_units(source: Source) -> DataFrame:
     """Per item: base unit, base unit on sale with its price, and the factor of each unit.
 
     Where an item has several base units the first code in order is kept. Where a unit
     is registered twice the larger factor counts.
     """
-    base = F.col("jumlah") == 1
-    on_sale = base & (F.col("status") != 0)
-    per_item = (
-        source.table("m_barang_satuan")
-        .groupBy(*ITEM)
-        .agg(
-            F.min(F.when(base, F.col("kd_satuan"))).alias("base_unit"),
-            F.min(F.when(on_sale, F.struct("kd_satuan", "harga_jual"))).alias("sale_unit"),
-            F.sort_array(
-                F.collect_list(
-                    F.when(F.col("kd_satuan").isNotNull(), F.struct("kd_satuan", "jumlah"))
-                )
-            ).alias("units"),
-        )
-    )
-    last_of_unit = F.filter(
-        "units",
-        lambda unit, i: ~unit["kd_satuan"].eqNullSafe(F.get("units", i + 1)["kd_satuan"]),
-    )
-    return per_item.select(
-        *ITEM, "base_unit", "sale_unit", F.map_from_entries(last_of_unit).alias("factors")
-    )
+    on_sale = (F.col("jumlah") == 1) & (F.col("status") != 0)
+    sale_unit = F.min(F.when(on_sale, F.struct("kd_satuan", "harga_jual"))).alias("sale_unit")
+    per_item = source.table("m_barang_satuan").groupBy(*ITEM).agg(sale_unit, *_unit_sums())
+    return per_item.select(*ITEM, "base_unit", "sale_unit", _factors())
 
 
 def item_factors(source: Source) -> DataFrame:
@@ -93,16 +94,37 @@ def item_master(source: Source) -> DataFrame:
 
 
 def item_cards(source: Source) -> DataFrame:
-    """Every item with its name, category status and units, active or not."""
-    kategori = source.table("m_kategori").select(
-        "server_key", "kd_kategori", F.col("status").alias("kategori_status")
+    """Every item with its name, category status and units, active or not.
+
+    A unit may be registered for a code the item table lacks; its factor still counts.
+    Items and units are brought together by grouping their union rather than by a full
+    join: one shuffle, and a filter on the item reaches both scans.
+    """
+    kategori = source.table("m_kategori").selectExpr(
+        "server_key", "kd_kategori", "status AS kategori_status"
     )
     items = source.table("m_barang").join(kategori, ["server_key", "kd_kategori"], "left")
-    units = item_units(source).select(*ITEM, "base_unit", "factors")
-    # A unit may be registered for a code the item table lacks; its factor still counts.
-    return items.join(units, ITEM, "full").select(
-        *ITEM, F.col("nama").alias("barang"), "kategori_status", "base_unit", "factors"
+    parts = items.selectExpr(
+        *ITEM,
+        "true AS known",
+        "nama AS barang",
+        "kategori_status",
+        "cast(NULL AS string) AS kd_satuan",
+        f"cast(NULL AS {QTY}) AS jumlah",
+    ).unionByName(
+        source.table("m_barang_satuan").selectExpr(
+            *ITEM,
+            "false AS known",
+            "cast(NULL AS string) AS barang",
+            "cast(NULL AS int) AS kategori_status",
+            "kd_satuan",
+            "jumlah",
+        )
+    )
+    merged = parts.groupBy(*ITEM).agg(
+        *[F.max(c).alias(c) for c in ("known", "barang", "kategori_status")], *_unit_sums()
     )
+    return merged.select(*ITEM, "known", "barang", "kategori_status", "base_unit", _factors())
 
 
 def in_active_category(ledger: DataFrame, flag: Column) -> DataFrame:

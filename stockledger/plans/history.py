@@ -117,7 +117,7 @@ def movement_history(
 
     def counted(rows: DataFrame) -> DataFrame:
         if known_only:
-            rows = rows.where("barang is not null")
+            rows = rows.where("known")
         return in_active_category(rows, needs_active_category())
 
     def with_unit_code(rows: DataFrame) -> DataFrame:

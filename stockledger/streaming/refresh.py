@@ -48,12 +48,29 @@ def delta_refresh(
     bounded = LedgerWindow(window.closing_ts, window.as_of, since, known_until)
     rows = delta_rows(source, bounded).where(F.col("server_key") == server_key)
     batch = f"{server_key}-{since:%Y%m%dT%H%M%S%f}"
-    count = rows.count()
-    delta = accumulate(rows, source) if count else None
-    store.append_delta([server_key], delta, batch, known_until, count)
+    count = _append(store, rows, source, [server_key], batch, known_until)
     return "delta" if count else "unchanged"
 
 
+def _append(
+    store: SnapshotStore,
+    rows: DataFrame,
+    lookup: Source,
+    server_keys: list[str],
+    batch: str,
+    known_until: TimeLike | None,
+) -> int:
+    """Add the rows of a feed to the store; they are read once, counted and summed."""
+    rows = rows.persist()
+    try:
+        count = rows.count()
+        delta = accumulate(rows, lookup) if count else None
+        store.append_delta(server_keys, delta, batch, known_until, count)
+    finally:
+        rows.unpersist()
+    return count
+
+
 def stream_refresh(
     store: SnapshotStore,
     feed: Source,
@@ -77,13 +94,8 @@ def stream_refresh(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         step = f"{name}-{batch_id}"
-        if store.is_applied(step):
-            return
-        batch = batch.persist()
-        count = batch.count()
-        delta = accumulate(batch, lookup) if count else None
-        store.append_delta(server_keys, delta, step, None, count)
-        batch.unpersist()
+        if not store.is_applied(step):
+            _append(store, batch, lookup, server_keys, step, None)
 
     return (
         rows.writeStream.foreachBatch(apply)

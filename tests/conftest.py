@@ -19,7 +19,11 @@ def spark(tmp_path_factory):
         "stockledger-tests",
         "local[4]",
         {
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            "spark.default.parallelism": "1",
+            "spark.sql.adaptive.enabled": "false",
+            # Tiny frames: compiling each stage would take longer than running it.
+            "spark.sql.codegen.wholeStage": "false",
             "spark.ui.enabled": "false",
             "spark.sql.maxMetadataStringLength": "4000",
             "spark.ui.showConsoleProgress": "false",
