@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from stockledger import schemas
 from stockledger.params import LedgerWindow
@@ -50,9 +51,9 @@ def test_columns_are_cast_and_optional_ones_filled(spark):
 
 def _write(site, root, keys):
     for name in schemas.TABLES:
-        df = site.table(name).drop("server_key")
-        both = df.crossJoin(site.spark.createDataFrame([(k,) for k in keys], "server_key string"))
-        both.write.partitionBy("server_key").parquet(f"{root}/{name}")
+        for key in keys:
+            rows_of = site.table(name).withColumn("server_key", F.lit(key))
+            rows_of.write.mode("append").partitionBy("server_key").parquet(f"{root}/{name}")
 
 
 def test_parquet_sites(spark, site, tmp_path):
