@@ -5,8 +5,8 @@ words spelled alike. Two gated recurrences read a window of ``SPAN`` words in bo
 states, and a logistic unit scores the window. Windows overlap by half; every window of every text is
 scored, and a text's score is its highest.
 
-The network is trained in numpy on a bounded sample of labelled documents (``max_rows`` of each label, texts of at most
-``max_chars``). As labels name documents, not windows, each toxic document teaches by its most suspicious window:
+The network is trained in numpy on a bounded sample of labelled documents (``max_rows`` toxic and twice as many clean ones,
+of at most ``max_chars``). As labels name documents, not windows, each toxic document teaches by its most suspicious window:
 at first the one with the highest log-odds of its trigrams, later the one the network itself ranks highest;
 clean documents teach by random windows and by those ranked highest.
 """
@@ -24,7 +24,7 @@ from stockledger.llm.common import Ids, id_and_text, offsets_of, record, runs
 from stockledger.llm.quality import held_out, sample
 
 SPAN, STEP = 24, 12
-WORD_BUCKETS, GRAM_BUCKETS = 4096, 8192
+WORD_BUCKETS, GRAM_BUCKETS = 4096, 32_768
 WORD_SIZE, GRAM_SIZE, HIDDEN, ATTENTION = 8, 16, 8, 8
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_windows", pa.int64())])
@@ -72,7 +72,7 @@ class Network:
         normal = lambda *shape, scale: (draw.standard_normal(shape) * scale).astype(np.float32)
         self.p = {
             "words": normal(WORD_BUCKETS, WORD_SIZE, scale=0.1),
-            "grams": normal(GRAM_BUCKETS, GRAM_SIZE, scale=0.3),
+            "grams": normal(GRAM_BUCKETS, GRAM_SIZE, scale=0.1),
             "attend": normal(2 * h, ATTENTION, scale=0.4),
             "asked": normal(ATTENTION, scale=0.4),
             "out": normal(2 * h, scale=0.4),
@@ -132,10 +132,17 @@ class Network:
             out[at : at + block] = self._pool(states, ids)[3]
         return out
 
-    def gradients(self, words, grams, grams_at, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict:
-        """Gradients of the weighted logistic loss of windows over the distinct words given."""
+    def gradients(
+        self, words, grams, grams_at, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, known: np.ndarray | None = None
+    ) -> dict:
+        """Gradients of the weighted logistic loss of windows over the distinct words given.
+
+        ``known`` is 0 for words of which the word's own vector is left out, so that spelling must do.
+        """
         h, d = HIDDEN, {k: np.zeros_like(v) for k, v in self.p.items()}
         x = self.inputs(words, grams, grams_at)
+        known = np.ones(len(words), dtype=np.float32) if known is None else known
+        x[:, :WORD_SIZE] *= known[:, None]
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate(
             [self._read(s, x @ self.p[f"x{s}"] + self.p[f"c{s}"], ids, kept[s]) for s in "fb"], axis=2
@@ -169,7 +176,7 @@ class Network:
                 np.add.at(d_given, ids[:, t], np.hstack([d_both, d_new]))
             d[f"x{side}"], d[f"c{side}"] = x.T @ d_given, d_given.sum(axis=0)
             d_x += d_given @ self.p[f"x{side}"].T
-        np.add.at(d["words"], words, d_x[:, :WORD_SIZE])
+        np.add.at(d["words"], words, d_x[:, :WORD_SIZE] * known[:, None])
         n = np.diff(grams_at)
         owner = np.repeat(np.arange(len(words)), n)
         np.add.at(d["grams"], grams, d_x[owner, WORD_SIZE:] / n[owner][:, None])
@@ -203,7 +210,7 @@ def _suspicion(windows: Windows, labels: np.ndarray) -> np.ndarray:
     return np.sort(word[windows.ids], axis=1)[:, -3:].sum(axis=1)
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int = 6, batch: int = 256, rate: float = 4e-3) -> Network:
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, epochs: int = 3, batch: int = 256, rate: float = 4e-3, decay: float = 0.01) -> Network:
     """A network for these documents. With none, or one label only, it is left untrained but for its bias."""
     net, draw = Network(), np.random.default_rng(11)
     if len(texts) == 0 or labels.min() == labels.max():
@@ -220,7 +227,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int =
             order = net.scores(windows)
         top = np.lexsort((-order, windows.of))
         ranked = [top[windows.first[d] : windows.first[d + 1]] for d in range(len(texts))]
-        rows = [r[:1] if y else np.append(r[:2], draw.choice(r, 2)) for r, y in zip(ranked, labels, strict=True)]
+        rows = [r[:1] if y else np.append(r[:2], draw.choice(r, 1)) for r, y in zip(ranked, labels, strict=True)]
         of = np.repeat(labels, [len(r) for r in rows])
         rows = np.concatenate(rows)
         weights = np.where(of > 0, (of == 0).sum() / max(1, (of > 0).sum()), 1.0)
@@ -228,11 +235,14 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int =
             shuffled = draw.permutation(len(rows))
             for at in range(0, len(rows), batch):
                 part = shuffled[at : at + batch]
-                d = net.gradients(*_some(windows, rows[part]), of[part], weights[part])
+                some = _some(windows, rows[part])
+                known = (draw.random(len(some[0])) < 0.3).astype(np.float32)
+                d = net.gradients(*some, of[part], weights[part], known)
                 steps += 1
                 for k, g in d.items():
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.002 * (g * g - second[k])
+                    net.p[k] *= 1 - rate * decay
                     net.p[k] -= rate * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.998**steps)) + 1e-7)
     return net
 
@@ -251,15 +261,15 @@ def scored(
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_windows), one row for each row of ``docs``, with all windows scored.
 
-    Learns from rows of ``labels`` outside the held-out fold, at most ``max_rows`` of each label and of documents of at most
-    ``max_chars``. A text without words is one empty window and gets its score. Labels that are null or without
+    Learns from rows of ``labels`` outside the held-out fold, at most ``max_rows`` toxic and twice as many clean ones, of
+    at most ``max_chars``. A text without words is one empty window and gets its score. Labels that are null or without
     a document teach nothing; without usable labels all scores are 0.5.
     """
     texts = id_and_text(docs, id_col, text_col)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds, fold))
     usable = usable.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
-    chosen = sample(usable.where("label = 1"), "id", max_rows).union(sample(usable.where("label = 0"), "id", max_rows))
-    # The sample's ids are at most 2 * max_rows, and its texts at most that many times max_chars.
+    chosen = sample(usable.where("label = 1"), "id", max_rows).union(sample(usable.where("label = 0"), "id", 2 * max_rows))
+    # The sample's ids are at most 3 * max_rows, and its texts at most that many times max_chars.
     taught = texts.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "id").orderBy("id").toPandas()
     net = train([t.encode() for t in taught["text"]], taught["label"].to_numpy(dtype=float))
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
