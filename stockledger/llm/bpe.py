@@ -39,6 +39,7 @@ DIGESTS = pa.schema(
         ("ids_sha256", pa.string()),
         ("decoded_sha256", pa.string()),
         ("valid_utf8", pa.bool_()),
+        ("ids", pa.binary()),
     ]
 )
 
@@ -326,9 +327,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of the ids and of the bytes decoded from them, one row for each row of ``docs``.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, valid_utf8, ids), one row for each row of ``docs``.
 
-    Encodes and decodes in one pass, so that ids never leave the task. ``valid_utf8`` tells whether the
+    The digests are of the ids and of the bytes decoded from them. Encodes and decodes in one pass. ``valid_utf8`` tells whether the
     streaming decoder met only whole characters. Nulls: as in ``encode_documents``.
     """
 
@@ -343,9 +344,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 for piece in own.decode(found):
                     digest.update(piece.encode())
                     valid = valid and "�" not in piece
-                rows.append((len(found) // 4, sha(found), digest.hexdigest(), valid or "�" in text.decode()))
+                rows.append((len(found) // 4, sha(found), digest.hexdigest(), valid or "�" in text.decode(), found))
             yield record(DIGESTS, ids, *map(list, zip(*rows, strict=True)))
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean, ids binary"
     )

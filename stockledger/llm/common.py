@@ -48,23 +48,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def runs(batches: Iterator[pa.RecordBatch], limit: int = RUN_BYTES) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and UTF-8 texts (null: empty) of the first two columns, about ``limit`` bytes of text at a time.
+def text_runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[list[bytes]]:
+    """UTF-8 texts (null: empty) of a column, about ``limit`` bytes at a time.
 
     A text is never cut: one longer than ``limit`` makes a run of its own.
     """
+    run, size = [], 0
+    for text in column.cast(pa.binary()).fill_null(b""):
+        text = text.as_py()
+        if run and size + len(text) > limit:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
+def runs(batches: Iterator[pa.RecordBatch], limit: int = RUN_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of the first two columns, in runs."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        column = batch.column(1)
-        lengths = np.asarray(column.cast(pa.binary()).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
-        start, size = 0, 0
-        for i, text in enumerate(lengths):
-            if size and size + len(text) > limit:
-                yield ids[start:i], list(lengths[start:i])
-                start, size = i, 0
-            size += len(text)
-        if start < len(ids):
-            yield ids[start:], list(lengths[start:])
+        ids, at = batch.column(0).to_pylist(), 0
+        for texts in text_runs(batch.column(1), limit):
+            yield ids[at : at + len(texts)], texts
+            at += len(texts)
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -77,12 +84,6 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal few large input splits to all tasks only where there are fewer splits than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Ids(dict):
     """Consecutive numbers of the values looked up, from ``start``."""
 

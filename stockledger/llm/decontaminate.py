@@ -15,7 +15,6 @@ a document has no hits and such an item is found nowhere.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import Ids, id_and_text, offsets_of, record, runs, written
+from stockledger.llm.common import Ids, id_and_text, offsets_of, record, runs, text_runs
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -268,16 +267,27 @@ def matches(
 
 
 def without_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Rows of ``docs``, all columns, of documents without a hit. Rows are matched by id: rows that share
-    an id go together, and a row without an id always stays."""
-    hit = written(
-        contamination(docs, benchmark, window, id_col, text_col).where(F.size("hits") > 0).select("doc_id"), "hit"
-    ).withColumnRenamed("doc_id", "_hit_doc_id")
-    return docs.join(hit, docs[id_col] == hit["_hit_doc_id"], "left_anti")
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """Rows of ``docs``, all columns, without a hit. Every row is judged by its own text, block by block of the benchmark."""
+    for block in _blocks(benchmark, item_col, item_text_col):
+        docs = docs.where(~_hit(docs.sparkSession.sparkContext.broadcast(block), window)(F.col(text_col).cast("string")))
+    return docs
 
 
-def digest_of(items: list[int]) -> str:
-    """The digest of ``report`` for a list of item ids, for tests."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def _hit(shared, window: int):
+    @F.arrow_udf("boolean")
+    def hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        suffixes = Suffixes(shared.value, window)
+        for column in texts:
+            out = []
+            for part in text_runs(column):
+                words, begins = _shard(suffixes, part)
+                found = np.zeros(len(part), dtype=bool)
+                for _, at, _ in suffixes.search(words):
+                    found[np.searchsorted(begins, at, "right") - 1] = True
+                out += found.tolist()
+            yield pa.array(out, pa.bool_())
+
+    return hit

@@ -14,13 +14,14 @@ clean documents teach by random windows and by those ranked highest.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import Ids, id_and_text, offsets_of, record, runs
+from stockledger.llm.common import Ids, id_and_text, offsets_of, record, runs, text_runs
 from stockledger.llm.quality import held_out, sample
 
 SPAN, STEP = 24, 12
@@ -247,6 +248,26 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, epochs: int =
     return net
 
 
+def learned(
+    docs: DataFrame, labels: DataFrame, folds: int, fold: int, label_col: str, max_rows: int, max_chars: int, id_col: str, text_col: str
+) -> Network:
+    """A network for the sample of labelled documents described in ``scored``."""
+    texts = id_and_text(docs, id_col, text_col)
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds, fold))
+    usable = usable.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
+    chosen = sample(usable.where("label = 1"), "id", max_rows).union(sample(usable.where("label = 0"), "id", 2 * max_rows))
+    # The sample's ids are at most 3 * max_rows, and its texts at most that many times max_chars.
+    taught = texts.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "id").orderBy("id").toPandas()
+    return train([t.encode() for t in taught["text"]], taught["label"].to_numpy(dtype=float))
+
+
+def score_texts(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(score, windows) of each text: the highest of its windows."""
+    windows = Windows(texts)
+    best = np.maximum.reduceat(net.scores(windows), windows.first[:-1])
+    return _sigmoid(best.astype(float)), np.diff(windows.first)
+
+
 def scored(
     docs: DataFrame,
     labels: DataFrame,
@@ -266,21 +287,14 @@ def scored(
     a document teach nothing; without usable labels all scores are 0.5.
     """
     texts = id_and_text(docs, id_col, text_col)
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds, fold))
-    usable = usable.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
-    chosen = sample(usable.where("label = 1"), "id", max_rows).union(sample(usable.where("label = 0"), "id", 2 * max_rows))
-    # The sample's ids are at most 3 * max_rows, and its texts at most that many times max_chars.
-    taught = texts.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "id").orderBy("id").toPandas()
-    net = train([t.encode() for t in taught["text"]], taught["label"].to_numpy(dtype=float))
+    net = learned(docs, labels, folds, fold, label_col, max_rows, max_chars, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
 
     def run(batches):
         own = Network()
         own.p = shared.value
         for ids, part in runs(batches):
-            windows = Windows(part)
-            best = np.maximum.reduceat(own.scores(windows), windows.first[:-1])
-            yield record(SCORES, ids, _sigmoid(best.astype(float)), np.diff(windows.first))
+            yield record(SCORES, ids, *score_texts(own, part))
 
     return texts.mapInArrow(run, "doc_id long, score double, n_windows long").select(
         "doc_id",
@@ -289,3 +303,30 @@ def scored(
         (F.col("score") >= cut).cast("int").alias("predicted"),
         "n_windows",
     )
+
+
+def clean(
+    docs: DataFrame,
+    labels: DataFrame,
+    folds: int = 3,
+    fold: int = 1,
+    label_col: str = "toxic",
+    cut: float = 0.7,
+    max_rows: int = 1500,
+    max_chars: int = 32_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Rows of ``docs``, all columns, that score below ``cut``; trained as in ``scored``. Every row is judged by its own text."""
+    net = learned(docs, labels, folds, fold, label_col, max_rows, max_chars, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(net.p)
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Network()
+        own.p = shared.value
+        for column in texts:
+            parts = [score_texts(own, part)[0] for part in text_runs(column)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    return docs.where(score(F.col(text_col).cast("string")) < cut)
