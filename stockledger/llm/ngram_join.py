@@ -9,11 +9,11 @@ sketches is at most the size of the sets' symmetric difference. By size bands (p
 more than they may differ in, so that some pieces of linked texts agree. Pieces are ordered for all
 texts alike, those of several shingles first: as at most D pieces differ, the first D + 1 of both texts have one in common,
 and only these are joined. Texts near the upper end of a band also stand in the next one. Texts that meet in a piece are
-verified on their whole sets.
+verified: first by folded sketches of a few bits for each shingle, which every task can hold, then on their whole sets.
 
 Equal sets are one node from the start, so copies never form pairs. In a piece that many different
 sets share, all are compared with a few centres at first; those left in other components are then compared with all
-others of the piece. So no link between different texts is lost, and groups of near copies cost one comparison
+others of the piece, sketch by sketch, in blocks. So no link between different texts is lost, and groups of near copies cost one comparison
 for each text and piece.
 """
 
@@ -32,10 +32,13 @@ from stockledger.llm.components import components
 from stockledger.llm.textstats import TextRun
 
 SHINGLE = 5
-CROWD = 24  # different sets in a piece, beyond which they are compared with centres first
+CROWD = 8  # different sets in a piece, beyond which they are compared with centres first
+BLOCK = 2048  # members of a crowded piece in one block
 BROADCAST_IDS = 2_000_000  # 16 MB
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+SETS = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())]
+)
 PIECES = pa.schema([("piece", pa.int64()), ("n", pa.int32()), ("d1", pa.int64())])
 MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("piece", pa.int64())])
 HASHES = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
@@ -65,6 +68,25 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist())
 
 
+def folded_sketch(hashes: np.ndarray) -> bytes:
+    """The parity sketch with its bits folded on at least twice as many as there are shingles, a power of two."""
+    size = max(256, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 256
+    odd = np.bincount((mixed(hashes) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch folded on to ``size`` bytes: halves are XORed, which keeps every parity right."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def may_link(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes, whose sketches differ in so many bits at least, can link."""
+    return (7 * distance <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+
+
 def n_pieces(high: int) -> int:
     """Pieces of a sketch in the band of sizes below ``high``."""
     return max(-(-2 * high // 5), min(2 * high, 64))
@@ -97,15 +119,16 @@ def pieces(hashes: np.ndarray) -> np.ndarray:
 
 
 def described(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, d1, d2): size and digest of the shingle set of each row."""
+    """(doc_id, n, d1, d2, sketch): size, digest and folded sketch of the shingle set of each row."""
 
     def run(batches):
         for ids, part in runs(batches):
             sets = shingle_sets(part, size)
             both = [digest(s) for s in sets]
-            yield record(SETS, ids, [len(s) for s in sets], [d[0] for d in both], [d[1] for d in both])
+            sketches = [folded_sketch(s) for s in sets]
+            yield record(SETS, ids, [len(s) for s in sets], [d[0] for d in both], [d[1] for d in both], sketches)
 
-    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
 
 
 def piece_rows(texts: DataFrame, size: int = SHINGLE, remembered: int = 500_000) -> DataFrame:
@@ -220,8 +243,29 @@ def with_hashes(texts: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> Dat
     return found.mapInArrow(run, "id long, hashes binary")
 
 
-def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of ids of which the whole sets link."""
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes that may link by size and sketch."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            distance = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y))
+                size = min(len(x), len(y))
+                distance[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            keep = pa.array(may_link(n, m, distance))
+            yield record(VERIFIED, batch.column(0).filter(keep), batch.column(1).filter(keep))
+
+    side = lambda name: sketches.select(
+        F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch")
+    )
+    given = pairs.join(side("a"), "a").join(side("b"), "b")
+    return given.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Those pairs (a, b) of ids of ``texts`` of which the whole sets link."""
 
     def run(batches):
         for batch in batches:
@@ -232,6 +276,8 @@ def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both) and both > 0)
             yield record(VERIFIED, batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)))
 
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    hashes = written(with_hashes(texts, wanted, size).dropDuplicates(["id"]), "hashes")
     side = lambda name: hashes.select(F.col("id").alias(name), F.col("hashes").alias(f"{name}_hashes"))
     given = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_hashes", "b_hashes")
     return given.mapInArrow(run, "a long, b long")
@@ -246,49 +292,80 @@ def linked(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_co
     texts = id_and_text(docs, id_col, text_col)
     sets = written(described(texts, size), "sets")
     # Nodes: one for each different set, named by its smallest document.
-    nodes = written(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "nodes")
+    nodes = written(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "nodes")
+    named = sets.join(nodes.where("node IS NOT NULL"), ["d1", "d2"]).where("doc_id = node")
+    named = written(named.select("d1", "node", "n", "sketch").dropDuplicates(["node"]), "named")
     met = written(meeting(piece_rows(texts, size)), "met")
     # d1 alone names a set in the shuffle; should sets share it, all of them stand for it, and meet each other.
-    named = nodes.where(F.col("node").isNotNull())
     left = named.select(F.col("d1").alias("a"), F.col("node").alias("x"))
     right = named.select(F.col("d1").alias("b"), F.col("node").alias("y"))
     pair = lambda found: found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = pair(met.select("a", "b").distinct().join(left, "a").join(right, "b"))
     twins = pair(left.join(right, F.col("a") == F.col("b")))
-    pairs = written(pairs.unionByName(twins).distinct(), "pairs")
-    crowds = met.where(F.col("piece").isNotNull())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = wanted.unionByName(crowds.select(F.col("b").alias("d1")).distinct().join(named, "d1").select(F.col("node").alias("id")))
-    hashes = written(with_hashes(texts, written(wanted.distinct(), "wanted"), size), "hashes")
-    links = written(verified(pairs, hashes), "links")
+    pairs = written(alike(pairs.unionByName(twins).distinct(), named), "pairs")
+    links = written(verified(pairs, texts, size), "links")
     groups = components(links)
-    rest = written(_rest(crowds, named, groups), "rest")
+    crowds = met.where("piece IS NOT NULL").select("piece", F.col("b").alias("d1")).distinct()
+    rest = written(across(crowds.join(named, "d1").drop("d1"), groups), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, hashes))
+        links = links.unionByName(written(verified(rest, texts, size), "links"))
         groups = components(links)
-    owner = sets.join(nodes.drop("n"), ["d1", "d2"], "left")
+    owner = sets.drop("sketch").join(nodes, ["d1", "d2"], "left")
     groups = groups.withColumnRenamed("node", "of")
     return owner.join(groups, F.col("node") == F.col("of"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id")
     )
 
 
-def _rest(crowds: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a crowded piece that are still in different components: each node outside the component of most
-    of its piece with every other one."""
-    members = crowds.select("piece", F.col("b").alias("d1")).distinct().join(named.select("d1", "node", "n"), "d1")
-    members = members.join(groups, "node", "left").select(
-        "piece", "node", "n", F.coalesce("component", "node").alias("component")
+def across(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a crowded piece (piece, node, n, sketch) that are in different components and may link.
+
+    Pieces within one component are done with. Of the others, members are dealt in blocks, and every two blocks of a piece
+    are compared in a task of their own.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(rows: list[tuple]) -> np.ndarray:
+        i, j, block, node, n, component, sketch = zip(*rows, strict=True)
+        block, node, n, component = map(np.asarray, (block, node, n, component))
+        size = min(map(len, sketch))
+        bits = np.stack([folded(np.frombuffer(s, dtype=np.uint8), size) for s in sketch]).view(np.uint64)
+        here, there = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        found = []
+        for x in here:
+            others = there[there > x] if i[0] == j[0] else there
+            others = others[component[others] != component[x]]
+            distance = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            y = others[may_link(n[others], n[x], distance)]
+            found.append(np.column_stack([np.full(len(y), node[x]), node[y]]))
+        return np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), dtype=np.int64)
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if rows:
+                        yield record(schema, *np.unique(compare(rows), axis=0).T)
+                    key, rows = row[:3], []
+                rows.append(row[1:])
+        if rows:
+            yield record(schema, *np.unique(compare(rows), axis=0).T)
+
+    groups = groups.withColumnRenamed("node", "of")
+    known = members.join(groups, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node"))
+    known = written(known.drop("of"), "members")
+    open_ = known.groupBy("piece").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    )
+    open_ = open_.where("low < high").drop("low", "high")
+    dealt = known.join(open_, "piece").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "piece", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "sketch"
     )
-    members = written(members, "members")
-    sizes = members.groupBy("piece", "component").count()
-    most = sizes.groupBy("piece").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("k"))
-    outside = members.join(most.where("k > 1"), "piece").where("component <> most").drop("most", "k")
-    y = members.select("piece", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "component")))
-    close = "component <> y_component AND 4 * least(n, y_n) >= 3 * greatest(n, y_n)"
-    return outside.join(y, "piece").where(close).select(
-        F.least("node", "y_node").alias("a"), F.greatest("node", "y_node").alias("b")
-    ).distinct()
+    dealt = dealt.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def representatives(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
