@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import id_and_text, record, runs, written
+from stockledger.llm.common import fresh, id_and_text, record, runs, written
 from stockledger.llm.textstats import IS_START
 
 LEAST, MOST = 16, 256
@@ -147,9 +147,10 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     The text of a row goes through the operator together with the row's other columns, so ids need not be unique.
     """
-    found = written(repeats(id_and_text(docs, id_col, text_col)), "repeats")
-    given = docs.join(found, docs[id_col].cast("long") == F.col("repeat_id"), "left")
-    text = _cut(least)(F.col(text_col).cast("string"), F.col("repeated"))
+    found, of, repeated = repeats(id_and_text(docs, id_col, text_col)), fresh("of"), fresh("repeated")
+    found = written(found.select(F.col("repeat_id").alias(of), F.col("repeated").alias(repeated)), "repeats")
+    given = docs.join(found, docs[id_col].cast("long") == F.col(of), "left")
+    text = _cut(least)(F.col(text_col).cast("string"), F.col(repeated))
     out = given.withColumn(text_col, text.cast(docs.schema[text_col].dataType))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))

@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def text_runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[list[bytes]]:
     """UTF-8 texts (null: empty) of a column, about ``limit`` bytes at a time.
 

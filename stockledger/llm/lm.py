@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from stockledger.llm.common import id_and_text, record, runs, written
 from stockledger.llm.quality import held_out
 
-OWN = 1536
-CLASSES = 256
+OWN = 1024
+CLASSES = 192
 HEAD = 50_000
 SIZE = 24
 END = b"\n"  # no word: words hold no white space
@@ -74,6 +74,25 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most``: all that are counted at least so often; the most frequent first.
+
+    The bound comes from how many words there are of each eighth of a power of two, so only the answer reaches the driver.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    sizes = sorted(counts.groupBy(step).count().collect(), reverse=True)
+    room, least = most, None
+    for r in sizes:
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    if least is None:
+        return []
+    found = counts.where(F.floor(F.log2("n") * 8) >= least).collect()
+    return sorted(((bytes(r.word), r.n) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 def class_of(word: bytes, own: int) -> int:
     """Symbol of a word without one of its own: by its last letters, without the marks after them."""
     return own + zlib.crc32(word.rstrip(b".,;:!?|")[-3:]) % CLASSES
@@ -196,8 +215,7 @@ def scored(
     counts = written(word_counts(teaching), "words")
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = sums[0] or 0, sums[1]
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
-    top = [(bytes(r.word), r.n) for r in top]
+    top = frequent(counts, head)
     names = [w for w, _ in top[:own]]
     pairs = pair_counts(teaching, names).toPandas()
     symbols = len(names) + CLASSES

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import id_and_text, mixed, record, runs, written
+from stockledger.llm.common import fresh, id_and_text, mixed, record, runs, written
 from stockledger.llm.components import components
 from stockledger.llm.textstats import TextRun
 
@@ -373,7 +373,7 @@ def representatives(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
 
     Of each group the document with the smallest id stays. Rows without an id stay.
     """
-    gone = linked(docs, size, id_col, text_col).where("doc_id <> component_id")
-    gone = written(gone.select(F.col("doc_id").alias("_near_doc_id")), "gone")
-    return docs.join(gone, docs[id_col] == F.col("_near_doc_id"), "left_anti")
+    gone, of = linked(docs, size, id_col, text_col).where("doc_id <> component_id"), fresh("of")
+    gone = written(gone.select(F.col("doc_id").alias(of)), "gone")
+    return docs.join(gone, docs[id_col] == F.col(of), "left_anti")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import record, runs, written
+from stockledger.llm.common import fresh, record, runs, written
 from stockledger.llm.textstats import IS_SYMBOL, TextRun
 
 SPREAD = 3.0
@@ -128,6 +128,7 @@ def judged(
 
 def filtered(docs: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """Rows of ``docs``, all columns, that are kept; matched by id, which should be unique and not null."""
-    kept = judged(docs, id_col, **columns).where("kept").select(F.col("doc_id").alias("_kept_doc_id"))
-    return docs.join(kept, docs[id_col] == F.col("_kept_doc_id"), "left_semi")
+    of = fresh("of")
+    kept = judged(docs, id_col, **columns).where("kept").select(F.col("doc_id").alias(of))
+    return docs.join(written(kept, "kept"), docs[id_col] == F.col(of), "left_semi")
 

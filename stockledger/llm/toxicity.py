@@ -233,9 +233,9 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, epochs: int =
         rows = np.concatenate(rows)
         weights = np.where(of > 0, (of == 0).sum() / max(1, (of > 0).sum()), 1.0)
         for _ in range(epochs):
-            shuffled = draw.permutation(len(rows))
-            for at in range(0, len(rows), batch):
-                part = shuffled[at : at + batch]
+            shuffled, size = draw.permutation(len(rows)), max(16, min(batch, len(rows) // 40))
+            for at in range(0, len(rows), size):
+                part = shuffled[at : at + size]
                 some = _some(windows, rows[part])
                 known = (draw.random(len(some[0])) < 0.3).astype(np.float32)
                 d = net.gradients(*some, of[part], weights[part], known)
