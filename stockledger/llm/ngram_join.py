@@ -12,8 +12,9 @@ and only these are joined. Texts near the upper end of a band also stand in the
 verified: first by folded sketches of a few bits for each shingle, which every task can hold, then on their whole sets.
 
 Equal sets are one node from the start, so copies never form pairs. In a piece that many different
-sets share, all are compared with a few centres at first; those left in other components are then compared with all
-others of the piece, sketch by sketch, in blocks. So no link between different texts is lost, and groups of near copies cost one comparison
+sets share, all are compared with a few centres at first. Those left in other components are then compared sketch by sketch, in blocks:
+for some rounds, in which most components grow together, only the nearest set of another component is
+verified, and at last all that may link and still are in different components. So no link between different texts is lost, and groups of near copies cost one comparison
 for each text and piece.
 """
 
@@ -32,8 +33,9 @@ from stockledger.llm.components import components
 from stockledger.llm.textstats import TextRun
 
 SHINGLE = 5
-CROWD = 8  # different sets in a piece, beyond which they are compared with centres first
+CROWD = 16  # different sets in a piece, beyond which they are compared with centres first
 BLOCK = 2048  # members of a crowded piece in one block
+ROUNDS = 4  # in which members of crowded pieces are compared with the nearest of another component only
 BROADCAST_IDS = 2_000_000  # 16 MB
 
 SETS = pa.schema(
@@ -304,12 +306,19 @@ def linked(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_co
     twins = pair(left.join(right, F.col("a") == F.col("b")))
     pairs = written(alike(pairs.unionByName(twins).distinct(), named), "pairs")
     links = written(verified(pairs, texts, size), "links")
-    groups = components(links)
     crowds = met.where("piece IS NOT NULL").select("piece", F.col("b").alias("d1")).distinct()
-    rest = written(across(crowds.join(named, "d1").drop("d1"), groups), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(written(verified(rest, texts, size), "links"))
-        groups = components(links)
+    crowds = written(crowds.join(named.select("d1", "node", "n"), "d1").drop("d1"), "crowds")
+    for turn in range(ROUNDS + 1):
+        last, groups = turn == ROUNDS, components(links)
+        found = written(across(crowds, named, groups, nearest=not last), "across")
+        found = written(verified(found, texts, size), "links")
+        if found.isEmpty() and not last:
+            last, found = True, written(across(crowds, named, groups, nearest=False), "across")
+            found = written(verified(found, texts, size), "links")
+        links = links.unionByName(found)
+        if last:
+            groups = groups if found.isEmpty() else components(links)
+            break
     owner = sets.drop("sketch").join(nodes, ["d1", "d2"], "left")
     groups = groups.withColumnRenamed("node", "of")
     return owner.join(groups, F.col("node") == F.col("of"), "left").select(
@@ -317,11 +326,12 @@ def linked(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_co
     )
 
 
-def across(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a crowded piece (piece, node, n, sketch) that are in different components and may link.
+def across(crowds: DataFrame, sketches: DataFrame, groups: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of a crowded piece (piece, node, n) that are in different components and may link.
 
     Pieces within one component are done with. Of the others, members are dealt in blocks, and every two blocks of a piece
-    are compared in a task of their own.
+    are compared in a task of their own. With ``nearest`` each member gives one pair at most for a block it is compared
+    with: that of the smallest distance.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -333,10 +343,13 @@ def across(members: DataFrame, groups: DataFrame) -> DataFrame:
         here, there = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
         found = []
         for x in here:
-            others = there[there > x] if i[0] == j[0] else there
+            others = there[there > x] if i[0] == j[0] and not nearest else there
             others = others[component[others] != component[x]]
             distance = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            y = others[may_link(n[others], n[x], distance)]
+            able = np.flatnonzero(may_link(n[others], n[x], distance))
+            if nearest and len(able):
+                able = able[[distance[able].argmin()]]
+            y = others[able]
             found.append(np.column_stack([np.full(len(y), node[x]), node[y]]))
         return np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), dtype=np.int64)
 
@@ -353,13 +366,13 @@ def across(members: DataFrame, groups: DataFrame) -> DataFrame:
             yield record(schema, *np.unique(compare(rows), axis=0).T)
 
     groups = groups.withColumnRenamed("node", "of")
-    known = members.join(groups, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node"))
-    known = written(known.drop("of"), "members")
+    known = crowds.join(groups, F.col("node") == F.col("of"), "left").drop("of")
+    known = known.withColumn("component", F.coalesce("component", "node"))
     open_ = known.groupBy("piece").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
     )
     open_ = open_.where("low < high").drop("low", "high")
-    dealt = known.join(open_, "piece").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = known.join(open_, "piece").join(sketches.select("node", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "piece", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "sketch"
