@@ -409,6 +409,15 @@ SELECT 'main' AS server_key, CAST(1 AS BIGINT) AS version, 'delta' AS kind, '{OR
        (SELECT count(*) FROM ({_stock(IN_FEED)}) d SEMI JOIN ({_snapshot(IN_BASE)}) b
           USING (server_key, kd_divisi, kd_barang)) AS updated_keys""")
 
+# A delta after a stream, or without a base, is a full refresh of all documents.
+ORACLES["store_stream_then_batch"] = ORACLES["delta_on_empty_store"] = ORACLES["snapshot_orders_only"]
+ORACLES["store_two_sites"] = statement(f"SELECT * FROM ({_APPLIED}) WHERE server_key IN ('0', '3')", by_region=True)
+ORACLES["delta_empty"] = statement(f"""
+SELECT 'main' AS server_key, CAST(1 AS BIGINT) AS version, 'delta' AS kind, '{ORDERS_ONLY}' AS tanggal,
+       '2100-01-02 00:00:00' AS last_refresh,
+       (SELECT count(*) FROM ({_snapshot(SNAPSHOT_ORDERS)})) AS row_count,
+       CAST(0 AS BIGINT) AS delta_rows, CAST(0 AS BIGINT) AS updated_keys""")
+
 # ---- reports ---------------------------------------------------------------
 
 
@@ -444,6 +453,10 @@ for _name, _condition in {
 }.items():
     ORACLES[_name] = statement(_report(_condition))
 
+ORACLES["report_stored"] = ORACLES["report_all"]
+ORACLES["kpi_stored"] = ORACLES["kpi_summary"]
+ORACLES["search_stored"] = ORACLES["search_code_prefix"]
+
 # ---- histories -------------------------------------------------------------
 
 _TIES = ", ".join(

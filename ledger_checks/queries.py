@@ -12,7 +12,7 @@ from stockledger.functions import dates
 from stockledger.operators import items, movements, purchases
 from stockledger.params import LedgerWindow
 from stockledger.plans import costing, delta, history, report, snapshot
-from stockledger.session import shared_dir
+from stockledger.session import reliable_checkpoint, shared_dir
 from stockledger.sinks.snapshot_store import SnapshotStore
 from stockledger.sources import run_statement
 from stockledger.sources.testdata import TestdataSource
@@ -24,6 +24,7 @@ ORDERS_ONLY = "2000-06-30"
 WITH_COUNTS = "2024-01-15"
 LAST_REFRESH = "2000-01-01 00:00:00"
 END_OF_FEED = "2100-01-01 00:00:00"
+AFTER_FEED = "2100-01-02 00:00:00"
 HISTORY_ITEMS = ["6", "104", "3"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,38 +224,84 @@ def _store(spark: SparkSession) -> SnapshotStore:
     return SnapshotStore(spark, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}")
 
 
+def _read_and_remove(store: SnapshotStore, df: DataFrame) -> DataFrame:
+    """The rows as a table of their own, so that the store can go."""
+    kept = reliable_checkpoint(df)
+    store.remove()
+    return kept
+
+
 @query
 def delta_refreshed_store(spark, sf_dir):
     """Full refresh, then a batch delta, through the snapshot store."""
     source, store = _source(spark, sf_dir), _store(spark)
     full_refresh(store, source, ORDERS, LAST_REFRESH)
     delta_refresh(store, source, ORDERS, END_OF_FEED)
-    return store.read("main")
+    return _read_and_remove(store, store.read("main"))
+
+
+KINDS = ["t_penjualan", "t_penjualan_retur", "t_pembelian", "t_pembelian_retur", "t_mutasi_stok"]
+
+
+def _stream(spark, sf_dir, store: SnapshotStore, checkpoint: str) -> None:
+    """All lines not read before under ``checkpoint``, of the line table as one file or as a folder of part files."""
+    source = _source(spark, sf_dir)
+    lines = spark.readStream.schema(source.lineitem.schema).parquet(f"{sf_dir}/lineitem.parquet")
+    feed = TestdataSource(spark, sf_dir, lineitem=lines)
+    run = stream_refresh(store, feed, source, FEED, f"{store.root}/{checkpoint}", ["main"], KINDS)
+    run.awaitTermination()
+    if checkpoint == "checkpoint" and not any(p["numInputRows"] for p in run.recentProgress):
+        raise FileNotFoundError(f"the stream found no lines in {sf_dir}")
 
 
 @query
 def delta_stream(spark, sf_dir):
     """Full refresh, then a stream of the lines, through the snapshot store."""
-    source, store = _source(spark, sf_dir), _store(spark)
-    full_refresh(store, source, ORDERS, LAST_REFRESH)
-    lines = (
-        spark.readStream.schema(source.lineitem.schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .parquet(sf_dir)
-    )
-    feed = TestdataSource(spark, sf_dir, lineitem=lines)
-    stream_refresh(
-        store, feed, source, FEED, f"{store.root}/checkpoint", ["main"]
-    ).awaitTermination()
-    return store.read("main")
+    store = _store(spark)
+    full_refresh(store, _source(spark, sf_dir), ORDERS, LAST_REFRESH)
+    _stream(spark, sf_dir, store, "checkpoint")
+    return _read_and_remove(store, store.read("main"))
 
 
 @query
-def snapshot_info(spark, sf_dir):
-    """Stored state of each site after a full refresh and a delta."""
+def store_stream_then_batch(spark, sf_dir):
+    """A stream, then a delta up to the end of the feed: nothing counts twice."""
+    store = _store(spark)
+    full_refresh(store, _source(spark, sf_dir), ORDERS, LAST_REFRESH)
+    _stream(spark, sf_dir, store, "checkpoint")
+    delta_refresh(store, _source(spark, sf_dir), ORDERS, END_OF_FEED)
+    return _read_and_remove(store, store.read("main"))
+
+
+@query
+def store_two_sites(spark, sf_dir):
+    """Two of several sites, refreshed in full together and by deltas apart, one of them compacted."""
+    source, store = _source(spark, sf_dir, by_region=True), _store(spark)
+    full_refresh(store, source, ORDERS, LAST_REFRESH, ["0", "3"])
+    for site in ("0", "3"):
+        delta_refresh(store, source, ORDERS, END_OF_FEED, site)
+    store.compact("3")
+    return _read_and_remove(store, store.read())
+
+
+@query
+def delta_on_empty_store(spark, sf_dir):
+    """Without a snapshot to start from, a delta becomes a full refresh."""
     source, store = _source(spark, sf_dir), _store(spark)
-    full_refresh(store, source, ORDERS, LAST_REFRESH)
     delta_refresh(store, source, ORDERS, END_OF_FEED)
+    return _read_and_remove(store, store.read("main"))
+
+
+@query
+def delta_empty(spark, sf_dir):
+    """A delta without documents moves the refresh moment only."""
+    source, store = _source(spark, sf_dir), _store(spark)
+    full_refresh(store, source, ORDERS, END_OF_FEED)
+    delta_refresh(store, source, ORDERS, AFTER_FEED)
+    return _read_and_remove(store, _info(store))
+
+
+def _info(store: SnapshotStore) -> DataFrame:
     return store.info().select(
         "server_key",
         "version",
@@ -267,6 +314,37 @@ def snapshot_info(spark, sf_dir):
     )
 
 
+@query
+def snapshot_info(spark, sf_dir):
+    """Stored state of each site after a full refresh and a delta."""
+    source, store = _source(spark, sf_dir), _store(spark)
+    full_refresh(store, source, ORDERS, LAST_REFRESH)
+    delta_refresh(store, source, ORDERS, END_OF_FEED)
+    return _read_and_remove(store, _info(store))
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    """The snapshot as the store holds it: reports over it read no documents."""
+    store = _store(spark)
+    store.publish(_snapshot(spark, sf_dir), COUNTS.as_of, END_OF_FEED, CLOSING, ["main"])
+    return store.read("main")
+
+
+@query
+def report_stored(spark, sf_dir):
+    return report.stock_report(_stored(spark, sf_dir))
+
+
+@query
+def kpi_stored(spark, sf_dir):
+    return report.kpi_summary(report.stock_report(_stored(spark, sf_dir)))
+
+
+@query
+def search_stored(spark, sf_dir):
+    return report.stock_report(report.search(_stored(spark, sf_dir), kode="10%"))
+
+
 # ---- reports ---------------------------------------------------------------
 
 

@@ -2,22 +2,23 @@
 
 Layout below ``root``::
 
-    snapshot/version=<n>/server_key=<site>/part-*.parquet   a full refresh or a compaction
-    delta/version=<n>/batch=<id>/server_key=<site>/...       changes on top of version n
-    meta/*.json                                             one row per site and published step
-
-Data is written first, then a meta row makes it visible, so a reader never sees half a
-step and a step that failed is simply written again. A change costs as much as the
-changed keys, not as much as the snapshot: readers add the changes of a version to its
-rows, and ``compact`` folds them into a new version from time to time.
+    data/<uuid>/server_key=<site>/part-*.parquet   a full refresh, a compaction or the changes of a step
+    meta/*.json                                    one row per site and published step
+
+Data is written to a folder of its own first, then a meta row that names the folder makes it visible. So a
+reader never sees half a step, and an attempt that failed leaves nothing a later one could mistake for its own. A
+change costs as much as the changed keys, not as much as the snapshot: readers add the changes of a
+version to its rows, and ``compact`` folds them into a new version.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockledger import schemas
@@ -31,8 +32,12 @@ META = {
     "step": "bigint",
     "kind": "string",
     "batch_id": "string",
+    "folder": "string",
     "tanggal": "date",
+    "closing_ts": "timestamp_ntz",
     "last_refresh": "timestamp_ntz",
+    "feed": "string",
+    "covered_until": "timestamp_ntz",
     "row_count": "bigint",
     "delta_rows": "bigint",
     "updated_keys": "bigint",
@@ -45,6 +50,9 @@ DELTA = {
     "delta_stok": "decimal(38,4)",
 }
 
+# Steps of one site and version after which a change also folds them together.
+COMPACT_AFTER = 64
+
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -53,11 +61,26 @@ class SnapshotStore:
 
     # ---- paths and meta ----------------------------------------------------
 
-    def _snapshot_path(self, version: int) -> str:
-        return f"{self.root}/snapshot/version={version}"
+    def _path(self, folder: str) -> str:
+        return f"{self.root}/data/{folder}"
+
+    def _write(self, rows: DataFrame) -> str:
+        """Write rows to a fresh folder, few files for each site, sorted by item so that a search skips row groups."""
+        folder = uuid.uuid4().hex
+        dealt = rows.repartitionByRange("server_key", "kd_barang").sortWithinPartitions("server_key", "kd_barang")
+        dealt.write.option("partitionOverwriteMode", "static").partitionBy("server_key").parquet(self._path(folder))
+        return folder
 
-    def _delta_path(self, version: int, batch_id: str) -> str:
-        return f"{self.root}/delta/version={version}/batch={batch_id}"
+    def _read(self, folders: list[str], columns: dict[str, str]) -> DataFrame:
+        reader = self.spark.read.schema(schemas.ddl(columns))
+        parts = [reader.parquet(self._path(folder)) for folder in folders]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows
+
+    def _counts(self, rows: DataFrame) -> dict[str, int]:
+        return {r.server_key: r["count"] for r in rows.groupBy("server_key").count().collect()}
 
     def meta(self) -> DataFrame:
         """All published steps; empty before the first."""
@@ -71,22 +94,27 @@ class SnapshotStore:
         latest = F.max_by(F.struct(*META), F.struct("version", "step")).alias("m")
         return self.meta().groupBy("server_key").agg(latest).select("m.*")
 
-    def _state(self) -> dict[str, dict]:
+    def state(self, server_key: str) -> dict | None:
+        """Latest step of a site; None before its first refresh."""
+        row = self.info().where(F.col("server_key") == server_key).first()
+        return row.asDict() if row else None
+
+    def _states(self) -> dict[str, dict]:
         """Latest step per site; one small row for each site."""
         return {row.server_key: row.asDict() for row in self.info().collect()}
 
-    def _publish(self, rows: DataFrame) -> None:
-        stamped = rows.withColumn("published_at", F.current_timestamp().cast("timestamp_ntz"))
-        stamped.select(*[F.col(c).cast(t).alias(c) for c, t in META.items()]).coalesce(1).write.mode(
-            "append"
-        ).json(f"{self.root}/meta")
+    def _publish(self, rows: list[dict]) -> None:
+        columns = [tuple(row.get(c) for c in META) for row in rows]
+        frame = self.spark.createDataFrame(columns, schemas.ddl(META))
+        stamped = frame.withColumn("published_at", F.current_timestamp().cast("timestamp_ntz"))
+        stamped.coalesce(1).write.mode("append").json(f"{self.root}/meta")
 
     def last_refresh(self, server_key: str) -> datetime | None:
-        state = self._state().get(server_key)
+        state = self.state(server_key)
         return state["last_refresh"] if state else None
 
     def as_of(self, server_key: str) -> date | None:
-        state = self._state().get(server_key)
+        state = self.state(server_key)
         return state["tanggal"] if state else None
 
     def needs_full_refresh(self, server_key: str) -> bool:
@@ -96,50 +124,56 @@ class SnapshotStore:
     # ---- full refresh ------------------------------------------------------
 
     def publish(
-        self, snapshot: DataFrame, tanggal: TimeLike, last_refresh: TimeLike, kind: str = "full"
-    ) -> int:
-        """Replace the snapshot of every site that ``snapshot`` has rows of.
-
-        ``last_refresh`` is the moment up to which ingested documents were read. It has to
-        be taken before the read, so that documents arriving meanwhile come with the next
-        delta.
+        self,
+        snapshot: DataFrame,
+        tanggal: TimeLike,
+        last_refresh: TimeLike,
+        closing_ts: TimeLike | None = None,
+        server_keys: list[str] | None = None,
+    ) -> dict[str, int]:
+        """Replace the snapshot of the named sites, by default those ``snapshot`` has rows of; the new version of each.
+
+        A named site without rows gets an empty snapshot. ``last_refresh`` is the moment up to which ingested documents
+        were read. It has to be taken before the read, so that documents arriving meanwhile come with
+        the next delta. It must not lie before what a stream has put into the site's current version: those documents would be lost.
         """
-        versions = [row["version"] for row in self._state().values()]
-        version = max(versions, default=0) + 1
-        path = self._snapshot_path(version)
-        written = snapshot.select(*schemas.SNAPSHOT)
-        # Sorted by item within files, so that a search by code skips row groups.
-        written.sortWithinPartitions("server_key", "kd_barang").write.partitionBy(
-            "server_key"
-        ).mode("overwrite").parquet(path)
-        counted = (
-            self._read_version(version).groupBy("server_key").agg(F.count(F.lit(1)).alias("row_count"))
-        )
-        self._publish(
-            counted.select(
-                "server_key",
-                F.lit(version).alias("version"),
-                F.lit(0).alias("step"),
-                F.lit(kind).alias("kind"),
-                F.lit(None).alias("batch_id"),
-                F.lit(as_day(tanggal)).alias("tanggal"),
-                F.lit(as_moment(last_refresh).isoformat(sep=" ")).alias("last_refresh"),
-                "row_count",
-                F.lit(0).alias("delta_rows"),
-                F.lit(0).alias("updated_keys"),
-            )
-        )
-        return version
-
-    def _read_version(self, version: int) -> DataFrame:
-        return self.spark.read.schema(schemas.ddl(schemas.SNAPSHOT)).parquet(
-            self._snapshot_path(version)
-        )
+        until, states = as_moment(last_refresh), self._states()
+        for key in server_keys or states:
+            covered = states.get(key, {}).get("covered_until")
+            if covered is not None and server_keys is not None and covered > until:
+                raise ValueError(f"a stream has read {key} up to {covered}; refresh up to a later moment")
+        rows = snapshot.select(*schemas.SNAPSHOT)
+        if server_keys is not None:
+            rows = rows.where(F.col("server_key").isin(server_keys))
+        folder = self._write(rows)
+        counts = self._counts(self._read([folder], schemas.SNAPSHOT))
+        named = counts if server_keys is None else server_keys
+        published = [
+            {
+                "server_key": key,
+                "version": states.get(key, {}).get("version", 0) + 1,
+                "step": 0,
+                "kind": "full",
+                "folder": folder,
+                "tanggal": as_day(tanggal),
+                "closing_ts": None if closing_ts is None else as_moment(closing_ts),
+                "last_refresh": until,
+                "row_count": counts.get(key, 0),
+                "delta_rows": 0,
+                "updated_keys": 0,
+            }
+            for key in named
+        ]
+        self._publish(published)
+        return {row["server_key"]: row["version"] for row in published}
 
     # ---- changes -----------------------------------------------------------
 
-    def is_applied(self, batch_id: str) -> bool:
-        return not self.meta().where(F.col("batch_id") == batch_id).isEmpty()
+    def is_applied(self, server_key: str, batch_id: str) -> bool:
+        """Whether the site's current version holds the batch."""
+        state = self.state(server_key)
+        steps = self.meta().where((F.col("server_key") == server_key) & (F.col("batch_id") == batch_id))
+        return state is not None and not steps.where(F.col("version") == state["version"]).isEmpty()
 
     def append_delta(
         self,
@@ -147,99 +181,110 @@ class SnapshotStore:
         delta: DataFrame | None,
         batch_id: str,
         last_refresh: TimeLike | None,
-        delta_rows: int = 0,
-    ) -> bool:
-        """Add net changes per key to the current version of the named sites.
-
-        A batch that was applied before is skipped, so a step may be repeated. Without
-        changes only the refresh moment moves. Keys the snapshot lacks have no effect.
+        delta_rows: int | Callable[[str], int] = 0,
+        feed: str = "batch",
+        covered_until: Callable[[str], datetime | None] | None = None,
+    ) -> list[str]:
+        """Add net changes per key to the current version of the named sites; the sites they were added to.
+
+        A site whose current version holds the batch is passed over, so a step may be repeated. Without changes only the
+        refresh moment moves. Keys the snapshot lacks have no effect. A version takes changes of one feed only, be it batch
+        deltas or one stream: two feeds could bring the same document. ``delta_rows`` and ``covered_until`` may be functions
+        of the site, called after the changes are written and before they are published, for what is observed meanwhile.
         """
-        if self.is_applied(batch_id):
-            return False
-        state = self._state()
-        by_version: dict[int, list[str]] = {}
-        for key in server_keys:
-            if key in state:
-                by_version.setdefault(state[key]["version"], []).append(key)
+        states = self._states()
+        unknown = [key for key in server_keys if key not in states]
+        if unknown:
+            raise LookupError(f"no snapshot of {', '.join(unknown)}; refresh in full first")
+        keys = [key for key in server_keys if not self.is_applied(key, batch_id)]
+        if not keys:
+            return []
+        for key in keys:
+            if states[key]["feed"] not in (None, feed):
+                raise ValueError(f"{key} takes changes of {states[key]['feed']}, not of {feed}; refresh in full first")
+        folder, changed = None, {}
+        if delta is not None:
+            rows = delta.where(F.col("server_key").isin(keys))
+            folder = self._write(rows.select(*[F.col(c).cast(t).alias(c) for c, t in DELTA.items()]))
+            # Keys the snapshot lacks are written too, but no reader takes them.
+            changed = self._counts(matched(self._bases({k: states[k] for k in keys}), self._read([folder], DELTA)))
         rows = []
-        for version, keys in by_version.items():
-            changed: dict[str, int] = {}
-            if delta is not None:
-                path = self._delta_path(version, batch_id)
-                base = self._read_version(version)
-                known = matched(base, delta.where(F.col("server_key").isin(keys)))
-                known.select(*[F.col(c).cast(t).alias(c) for c, t in DELTA.items()]).write.partitionBy(
-                    "server_key"
-                ).mode("overwrite").parquet(path)
-                changed = {
-                    row.server_key: row["count"]
-                    for row in self._read_delta(version, [batch_id]).groupBy("server_key").count().collect()
+        for key in keys:
+            state, covered = states[key], covered_until(key) if covered_until else None
+            moments = [m for m in (state["covered_until"], covered) if m is not None]
+            rows.append(
+                {
+                    **state,
+                    "step": state["step"] + 1,
+                    "kind": "delta",
+                    "batch_id": batch_id,
+                    "folder": folder,
+                    "last_refresh": state["last_refresh"] if last_refresh is None else as_moment(last_refresh),
+                    "feed": feed,
+                    "covered_until": max(moments, default=None),
+                    "delta_rows": delta_rows(key) if callable(delta_rows) else delta_rows,
+                    "updated_keys": changed.get(key, 0),
                 }
-            for key in keys:
-                moment = state[key]["last_refresh"] if last_refresh is None else as_moment(last_refresh)
-                rows.append(
-                    {
-                        **state[key],
-                        "step": state[key]["step"] + 1,
-                        "kind": "delta",
-                        "batch_id": batch_id,
-                        "last_refresh": moment,
-                        "delta_rows": delta_rows,
-                        "updated_keys": changed.get(key, 0),
-                    }
-                )
-        if rows:
-            columns = [tuple(row[c] for c in META) for row in rows]
-            self._publish(self.spark.createDataFrame(columns, schemas.ddl(META)))
-        return bool(rows)
-
-    def _read_delta(self, version: int, batch_ids: list[str]) -> DataFrame:
-        reader = self.spark.read.schema(schemas.ddl({**DELTA, "batch": "string"}))
-        return reader.option("basePath", f"{self.root}/delta/version={version}").parquet(
-            *[self._delta_path(version, batch_id) for batch_id in batch_ids]
-        )
+            )
+        self._publish(rows)
+        for row in rows:
+            if row["step"] % COMPACT_AFTER == 0:
+                self.compact(row["server_key"])
+        return keys
 
     # ---- reading -----------------------------------------------------------
 
+    def _folders(self, server_key: str | None = None) -> list:
+        """One row for each site: its current version's snapshot folder and the folders of its changes."""
+        steps = self.meta() if server_key is None else self.meta().where(F.col("server_key") == server_key)
+        changes = F.collect_set(F.when((F.col("kind") == "delta") & (F.col("updated_keys") > 0), F.col("folder")))
+        by_version = steps.groupBy("server_key", "version").agg(
+            F.max(F.when(F.col("kind") != "delta", F.col("folder"))).alias("base"), changes.alias("changes")
+        )
+        newest = F.max_by(F.struct("server_key", "base", "changes"), "version").alias("n")
+        return by_version.groupBy("server_key").agg(newest).select("n.*").collect()
+
+    def _bases(self, states: dict[str, dict]) -> DataFrame:
+        """Snapshot rows, without changes, of the sites' current versions."""
+        rows = [r for r in self._folders() if r.server_key in states]
+        return self._of_sites([(r.server_key, r.base) for r in rows], schemas.SNAPSHOT)
+
+    def _of_sites(self, pairs: list[tuple[str, str]], columns: dict[str, str]) -> DataFrame:
+        """Rows of each site in its own folder, a folder read once."""
+        by_folder: dict[str, list[str]] = {}
+        for key, folder in pairs:
+            by_folder.setdefault(folder, []).append(key)
+        parts = [self._read([f], columns).where(F.col("server_key").isin(sorted(keys))) for f, keys in sorted(by_folder.items())]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows
+
     def read(self, server_key: str | None = None) -> DataFrame:
         """Current snapshot of one site or of all, changes included."""
-        steps = self.meta()
-        if server_key is not None:
-            steps = steps.where(F.col("server_key") == server_key)
-        newest = F.max("version").over(Window.partitionBy("server_key"))
-        current = (
-            steps.withColumn("newest", newest)
-            .where("version = newest")
-            .select("server_key", "version", "kind", "batch_id", "updated_keys")
-            .collect()
-        )
+        current = self._folders(server_key)
         if not current:
             raise LookupError(f"no snapshot of {server_key or 'any site'}; refresh first")
-        parts = []
-        for version in sorted({row.version for row in current}):
-            steps_of = [row for row in current if row.version == version]
-            keys = sorted({row.server_key for row in steps_of})
-            base = self._read_version(version).where(F.col("server_key").isin(keys))
-            batches = sorted({r.batch_id for r in steps_of if r.kind == "delta" and r.updated_keys})
-            if batches:
-                log = self._read_delta(version, batches)
-                changes = (
-                    log.where(F.col("server_key").isin(keys))
-                    .groupBy(*STOCK)
-                    .agg(F.sum("delta_stok").alias("delta_stok"))
-                )
-                base = apply_delta(base, changes)
-            parts.append(base)
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part)
-        return merged
-
-    def compact(self) -> int:
-        """Fold all changes into a new version."""
-        state = self._state()
-        moments = {row["last_refresh"] for row in state.values()}
-        days = {row["tanggal"] for row in state.values()}
-        if len(moments) != 1 or len(days) != 1:
-            raise ValueError("compact one site at a time when sites were refreshed apart")
-        return self.publish(self.read(), days.pop(), moments.pop(), kind="compact")
+        base = self._of_sites([(r.server_key, r.base) for r in current], schemas.SNAPSHOT)
+        log = [(r.server_key, folder) for r in current for folder in r.changes]
+        if not log:
+            return base
+        changes = self._of_sites(log, DELTA).groupBy(*STOCK).agg(F.sum("delta_stok").alias("delta_stok"))
+        return apply_delta(base, changes)
+
+    def compact(self, server_key: str) -> int:
+        """Fold the changes of a site into a new version that keeps its day, moments and feed."""
+        state = self.state(server_key)
+        if state is None:
+            raise LookupError(f"no snapshot of {server_key}; refresh first")
+        folder = self._write(self.read(server_key))
+        version = state["version"] + 1
+        # The last batch stays known, so that a stream that repeats it changes nothing.
+        fresh = {"version": version, "step": 0, "kind": "compact", "folder": folder, "delta_rows": 0, "updated_keys": 0}
+        self._publish([{**state, **fresh}])
+        return version
+
+    def remove(self) -> None:
+        """Delete the store and all it holds."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,29 +2,42 @@
 
 Late documents need no event-time watermark: a document counts however late it arrives
 while its date lies between the closing and the as-of day, and a snapshot holds one
-number per division and item, not per moment.
+number per division and item, not per moment. What counts is when it reached the server:
+the base of a version holds all documents up to its refresh moment, its changes only later ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Sequence
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stockledger.functions import dates
 from stockledger.operators.movements import DELTA_POLICY
-from stockledger.params import LedgerWindow, TimeLike, as_day
-from stockledger.plans.delta import accumulate, delta_rows
+from stockledger.params import LedgerWindow, TimeLike, as_day, as_moment
+from stockledger.plans.delta import accumulate, delta_movements, delta_rows
 from stockledger.plans.snapshot import stock_snapshot
 from stockledger.sinks.snapshot_store import SnapshotStore
 from stockledger.sources.base import Source
 
 
 def full_refresh(
-    store: SnapshotStore, source: Source, window: LedgerWindow, known_until: TimeLike
-) -> int:
-    """Publish the snapshot of all documents ingested by ``known_until``."""
+    store: SnapshotStore,
+    source: Source,
+    window: LedgerWindow,
+    known_until: TimeLike,
+    server_keys: list[str] | None = None,
+) -> dict[str, int]:
+    """Publish the snapshot of all documents ingested by ``known_until``, of the named sites or all with rows."""
     snapshot = stock_snapshot(source, window.known_at(known_until))
-    return store.publish(snapshot, window.as_of, known_until)
+    if server_keys is None and source.server_key is not None:
+        server_keys = [source.server_key]
+    return store.publish(snapshot, window.as_of, known_until, window.closing_ts, server_keys)
 
 
 def delta_refresh(
@@ -36,39 +49,63 @@ def delta_refresh(
 ) -> str:
     """Add what was ingested between the stored refresh moment and ``known_until``.
 
-    Falls back to a full refresh where there is no snapshot to start from, or where its
-    as-of day is another one: documents ingested before, but dated between the two days,
-    are in no delta. The upper bound is fixed before the read, so nothing that arrives
-    meanwhile is skipped.
+    Falls back to a full refresh where there is no snapshot to start from; where its as-of
+    day or its closing is another one, as documents ingested before may belong to the other window only; and
+    where a stream has added to it, as the documents the stream brought cannot be told from those of
+    a delta. The upper bound is fixed before the read, so nothing that arrives meanwhile is skipped. Says what was done:
+    "full", "delta", or "unchanged" where there was nothing to add.
     """
-    since = store.last_refresh(server_key)
-    if since is None or store.as_of(server_key) != as_day(window.as_of):
-        full_refresh(store, source, window, known_until)
+    state = store.state(server_key)
+    same = (
+        state is not None
+        and state["last_refresh"] is not None
+        and state["tanggal"] == as_day(window.as_of)
+        and state["closing_ts"] == as_moment(window.closing_ts)
+        and state["feed"] in (None, "batch")
+    )
+    if not same:
+        full_refresh(store, source, window, known_until, [server_key])
         return "full"
+    since = state["last_refresh"]
+    if as_moment(known_until) <= since:
+        return "unchanged"
     bounded = LedgerWindow(window.closing_ts, window.as_of, since, known_until)
     rows = delta_rows(source, bounded).where(F.col("server_key") == server_key)
-    batch = f"{server_key}-{since:%Y%m%dT%H%M%S%f}"
-    count = _append(store, rows, source, [server_key], batch, known_until)
-    return "delta" if count else "unchanged"
-
-
-def _append(
-    store: SnapshotStore,
-    rows: DataFrame,
-    lookup: Source,
-    server_keys: list[str],
-    batch: str,
-    known_until: TimeLike | None,
-) -> int:
-    """Add the rows of a feed to the store; they are read once, counted and summed."""
-    rows = rows.persist()
-    try:
-        count = rows.count()
-        delta = accumulate(rows, lookup) if count else None
-        store.append_delta(server_keys, delta, batch, known_until, count)
-    finally:
-        rows.unpersist()
-    return count
+    batch = f"batch-{since:%Y%m%dT%H%M%S%f}-{as_moment(known_until):%Y%m%dT%H%M%S%f}"
+    seen = _Seen(rows, [server_key])
+    added = store.append_delta([server_key], accumulate(seen.rows, source), batch, known_until, seen.count)
+    return "delta" if added and seen.count(server_key) else "unchanged"
+
+
+class _Seen:
+    """What a feed brings for each site, observed while the feed is summed up: no pass of its own."""
+
+    def __init__(self, rows: DataFrame, server_keys: Sequence[str], newer: Column | None = None):
+        self.numbers = {key: i for i, key in enumerate(server_keys)}
+        self.observed, newer = Observation(), F.lit(True) if newer is None else newer
+        known = F.col("server_key").isin(list(server_keys))
+        sums = [F.count(F.when(~F.coalesce(known, F.lit(False)), 1)).alias("strange")]
+        for key, i in self.numbers.items():
+            mine = F.col("server_key") == key
+            sums.append(F.count(F.when(mine & newer, 1)).alias(f"n{i}"))
+            if "tanggal_server" in rows.columns:
+                sums.append(F.max(F.when(mine, F.col("tanggal_server"))).alias(f"until{i}"))
+        self.rows = rows.observe(self.observed, *sums).where(newer)
+
+    def _value(self, name: str):
+        """An observed value; None where Spark left the feed out of the plan because it has no rows."""
+        try:
+            return self.observed.get.get(name)
+        except (AssertionError, Py4JJavaError, PySparkException):
+            return None
+
+    def count(self, server_key: str) -> int:
+        if self._value("strange"):
+            raise LookupError(f"the feed has rows of other sites than {', '.join(self.numbers)}")
+        return self._value(f"n{self.numbers[server_key]}") or 0
+
+    def until(self, server_key: str):
+        return self._value(f"until{self.numbers[server_key]}")
 
 
 def stream_refresh(
@@ -78,24 +115,45 @@ def stream_refresh(
     window: LedgerWindow,
     checkpoint: str,
     server_keys: list[str],
-    name: str = "stream",
+    kinds: Sequence[str],
 ) -> StreamingQuery:
     """Keep the snapshot up to date from a stream of document lines.
 
-    ``feed`` is a source with streaming line tables and static header tables; kinds of
-    document whose lines do not stream are left out. ``lookup`` gives the unit factors. All available lines are processed in
-    micro-batches, then the query stops; the checkpoint remembers what was read. A batch
-    that runs again after a failure is recognised by the stream's name and its number,
-    and changes nothing.
-    """
+    ``feed`` is a source with streaming line tables and header tables, ``kinds`` the header tables of the
+    kinds of document to follow; each must be a kind of a delta, and its lines must stream. ``lookup`` gives the unit
+    factors. All available lines are processed in micro-batches, then the query stops; the checkpoint remembers
+    what was read, and its id and the batch's number tell whether a batch was added before.
 
-    streamed = [b for b in DELTA_POLICY.branches if feed.table(f"{b.table}_detail").isStreaming]
-    rows = delta_rows(feed, window, DELTA_POLICY.only(*streamed))
+    A line is joined with a header that is there when its batch runs, so headers have to arrive before
+    their lines; only headers ingested after the window's bound are read. Rows up to the refresh moment of their site's base are
+    passed over, so a full refresh between two runs counts nothing twice. All sites need a snapshot, and a row of
+    a site that is not named is an error.
+    """
+    known = {branch.table: branch for branch in DELTA_POLICY.branches}
+    odd = [k for k in kinds if k not in known or not feed.table(f"{k}_detail").isStreaming]
+    if odd or not kinds:
+        raise ValueError(f"no streams of lines: {', '.join(odd) or 'no kinds given'}")
+    for key in server_keys:
+        if store.state(key) is None:
+            raise LookupError(f"no snapshot of {key}; refresh in full first")
+    spark = store.spark
+    policy = DELTA_POLICY.only(*[b for b in DELTA_POLICY.branches if b.table in kinds])
+    rows = delta_movements(feed, window, policy).withColumnRenamed("sumber", "source")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        found = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value
+        name = f"stream-{json.loads(found)['id']}"
         step = f"{name}-{batch_id}"
-        if not store.is_applied(step):
-            _append(store, batch, lookup, server_keys, step, None)
+        open_keys = [k for k in server_keys if not store.is_applied(k, step)]
+        if not open_keys:
+            return
+        newer = F.lit(False)
+        for key in open_keys:
+            moment = dates.moment(store.last_refresh(key))
+            newer = newer | ((F.col("server_key") == key) & (F.col("tanggal_server") > moment))
+        # Sites that hold the batch already are followed too, but have no newer rows.
+        seen = _Seen(batch, server_keys, newer)
+        store.append_delta(open_keys, accumulate(seen.rows, lookup), step, None, seen.count, name, seen.until)
 
     return (
         rows.writeStream.foreachBatch(apply)
