@@ -12,7 +12,7 @@ from stockledger.functions import dates
 from stockledger.operators import items, movements, purchases
 from stockledger.params import LedgerWindow
 from stockledger.plans import costing, delta, history, report, snapshot
-from stockledger.session import reliable_checkpoint, shared_dir
+from stockledger.session import file_system, reliable_checkpoint, shared_dir
 from stockledger.sinks.snapshot_store import SnapshotStore
 from stockledger.sources import run_statement
 from stockledger.sources.testdata import TestdataSource
@@ -246,7 +246,12 @@ KINDS = ["t_penjualan", "t_penjualan_retur", "t_pembelian", "t_pembelian_retur",
 def _stream(spark, sf_dir, store: SnapshotStore, checkpoint: str) -> None:
     """All lines not read before under ``checkpoint``, of the line table as one file or as a folder of part files."""
     source = _source(spark, sf_dir)
-    lines = spark.readStream.schema(source.lineitem.schema).parquet(f"{sf_dir}/lineitem.parquet")
+    files, path = file_system(spark, f"{sf_dir}/lineitem.parquet")
+    reader = spark.readStream.schema(source.lineitem.schema)
+    if files.getFileStatus(path).isDirectory():
+        lines = reader.parquet(f"{sf_dir}/lineitem.parquet")
+    else:  # A stream reads folders; the pattern picks the one file out of its own.
+        lines = reader.option("pathGlobFilter", path.getName()).parquet(sf_dir)
     feed = TestdataSource(spark, sf_dir, lineitem=lines)
     run = stream_refresh(store, feed, source, FEED, f"{store.root}/{checkpoint}", ["main"], KINDS)
     run.awaitTermination()

@@ -43,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="stockledger-")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system a path lies in, and the path, as Spark's readers see them."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there on."""
     spark = df.sparkSession

@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from stockledger import schemas
 from stockledger.params import TimeLike, as_day, as_moment
 from stockledger.plans.delta import apply_delta, matched
 from stockledger.plans.snapshot import STOCK
+from stockledger.session import file_system
 
 META = {
     "server_key": "string",
@@ -84,10 +84,10 @@ class SnapshotStore:
 
     def meta(self) -> DataFrame:
         """All published steps; empty before the first."""
-        try:
-            return self.spark.read.schema(schemas.ddl(META)).json(f"{self.root}/meta")
-        except AnalysisException:
+        files, path = file_system(self.spark, f"{self.root}/meta")
+        if not files.exists(path):
             return schemas.empty(self.spark, META)
+        return self.spark.read.schema(schemas.ddl(META)).json(f"{self.root}/meta")
 
     def info(self) -> DataFrame:
         """Latest step of each site, with the refresh moment, as-of day and row count."""
@@ -286,5 +286,5 @@ class SnapshotStore:
 
     def remove(self) -> None:
         """Delete the store and all it holds."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = file_system(self.spark, self.root)
+        files.delete(path, True)
