@@ -539,12 +539,18 @@ ORACLES["history_balance_by_date_desc"] = _shown(
 ORACLES["history_unit_filter"] = _shown(
     _with_balance(_converted(f"SELECT * FROM ({_history()}) WHERE satuan = 'Box'")), "no", "saldo"
 )
-_SORTED = f"""
+for _name, _order in {
+    "history_sorted_nulls_last": "kd_satuan DESC NULLS LAST, no",
+    "history_sorted_by_date_asc": f"{_MOMENT}, no",
+    "history_sorted_by_date_desc": f"{_MOMENT} DESC, no",
+    "history_sorted_by_number": "debet NULLS LAST, no",
+    "history_sorted_by_balance": "no",
+}.items():
+    _sorted = f"""
 SELECT * EXCLUDE (saldo), sum(debet - kredit) OVER o AS saldo, row_number() OVER o AS urutan
 FROM ({_with_balance(_history())})
-WINDOW o AS (PARTITION BY server_key, kd_barang ORDER BY kd_satuan DESC NULLS LAST, no
-             ROWS UNBOUNDED PRECEDING)"""
-ORACLES["history_sorted_nulls_last"] = _shown(_SORTED, "no", "urutan", "saldo")
+WINDOW o AS (PARTITION BY server_key, kd_barang ORDER BY {_order} ROWS UNBOUNDED PRECEDING)"""
+    ORACLES[_name] = _shown(_sorted, "no", "urutan", "saldo")
 ORACLES["history_totals"] = statement(f"""
 SELECT server_key, kd_barang, CAST(sum(debet) AS DOUBLE) AS total_debet,
        CAST(sum(kredit) AS DOUBLE) AS total_kredit, CAST(sum(debet - kredit) AS DOUBLE) AS saldo_akhir
@@ -552,3 +558,33 @@ FROM ({_converted(_history())}) GROUP BY 1, 2""")
 ORACLES["history_units"] = statement(
     f"SELECT DISTINCT server_key, kd_barang, satuan FROM ({_history()}) WHERE satuan <> ''"
 )
+
+# ---- exports and sources ---------------------------------------------------
+
+ORACLES["export_stock"] = statement(f"SELECT * EXCLUDE (server_key) FROM ({_report()})")
+
+
+def _history_file(rows: str) -> str:
+    numbers = ", ".join(
+        f'CAST(round({c}, 4) AS DOUBLE) AS "{h}"'
+        for c, h in {"debet": "Debet", "kredit": "Kredit", "harga": "Harga", "saldo": "Saldo", "konversi": "Konversi"}.items()
+    )
+    return statement(f"""
+SELECT kd_divisi AS "Kd_Divisi", divisi AS "Divisi", kepala_nota AS "K.Nota",
+       strftime(tanggal, '%Y-%m-%d %H:%M:%S') AS "Tanggal", transaksi AS "Transaksi",
+       no_transaksi AS "No. Transaksi", kd_barang AS "Kd_Barang", barang AS "Barang",
+       kd_satuan AS "Kd_Satuan", satuan AS "Satuan", {numbers}
+FROM ({_with_balance(rows)})""")
+
+
+ORACLES["export_history"] = _history_file(_history(f"kd_barang IN ({_ITEMS})"))
+ORACLES["export_history_converted"] = _history_file(_converted(_history(f"kd_barang IN ({_ITEMS})")))
+ORACLES["ledger_without_returns"] = statement("""
+SELECT branch_no, transaksi, kd_divisi, count(*) AS baris, CAST(sum(debet) AS DOUBLE) AS debet,
+       CAST(sum(kredit) AS DOUBLE) AS kredit
+FROM branches WHERE (branch_no <> 6 OR status IN (0, 1)) AND branch_no NOT IN (7, 9) GROUP BY 1, 2, 3""")
+ORACLES["costing_both"] = f"""
+SELECT 'stok_akhir' AS hasil, kd_barang, stok_akhir AS stok FROM ({ORACLES["stock_per_item"]})
+UNION ALL
+SELECT 'histori_masuk', kd_barang, CAST(sum(CAST(stok AS DECIMAL(28,4))) AS DOUBLE)
+FROM ({ORACLES["inbound_layers"]}) GROUP BY kd_barang"""

@@ -8,13 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockledger import schemas
 from stockledger.functions import dates
 from stockledger.operators import items, movements, purchases
 from stockledger.params import LedgerWindow
 from stockledger.plans import costing, delta, history, report, snapshot
 from stockledger.session import file_system, reliable_checkpoint, shared_dir
+from stockledger.sinks import reports
 from stockledger.sinks.snapshot_store import SnapshotStore
-from stockledger.sources import run_statement
+from stockledger.sources import FrameSource, run_statement
 from stockledger.sources.testdata import TestdataSource
 from stockledger.streaming.refresh import delta_refresh, full_refresh, stream_refresh
 
@@ -459,11 +461,20 @@ def history_unit_filter(spark, sf_dir):
     return history.display(history.with_balance(history.converted(rows)), ["no", "saldo"])
 
 
-@query
-def history_sorted_nulls_last(spark, sf_dir):
-    rows = history.numbered(_history(spark, sf_dir))
-    ordered = history.sorted_history(rows, "kd_satuan", ascending=False)
-    return history.display(ordered, ["no", "urutan", "saldo"])
+def _sorted_query(name: str, column: str, ascending: bool) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = history.numbered(_history(spark, sf_dir))
+        ordered = history.sorted_history(rows, column, ascending)
+        return history.display(ordered, ["no", "urutan", "saldo"])
+
+    REGISTRY[name] = run
+
+
+_sorted_query("history_sorted_nulls_last", "kd_satuan", False)
+_sorted_query("history_sorted_by_date_asc", "tanggal", True)
+_sorted_query("history_sorted_by_date_desc", "tanggal", False)
+_sorted_query("history_sorted_by_number", "debet", True)
+_sorted_query("history_sorted_by_balance", "saldo", True)
 
 
 @query
@@ -474,3 +485,68 @@ def history_totals(spark, sf_dir):
 @query
 def history_units(spark, sf_dir):
     return history.unit_names(_history(spark, sf_dir))
+
+
+# ---- exports ---------------------------------------------------------------
+
+
+def _exported(spark: SparkSession, expected: DataFrame, write: Callable[[str], None]) -> DataFrame:
+    """What a written report reads back as; the files go once they have been read."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    write(path)
+    # A null is written as nothing and a blank as two quotes; by default both would be read as nulls.
+    reader = spark.read.schema(expected.schema).option("header", True).option("nullValue", "\u0000")
+    found = reliable_checkpoint(reader.csv(path))
+    files, there = file_system(spark, path)
+    files.delete(there, True)
+    return found
+
+
+@query
+def export_stock(spark, sf_dir):
+    rows = report.stock_report(_snapshot(spark, sf_dir))
+    return _exported(spark, reports.stock_export(rows), lambda path: reports.write_stock_report(rows, path))
+
+
+def _export_history(spark: SparkSession, sf_dir: str, konversi: bool) -> DataFrame:
+    rows = _history(spark, sf_dir, items=HISTORY_ITEMS)
+    expected = reports.history_export(rows, konversi)
+    return _exported(spark, expected, lambda path: reports.write_history_report(rows, path, konversi))
+
+
+@query
+def export_history(spark, sf_dir):
+    return _export_history(spark, sf_dir, False)
+
+
+@query
+def export_history_converted(spark, sf_dir):
+    return _export_history(spark, sf_dir, True)
+
+
+# ---- several result sets, tables that are absent ---------------------------
+
+
+@query
+def costing_both(spark, sf_dir):
+    """Both inputs of a cost calculation, told apart by ``hasil``."""
+    parts = costing.costing_inputs(_source(spark, sf_dir), COUNTS)
+    stock = _doubles(parts["stok_akhir"], "stok_akhir").select(
+        F.lit("stok_akhir").alias("hasil"), "kd_barang", F.col("stok_akhir").alias("stok")
+    )
+    layers = parts["histori_masuk"].groupBy("kd_barang").agg(F.sum(F.col("stok").cast("decimal(28,4)")).cast("double").alias("stok"))
+    return stock.unionByName(layers.select(F.lit("histori_masuk").alias("hasil"), "kd_barang", "stok"))
+
+
+@query
+def ledger_without_returns(spark, sf_dir):
+    """Sites without tables of returns: they count as empty, the rest of the ledger stays."""
+    source = _source(spark, sf_dir)
+    names = [name for name in schemas.TABLES if "retur" not in name and source.exists(name)]
+    partial = FrameSource(spark, {name: source.table(name) for name in names}, "main", on_missing="empty")
+    ledger = movements.movements(partial, LedgerWindow(CLOSING), movements.HISTORY_POLICY)
+    return ledger.groupBy("branch_no", "transaksi", "kd_divisi").agg(
+        F.count(F.lit(1)).alias("baris"),
+        F.sum("debet").cast("double").alias("debet"),
+        F.sum("kredit").cast("double").alias("kredit"),
+    )
