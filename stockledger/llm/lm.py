@@ -217,10 +217,11 @@ def scored(
     total, distinct = sums[0] or 0, sums[1]
     top = frequent(counts, head)
     names = [w for w, _ in top[:own]]
-    pairs = pair_counts(teaching, names).toPandas()
+    pairs = pair_counts(teaching, names).toArrow()
     symbols = len(names) + CLASSES
-    before, after, n = (pairs[c].to_numpy() for c in ("before", "after", "n"))
+    before, after, n = (pairs.column(c).to_numpy() for c in ("before", "after", "n"))
     model = train(before, after, n.astype(float), symbols)
+    del pairs, before, after, n
     # Words and tokens within each symbol that several words share.
     by_class = (
         counts.mapInArrow(_class_sums(names), "symbol int, n long, words long")
