@@ -68,4 +68,24 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+# The others learn, sort suffixes, walk trees of tags or merge bytes: tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op10_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+items AS (SELECT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win
+          FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM b)),
+places AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+           FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i
+                 FROM d, (SELECT DISTINCT size FROM items) WHERE len(w) >= size)),
+found AS (SELECT DISTINCT doc_id, i, size, item_id FROM places JOIN items USING (size, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM found) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+}
