@@ -1,15 +1,17 @@
 """Language-model scoring: a log-bilinear model trained by noise-contrastive estimation.
 
-Lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` and an end of text are counted over all training texts. The ``own`` most
-frequent of them are symbols of the model; all others share ``CLASSES`` symbols, told apart by a hash of their last
-letters, and within its symbol a word has its smoothed share of the counts. So probabilities over all
-known words and one unknown word sum to 1.
+Lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` and an end of text are counted over all training texts. The most frequent
+are symbols of the model: one in ``SHARE`` of the distinct words, ``own`` at least. All others share a sixth as many
+symbols (``CLASSES`` at least), told apart by a hash of their last letters, and within its symbol a word has its smoothed
+share of the counts. So probabilities over all known words and one unknown word sum to 1, and the model grows with
+the vocabulary.
 
 The model predicts a symbol by the bilinear form of a context vector and a target vector, plus a bias. The context is the
-symbol before (or the beginning). Counts of all neighbouring symbols in all training texts, at most symbols squared of them
-however long the corpus, are what it learns from, by stochastic gradients that tell them from noise drawn from
-symbol frequencies. Products of the whole context and target matrices, block by block, then give normalised
-log-probabilities of every symbol after every symbol.
+symbol before (or the beginning). The counts of all distinct pairs of neighbouring symbols in all training texts are a Spark
+table. Tasks train on its partitions from the same parameters, by stochastic gradients that tell pairs from noise drawn
+from symbol frequencies; their parameters are averaged by how often a task touched them, ``ROUNDS`` times. No pair
+is left to chance: each is visited in every round, those above the mean count as often as they hold it. The
+normaliser of every context, over all symbols, is then computed in tasks, so log-probabilities are exact.
 
 Counts of the ``head`` most frequent words go to all tasks; the rest meet their documents in a join by word, after
 each document has counted its own words.
@@ -21,21 +23,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockledger.llm.common import id_and_text, record, runs, written
 from stockledger.llm.quality import held_out
 
-OWN = 1024
-CLASSES = 192
+OWN = 1536
+CLASSES = 256
+SHARE = 128
+ROUNDS = 2
 HEAD = 50_000
 SIZE = 24
 END = b"\n"  # no word: words hold no white space
 LN10 = float(np.log(10))
 
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-PAIRS = pa.schema([("before", pa.int32()), ("after", pa.int32()), ("n", pa.int64())])
+PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+ROWS = pa.schema([("block", pa.int32()), ("rows", pa.binary())])
+NORMS = pa.schema([("block", pa.int64()), ("norms", pa.binary())])
 PARTS = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -93,23 +99,28 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in found), key=lambda x: (-x[1], x[0]))
 
 
-def class_of(word: bytes, own: int) -> int:
-    """Symbol of a word without one of its own: by its last letters, without the marks after them."""
-    return own + zlib.crc32(word.rstrip(b".,;:!?|")[-3:]) % CLASSES
+def sizes_of(distinct: int, own: int = OWN) -> tuple[int, int]:
+    """How many words get symbols of their own, of those there are, and how many symbols the others share."""
+    own = max(own, distinct // SHARE)
+    return own, max(CLASSES, own // 6)
+
+
+def class_of(word: bytes, classes: int) -> int:
+    """Class of a word without a symbol of its own: by its last letters, without the marks after them."""
+    return zlib.crc32(word.rstrip(b".,;:!?|")[-3:]) % classes
 
 
 class Symbols(dict):
     """Symbol of each word; words looked up once are remembered, up to a bound."""
 
-    def __init__(self, own: list[bytes]):
+    def __init__(self, own: list[bytes], classes: int):
         super().__init__({w: i for i, w in enumerate(own)})
-        self.own = len(own)
-        self.size = self.own + CLASSES
-        self.start = self.size  # only ever a context
+        self.own, self.classes = len(own), classes
+        self.start = self.own + classes  # only ever a context
 
     def __missing__(self, word: bytes) -> int:
-        symbol = class_of(word, self.own)
-        if len(self) < 400_000:
+        symbol = self.own + class_of(word, self.classes)
+        if len(self) < self.own + 400_000:
             self[word] = symbol
         return symbol
 
@@ -117,72 +128,219 @@ class Symbols(dict):
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
-def pair_counts(texts: DataFrame, own: list[bytes]) -> DataFrame:
-    """(before, after, n) of neighbouring symbols over all texts; every text begins after the start symbol."""
+def pair_counts(texts: DataFrame, own: list[bytes], classes: int, flush: int = 1 << 21) -> DataFrame:
+    """(pair, n) of neighbouring symbols over all texts: before * (symbols + 1) + after; every text begins after the start symbol."""
     shared = texts.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):
-        symbols = Symbols(shared.value)
-        width = symbols.size + 1
-        total = np.zeros(width * width, dtype=np.int32)
+        symbols = Symbols(shared.value, classes)
+        width = symbols.start + 1
+        keys, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        found, size = [], 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            new, times = np.unique(np.concatenate(found), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            return both, np.bincount(at, weights=np.concatenate([n, times]), minlength=len(both)).astype(np.int64)
+
         for _, part in runs(batches):
             for text in part:
                 after = symbols.of(tokens_of(text))
                 before = np.concatenate([[symbols.start], after[:-1]])
-                np.add.at(total, before * width + after, 1)
-        at = np.flatnonzero(total)
-        yield record(PAIRS, at // width, at % width, total[at])
+                found.append(before * width + after)
+                size += len(after)
+            if size >= flush:
+                keys, n = added()
+                found, size = [], 0
+                if len(keys) >= flush:
+                    yield record(PAIRS, keys, n)
+                    keys, n = keys[:0], n[:0]
+        if found:
+            keys, n = added()
+        if len(keys):
+            yield record(PAIRS, keys, n)
 
-    return texts.mapInArrow(run, "before int, after int, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+class Model:
+    """Parameters with their past squared gradients, a row for each symbol (the last one for the start), and how often each was used.
+
+    Columns: context and past, target and past, bias and past, uses as context, uses as target or noise.
+    """
+
+    WIDTH = 2 * SIZE + 6
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+        self.contexts, self.targets, self.bias = rows[:, :SIZE], rows[:, SIZE + 1 : 2 * SIZE + 1], rows[:, 2 * SIZE + 2]
+        self.past = rows[:, SIZE], rows[:, 2 * SIZE + 1], rows[:, 2 * SIZE + 3]
+        self.uses = rows[:, 2 * SIZE + 4], rows[:, 2 * SIZE + 5]
+
+    @classmethod
+    def fresh(cls, unigram: np.ndarray, draw: np.random.Generator) -> Model:
+        rows = np.zeros((len(unigram) + 1, cls.WIDTH), dtype=np.float32)
+        model = cls(rows)
+        model.contexts[:] = draw.standard_normal(model.contexts.shape) * 0.1
+        model.targets[:] = draw.standard_normal(model.targets.shape) * 0.1
+        model.bias[:-1] = np.log(unigram)
+        for past in model.past:
+            past[:] = 1e-2
+        return model
+
+    def parameters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.contexts, self.targets[:-1], self.bias[:-1]
+
+
+def mean_of(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of models that began alike, averaged by how often each was used."""
+    total = np.zeros(parts[0].shape, dtype=np.float64)
+    for rows in parts:
+        for uses, a, b in ((-2, 0, SIZE + 1), (-1, SIZE + 1, 2 * SIZE + 4)):
+            weight = rows[:, uses].astype(np.float64) + 1e-6
+            total[:, a:b] += rows[:, a:b] * weight[:, None]
+            total[:, uses] += weight
+    total[:, : SIZE + 1] /= total[:, -2:-1]
+    total[:, SIZE + 1 : -2] /= total[:, -1:]
+    return total.astype(np.float32)
+
+
+def visits_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, weight) of the visits of one pass: all pairs, and by weight as often as they are counted.
+
+    Pairs above the mean count are visited once for each time they hold it, so there are at most twice as many visits as pairs.
+    """
+    mean = n.mean()
+    times = np.ceil(n / mean).astype(np.int64)
+    pair = np.repeat(np.arange(len(n)), times)
+    return pair, (n / (times * mean))[pair].astype(np.float32)
 
 
 def train(
     before: np.ndarray, after: np.ndarray, n: np.ndarray, symbols: int, noise: int = 20, steps: int = 3000,
-    batch: int = 1024, rate: float = 0.1, seed: int = 3,
+    batch: int = 1024, rate: float = 0.1, seed: int = 3, *, unigram: np.ndarray | None = None, model: Model | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, targets, bias) of the log-bilinear model, by noise-contrastive estimation.
+    """(contexts, targets, bias) of the log-bilinear model, by noise-contrastive estimation; ``model`` is trained further.
 
-    Each step draws neighbouring pairs by their counts, and for each as many noise symbols by frequency; the model's unnormalised
-    score less the log of the noise's expected number is the log-odds that a symbol is no noise. Steps are scaled by
-    the root of past squared gradients. Without pairs the model is the smoothed frequencies.
+    Passes over all pairs, as many as make ``steps`` steps and one at least, tell each from noise symbols drawn by frequency;
+    the model's unnormalised score less the log of the noise's expected number is the log-odds that a symbol is no noise. Steps
+    are scaled by the root of past squared gradients. Without pairs the model is the smoothed frequencies.
     """
     draw = np.random.default_rng(seed)
-    unigram = np.bincount(after, weights=n, minlength=symbols) + 0.5
-    unigram = unigram / unigram.sum()
-    contexts = draw.standard_normal((symbols + 1, SIZE)) * 0.1
-    targets = draw.standard_normal((symbols, SIZE)) * 0.1
-    bias = np.log(unigram)
+    if unigram is None:
+        unigram = np.bincount(after, weights=n, minlength=symbols) + 0.5
+        unigram = unigram / unigram.sum()
+    model = Model.fresh(unigram, draw) if model is None else model
+    contexts, targets, bias = model.contexts, model.targets, model.bias
     if not len(n):
-        return contexts * 0, targets, bias
-    past = [np.full(x.shape[:1], 1e-2) for x in (contexts, targets, bias)]
-    pair_ends, noise_ends = np.cumsum(n / n.sum()), np.cumsum(unigram)
-    odds = np.log(noise * unigram)
+        contexts[:] = 0
+        return model.parameters()
+    noise_ends = np.cumsum(unigram)
+    odds = np.log(noise * unigram).astype(np.float32)
+    # The noise symbols of a step are shared by its pairs, which makes their scores one matrix product.
+    share = np.float32(1 / 8)
 
     def step(which: int, values: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         used, first = np.unique(rows[order], return_index=True)
         total = np.add.reduceat(gradient[order], first, axis=0)
-        past[which][used] += total**2 if total.ndim == 1 else (total**2).mean(axis=1)
-        scale = rate / np.sqrt(past[which][used])
+        past = model.past[which]
+        past[used] += total**2 if total.ndim == 1 else (total**2).mean(axis=1)
+        scale = rate / np.sqrt(past[used])
         values[used] += total * (scale if total.ndim == 1 else scale[:, None])
+        if which < 2:
+            model.uses[which][used] += np.diff(np.append(first, len(rows)))
+
+    pairs, weights = visits_of(np.asarray(n, dtype=np.float64))
+    few = -(-batch // len(pairs))
+    pairs, weights = np.tile(pairs, few), np.tile(weights, few)
+    for _ in range(max(1, -(-steps * batch // len(pairs)))):
+        order = draw.permutation(len(pairs))
+        for at in range(0, len(order), batch):
+            now = order[at : at + batch]
+            u, w, much = before[pairs[now]], after[pairs[now]], weights[now]
+            false = np.searchsorted(noise_ends, draw.random(noise * 8)).clip(max=symbols - 1)
+            c, t, f = contexts[u], targets[w], targets[false]
+            right = much / (1 + np.exp((c * t).sum(axis=1) + bias[w] - odds[w]))
+            wrong = -share * much[:, None] / (1 + np.exp(-(c @ f.T + bias[false] - odds[false])))
+            rows = np.concatenate([w, false])
+            step(0, contexts, u, right[:, None] * t + wrong @ f)
+            step(1, targets, rows, np.concatenate([right[:, None] * c, wrong.T @ c]))
+            step(2, bias, rows, np.concatenate([right, wrong.sum(axis=0)]))
+    return model.parameters()
+
+
+def trained(pairs: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, steps: int = 3000, block: int = 1024, most: int = 1 << 20) -> Model:
+    """The model of a table of pair counts: tasks train on partitions, ``most`` pairs at a time, and their parameters are averaged."""
+    spark, symbols = pairs.sparkSession, len(unigram)
+    model = Model.fresh(unigram, np.random.default_rng(3))
+    for round_ in range(rounds):
+        model.uses[0][:] = model.uses[1][:] = 0
+        shared = spark.sparkContext.broadcast((model.rows, unigram))
+
+        def run(batches, shared=shared, round_=round_):
+            rows, frequency = shared.value
+            own = Model(rows.copy())
+            found, size, blocks = [], 0, 0
+
+            def learn() -> None:
+                pair, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                # Few pairs are gone through again and again, but not learned by heart.
+                done = min(steps, int(12 * n.sum()) // 1024) // rounds if blocks == 0 and size < most else 1
+                train(pair // (symbols + 1), pair % (symbols + 1), n, symbols, steps=done, seed=3 + 1000 * round_ + blocks, unigram=frequency, model=own)
+
+            for batch in batches:
+                found.append(tuple(batch.column(k).to_numpy() for k in (0, 1)))
+                size += batch.num_rows
+                if size >= most:
+                    learn()
+                    found, size, blocks = [], 0, blocks + 1
+            if size:
+                learn()
+            if size or blocks:
+                at = list(range(0, symbols + 1, block))
+                for a in at:
+                    yield record(ROWS, [a // block], [own.rows[a : a + block].tobytes()])
+
+        def mean(key, group):
+            parts = [np.frombuffer(x.as_py(), dtype=np.float32).reshape(-1, Model.WIDTH) for x in group.column("rows")]
+            return pa.table([[key[0].as_py()], [mean_of(parts).tobytes()]], schema=ROWS)
+
+        found = pairs.mapInArrow(run, "block int, rows binary").groupBy("block").applyInArrow(mean, "block int, rows binary")
+        parts = {r.block: r.rows for r in found.toLocalIterator()}
+        shared.unpersist()
+        if parts:
+            rows = np.concatenate([np.frombuffer(parts[k], dtype=np.float32) for k in sorted(parts)])
+            model = Model(rows.reshape(-1, Model.WIDTH).copy())
+    return model
+
+
+def norms(model, block: int = 256, wide: int = 1 << 14) -> np.ndarray:
+    """Log of the sum over all symbols of exp(score), of each of some contexts."""
+    contexts, targets, bias = model
+    total = np.full(len(contexts), -np.inf)
+    for at in range(0, len(contexts), block):
+        for to in range(0, len(targets), wide):
+            scores = contexts[at : at + block] @ targets[to : to + wide].T + bias[to : to + wide]
+            high = scores.max(axis=1, keepdims=True)
+            scores -= high
+            here = np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64)) + high[:, 0]
+            total[at : at + block] = np.logaddexp(total[at : at + block], here)
+    return total
+
+
+def norms_in_tasks(spark: SparkSession, shared, contexts: int, block: int = 256) -> np.ndarray:
+    """``norms`` of all contexts of a broadcast model, blocks of them in each task."""
+    blocks = -(-contexts // block)
+
+    def run(batches):
+        c, t, b = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield record(NORMS, [k], [norms((c[k * block : (k + 1) * block], t, b)).tobytes()])
 
-    for _ in range(steps):
-        pair = np.searchsorted(pair_ends, draw.random(batch)).clip(max=len(n) - 1)
-        false = np.searchsorted(noise_ends, draw.random(noise * 8)).clip(max=symbols - 1)
-        u, w = before[pair], after[pair]
-        c = contexts[u]
-        # The noise symbols of a step are shared by its pairs, which makes their scores one matrix product.
-        share = noise / len(false)
-        right = 1 / (1 + np.exp((c * targets[w]).sum(axis=1) + bias[w] - odds[w]))
-        wrong = -share / (1 + np.exp(-(c @ targets[false].T + bias[false] - odds[false])))
-        d_context = right[:, None] * targets[w] + wrong @ targets[false]
-        d_target = np.concatenate([right[:, None] * c, wrong.T @ c])
-        d_bias = np.concatenate([right, wrong.sum(axis=0)])
-        rows = np.concatenate([w, false])
-        step(0, contexts, u, d_context)
-        step(1, targets, rows, d_target)
-        step(2, bias, rows, d_bias)
-    return contexts, targets, bias
+    found = spark.range(0, blocks, 1, min(blocks, 256)).mapInArrow(run, "block long, norms binary").collect()
+    return np.concatenate([np.frombuffer(r.norms) for r in sorted(found, key=lambda r: r.block)])
 
 
 def log_probabilities(contexts: np.ndarray, targets: np.ndarray, bias: np.ndarray, block: int = 256) -> np.ndarray:
@@ -199,7 +357,7 @@ def scored(
     docs: DataFrame,
     folds: int = 5,
     fold: int = 1,
-    own: int = OWN,
+    own: int = OWN,  # at least; see sizes_of
     head: int = HEAD,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -215,33 +373,34 @@ def scored(
     counts = written(word_counts(teaching), "words")
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = sums[0] or 0, sums[1]
-    top = frequent(counts, head)
+    own, classes = sizes_of(distinct, own)
+    top = frequent(counts, max(head, 2 * own))
     names = [w for w, _ in top[:own]]
-    pairs = pair_counts(teaching, names).toArrow()
-    symbols = len(names) + CLASSES
-    before, after, n = (pairs.column(c).to_numpy() for c in ("before", "after", "n"))
-    model = train(before, after, n.astype(float), symbols)
-    del pairs, before, after, n
     # Words and tokens within each symbol that several words share.
     by_class = (
-        counts.mapInArrow(_class_sums(names), "symbol int, n long, words long")
-        .groupBy("symbol")
+        counts.mapInArrow(_class_sums(names, classes), "class int, n long, words long")
+        .groupBy("class")
         .agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
         .collect()
     )
-    class_n, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
+    class_n, class_words = np.zeros(classes), np.zeros(classes)
     for r in by_class:
-        class_n[r.symbol - len(names)], class_words[r.symbol - len(names)] = r.n, r.words
+        class_n[r["class"]], class_words[r["class"]] = r.n, r.words
+    unigram = np.concatenate([[n for _, n in top[: len(names)]], class_n]) + 0.5
+    pairs = written(pair_counts(teaching, names, classes), "pairs")
+    model = trained(pairs, unigram / unigram.sum()).parameters()
     # An unknown word may have any of the shared symbols: each keeps the share of one unseen word.
     class_log = np.log(class_n + 0.5 * (class_words + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((top, model, class_log))
+    context = docs.sparkSession.sparkContext
+    parameters_ = context.broadcast(tuple(np.ascontiguousarray(x) for x in model))
+    shared = context.broadcast((top, len(names), norms_in_tasks(docs.sparkSession, parameters_, len(model[0])), class_log))
 
     def run(batches):
-        head_counts, parameters, class_logs = shared.value
+        head_counts, first, normal, class_logs = shared.value
+        contexts, targets, bias = parameters_.value
         known = {w: np.log(c + 0.5) for w, c in head_counts}
-        symbols_ = Symbols(names)
-        table = log_probabilities(*parameters)
-        row, first = 0, len(names)
+        symbols_ = Symbols([w for w, _ in head_counts[:first]], classes)
+        row = 0
         for ids, part in runs(batches):
             rows = []
             for doc_id, text in zip(ids, part, strict=True):
@@ -252,7 +411,8 @@ def scored(
                 rare = logs < 0  # not in the head; a known word's log is above 0
                 in_class = after >= first
                 base = logs[~rare].sum()
-                model_ = float(table[before, after].sum(dtype=np.float64)) - class_logs[after[in_class] - first].sum()
+                model_ = float(np.einsum("ij,ij->i", contexts[before], targets[after]).sum(dtype=np.float64))
+                model_ += float(bias[after].sum(dtype=np.float64) - normal[before].sum()) - class_logs[after[in_class] - first].sum()
                 model_ += logs[in_class & ~rare].sum()
                 times: dict[bytes, int] = {}
                 for i in np.flatnonzero(rare):
@@ -288,19 +448,19 @@ def scored(
     )
 
 
-def _class_sums(names: list[bytes]):
-    schema = pa.schema([("symbol", pa.int32()), ("n", pa.int64()), ("words", pa.int64())])
+def _class_sums(names: list[bytes], classes: int):
+    schema = pa.schema([("class", pa.int32()), ("n", pa.int64()), ("words", pa.int64())])
     named = set(names)
 
     def run(batches):
-        n, words = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
+        n, words = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
         for batch in batches:
             for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if word not in named:
-                    k = class_of(word, 0)
+                    k = class_of(word, classes)
                     n[k] += count
                     words[k] += 1
         at = np.flatnonzero(words)
-        yield record(schema, at + len(named), n[at], words[at])
+        yield record(schema, at, n[at], words[at])
 
     return run
