@@ -7,7 +7,9 @@ added up by host in Spark, and the text is then taken from the host's winning pa
 it, uses the path it voted for itself.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers' comments are left out wherever
-they stand, by tag or by a word of their class, id or role. Character references are decoded; white space in a block becomes
+they stand, by tag or by a whole class, id or role that names one (``sidebar``, ``sidebar-left``, ``user-comments``; not
+``has-sidebar``, ``comments-open``, nor a heading's own address such as ``related-work``). An article, a main part and what
+holds one are never left out by name. Character references are decoded; white space in a block becomes
 one space; blocks are joined by a line feed. Null and empty pages, and pages without text, give an empty text. Pages
 without a host in their address share one.
 """
@@ -46,6 +48,14 @@ _DROPPED_WORDS = {
     "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice",
     "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+# What a name of several words may hold besides a dropped word and still name such a zone.
+_SIDES = {
+    "area", "bar", "block", "bottom", "box", "center", "container", "content", "global", "inner", "item", "items", "left", "links", "list",
+    "main", "outer", "page", "panel", "post", "primary", "right", "secondary", "section", "site", "slot", "sub", "thread", "top", "user",
+    "unit", "wrap", "wrapper",
+}
+_KEPT = {"body", "main", "article"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ARTICLE_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 # An element that a new one of the second kind ends without an end tag.
 _ENDED_BY = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -56,7 +66,8 @@ class Element:
     tag: str
     path: str | None  # of a container
     parent: Element | None
-    dropped: bool
+    named: bool  # left out by its own name
+    holder: Element | None = field(default=None, repr=False)  # the element around it, container or not
     weight: float = 1.0
     score: float = 0.0
     container: Element | None = field(default=None, repr=False)
@@ -68,34 +79,44 @@ class Block:
     inside: Element
 
 
-def _words(attributes: str) -> tuple[list[str], set[str]]:
-    """Classes with numbers generalised, and the words of class, id and role."""
-    classes, words = [], set()
+def _names_zone(name: str) -> bool:
+    """Whether a whole class, id or role names a zone to leave out: dropped words alone or with words for a place or kind."""
+    words = [w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())]
+    return any(w in _DROPPED_WORDS for w in words) and all(w in _DROPPED_WORDS or w in _SIDES for w in words)
+
+
+def _words(attributes: str) -> tuple[list[str], set[str], bool]:
+    """Classes with numbers generalised, the words of class, id and role, and whether one of these names a zone to leave out."""
+    classes, words, zone = [], set(), False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         if name.lower() == "class":
             classes += [re.sub(r"\d+", "0", c.lower()) for c in value.split()]
+        zone = zone or any(map(_names_zone, value.split()))
         words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return classes, words
+    return classes, words, zone
+
+
+def _left_out(element: Element | None) -> bool:
+    while element is not None:
+        if element.named or element.tag in _DROPPED:
+            return True
+        element = element.holder
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, in zones that are not left out, each with the container it lies in."""
     top = Element("html", "", None, False)
     top.container = top
-    stack, blocks, part, links, in_link, at = [top], [], [], 0, False, 0
+    stack, found, part, links, in_link, at = [top], [], [], 0, False, 0
 
     def end_block() -> None:
         nonlocal links
         text = " ".join(references.unescape("".join(part)).split())
         part.clear()
-        if text and not stack[-1].dropped:
-            box = stack[-1].container
-            blocks.append(Block(text, box))
-            value = max(0, len(text) - 2 * links)
-            box.score += value
-            if box.parent is not None:
-                box.parent.container.score += value / 2
+        if text:
+            found.append((text, stack[-1], max(0, len(text) - 2 * links)))
         links = 0
 
     def add(text: str) -> None:
@@ -105,13 +126,13 @@ def blocks_of(page: str) -> list[Block]:
             links += len(text) * in_link
 
     while at < len(page):
-        found = _TOKEN.search(page, at)
-        if found is None:
+        token = _TOKEN.search(page, at)
+        if token is None:
             add(page[at:])
             break
-        add(page[at : found.start()])
-        at = found.end()
-        closing, tag, attributes = found[1], (found[2] or "").lower(), found[3] or ""
+        add(page[at : token.start()])
+        at = token.end()
+        closing, tag, attributes = token[1], (token[2] or "").lower(), token[3] or ""
         if not tag:
             continue
         if tag in _RAW and not closing:
@@ -138,16 +159,29 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         if tag in _VOID or tag == "html":
             continue
-        classes, words = _words(attributes) if attributes else ([], set())
+        classes, words, zone = _words(attributes) if attributes else ([], set(), False)
         up = stack[-1]
-        element = Element(tag, None, up, up.dropped or tag in _DROPPED or (tag != "body" and bool(words & _DROPPED_WORDS)))
+        named = zone and tag not in _HEADINGS and tag not in _KEPT
+        element = Element(tag, None, up, named)
+        if tag in _KEPT and not zone:  # an article named a comment frees nothing around it
+            for x in stack:
+                x.named = False
         element.container = up.container
         if tag in _CONTAINERS:
             element.path = "/".join(filter(None, [up.container.path, ".".join([tag, *classes])]))
             element.parent, element.container = up.container, element
             element.weight = {"article": 3.0, "main": 2.0}.get(tag, 1.5 if words & _ARTICLE_WORDS else 1.0)
+        element.holder = up
         stack.append(element)
     end_block()
+    blocks = []
+    for text, element, value in found:
+        if not _left_out(element):
+            blocks.append(Block(text, element.container))
+            box = element.container
+            box.score += value
+            if box.parent is not None:
+                box.parent.score += value / 2
     return blocks
 
 
