@@ -2,7 +2,8 @@
 
 A page is read into blocks of text, each with the containers it lies in. A container's path is the tags from the body down to it
 with their classes, numbers in them generalised. Every page scores its containers (text they hold outside links, a level
-further up for half as much, more for tags and classes that name an article) and votes for the best path. Votes are
+further up for half as much, more for tags and classes that name an article), climbs from the best one while the
+containers around it, up to an article or main part, add text that is mostly no links, and votes for the path it reaches. Votes are
 added up by host in Spark, and the text is then taken from the host's winning path; a page without it, or with nothing in
 it, uses the path it voted for itself.
 
@@ -77,6 +78,7 @@ class Element:
 class Block:
     text: str
     inside: Element
+    value: int  # characters, less twice those in links
 
 
 def _names_zone(name: str) -> bool:
@@ -177,7 +179,7 @@ def blocks_of(page: str) -> list[Block]:
     blocks = []
     for text, element, value in found:
         if not _left_out(element):
-            blocks.append(Block(text, element.container))
+            blocks.append(Block(text, element.container, value))
             box = element.container
             box.score += value
             if box.parent is not None:
@@ -195,7 +197,24 @@ def _boxes(block: Block) -> Iterator[Element]:
 def best_path(blocks: list[Block]) -> str:
     """Path of the container that scores highest; its first in the page where several are equal; "" without text."""
     boxes = {id(box): box for block in blocks for box in _boxes(block)}
-    return max(boxes.values(), key=lambda x: x.score * x.weight).path if boxes else ""
+    return _whole(max(boxes.values(), key=lambda x: x.score * x.weight), blocks).path if boxes else ""
+
+
+def _whole(box: Element, blocks: list[Block]) -> Element:
+    """The container around ``box`` up to which each adds text that is mostly no links; never beyond an article or main part, nor the body.
+
+    A container that adds nothing is passed through.
+    """
+    best, inside = box, {id(b) for b in blocks if any(x is box for x in _boxes(b))}
+    while best.tag not in _KEPT and box.tag not in _KEPT and box.parent is not None and box.parent.tag not in ("body", "html"):
+        box = box.parent
+        more = [b for b in blocks if id(b) not in inside and any(x is box for x in _boxes(b))]
+        if more:
+            if 2 * sum(b.value for b in more) < sum(len(b.text) for b in more):
+                break
+            best = box
+            inside.update(map(id, more))
+    return best
 
 
 def text_in(blocks: list[Block], path: str) -> str:

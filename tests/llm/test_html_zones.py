@@ -35,3 +35,20 @@ def test_whole_names_of_zones_are_left_out(zone):
 
 def test_comments_written_as_articles_stay_out():
     assert text("<article><p>one</p></article><div id='comments'><article class='comment'><p>gone</p></article></div>") == "one"
+
+
+LONG = "words of the article " * 9
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<article><div class='wrap'><div class='lead'><p>short</p></div><div class='text'><p>{}</p></div></div></article>",
+        "<main><div class='grid'><section class='b'><p>short</p></section><section class='a'><p>{}</p></section></div></main>",
+        "<article><div class='head'><p>short</p></div><div><div><div class='text'><p>{}</p></div></div></div></article>",
+    ],
+)
+def test_articles_in_parts_are_whole_and_links_beside_them_stay_out(wrap):
+    assert text(wrap.format(LONG)) == "short\n" + LONG.strip()
+    links = "<div class='more'><p><a href='/'>" + "other pages " * 9 + "</a></p></div>"
+    assert text("<div class='page'>" + wrap.format(LONG) + links + "</div>") == "short\n" + LONG.strip()
