@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stockledger.llm import bpe, chunks, decontaminate, html, lm, ngram_join, quality, rules, suffixes, toxicity
+from stockledger.llm import bpe, chunks, decontaminate, html, lm, mixing, ngram_join, quality, rules, suffixes, toxicity
 from stockledger.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carried=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_classifier": op2_quality_classifier,
@@ -65,10 +70,12 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op12_source_mix": op12_source_mix,
     "pipeline": corpus_pipeline.run,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
 # The others learn, sort suffixes, walk trees of tags or merge bytes: tests hold them against brute force.
@@ -87,5 +94,38 @@ named AS (SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS ids
           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM found) GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_source_mix": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS part, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS key
+  FROM documents),
+s AS (SELECT part, source_size, 1 + (row_number() OVER (ORDER BY part = '', part) - 1) % 3 AS weight
+      FROM (SELECT part, CAST(sum(size) AS HUGEINT) AS source_size FROM d GROUP BY part)),
+total AS (SELECT sum(source_size) AS words FROM s),
+-- Round by round, all sources above their limit are set to it and the rest is shared anew.
+rounds AS (
+  SELECT 0 AS round, part, source_size, weight, false AS at_limit FROM s
+  UNION ALL
+  SELECT round + 1, part, source_size, weight,
+         at_limit OR 3 * source_size * open < weight * (words - given)
+  FROM (SELECT r.*, words, coalesce(sum(CASE WHEN at_limit THEN 3 * source_size END) OVER (), 0) AS given,
+               coalesce(sum(CASE WHEN NOT at_limit THEN weight END) OVER (), 0) AS open
+        FROM rounds r, total)
+  WHERE round < (SELECT count(*) FROM s)),
+final AS (SELECT part, source_size, at_limit, weight * (words - given) AS num, open
+          FROM (SELECT r.*, words, coalesce(sum(CASE WHEN at_limit THEN 3 * source_size END) OVER (), 0) AS given,
+                       coalesce(sum(CASE WHEN NOT at_limit THEN weight END) OVER (), 0) AS open
+                FROM rounds r, total WHERE round = (SELECT count(*) FROM s))),
+t AS (SELECT part, source_size,
+             CASE WHEN at_limit THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(num AS DOUBLE) / CAST(open AS DOUBLE) END AS target,
+             CASE WHEN at_limit THEN 3 * source_size ELSE num // open END AS words FROM final),
+p AS (SELECT d.*, t.source_size, t.target, t.words,
+             sum(size) OVER (PARTITION BY part ORDER BY key, id, size ROWS UNBOUNDED PRECEDING) - size AS start
+      FROM d JOIN t USING (part))
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size
+            + least(greatest(words % source_size - start, 0), size) END AS BIGINT) AS taken
+FROM p""",
 }
