@@ -29,7 +29,7 @@ SPACES = r"\x20\x09-\x0D"
 CYCLE = (1, 2, 3)
 MAX_EPOCHS = 3
 KEY_BITS = 60
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 EXACT = "decimal(38,0)"
 RESULTS = ("size", "source_size", "target", "taken", "copies", "start")
 
@@ -123,7 +123,7 @@ def mix(
     """
     carried = list(docs.columns if carried is None else carried)
     rows = written(keyed(docs, carried, id_col, text_col, source_col, seed), "keyed")
-    bits = max(4, min(30, (rows.count() // RANGE_ROWS).bit_length()))
+    bits = max(8, min(30, (rows.count() // RANGE_ROWS).bit_length()))
     rows = rows.withColumn("range", F.shiftright("key", KEY_BITS - bits))
     ranges = written(rows.groupBy("part", "range").agg(F.sum("size").alias("words_here")), "ranges")
     sources = ranges.groupBy("part").agg(F.sum("words_here").alias("source_size"))
