@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stockledger.llm import bpe, chunks, decontaminate, html, lm, mixing, ngram_join, quality, rules, suffixes, toxicity
+from stockledger.llm import bpe, chunks, decontaminate, html, lm, mixing, ngram_join, periodic, quality, rules, suffixes, toxicity
 from stockledger.llm.common import table
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
@@ -59,6 +62,34 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The words of each text; where the hash of the id ends in 0, those from some place on made periodic. Only ids and texts are kept."""
+    words = docs.select(
+        "doc_id", F.col("text").alias("whole"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")
+    ).withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("whole", F.lit(f"({_WORD})"))))
+    sizes = words.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("IF(n > 0, g % n, 0)"))
+    periods = sizes.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("array_join(transform(sequence(0, n - 1), i -> w[CAST(IF(i >= a, a + (i - a) % p, i) AS INT)]), ' ')")
+    return periods.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("whole")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic(with_planted_periods(table(spark, sf_dir, "documents")))
+    greatest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS s, -r.period AS p)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    named = found.withColumn("most", greatest).withColumn("lines", lines)
+    return named.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("most.s")).alias("start"),
+        F.col("most.length").alias("length"),
+        (-F.col("most.p")).alias("period"),
+        F.expr("1000 * most.length div -most.p").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_classifier": op2_quality_classifier,
@@ -71,11 +102,11 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
     "op12_source_mix": op12_source_mix,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
 # The others learn, sort suffixes, walk trees of tags or merge bytes: tests hold them against brute force.
