@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stockledger.llm import bpe, chunks, decontaminate, html, lm, mixing, ngram_join, periodic, quality, rules, suffixes, toxicity
+from stockledger.llm import bpe, chunks, collocations, decontaminate, html, lm, mixing, ngram_join, periodic, quality, rules, suffixes, toxicity
 from stockledger.llm.common import table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), carried=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -101,6 +105,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
     "op12_source_mix": op12_source_mix,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
@@ -126,6 +131,27 @@ named AS (SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS ids
 SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_collocations": rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, size, w[i:i + size - 1] AS p, CAST(count(*) AS HUGEINT) AS f
+      FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size))
+      GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.size, c.p, c.f AS a, k, x.f AS l, y.f AS r, n, 1000 * c.f * n // (x.f * y.f) AS score
+         FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) c
+         JOIN totals USING (lang)
+         JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k]
+         JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, part FROM
+             (SELECT lang, f, p[i:i + m - 1] AS part FROM
+                (SELECT *, unnest(range(1, size - m + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS m) WHERE size > m)) o
+           JOIN (SELECT lang, p AS part, f AS own FROM f) c USING (lang, part) WHERE 100 * o.f >= 100 * own),
+kept AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.part = b.p WHERE i.part IS NULL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+       CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000""",
     "op12_source_mix": f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce('=' || source, '') AS part, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
