@@ -7,11 +7,13 @@ words to k + 1:
 
 1. merge join of the relation with itself on adjacent places: two frequent phrases that overlap in all but a word. Sorted columns, so a
    comparison of neighbours; equal pairs of a block are counted at once;
-2. group count over all blocks (pre-aggregated by block, then by task) and the pairs with support enough are numbered and written;
-3. semi-join: the blocks' pairs that are among them go back to their blocks, and what is left of the occurrences is written as the next relation.
+2. group count over all blocks, of the blocks' own counts, and semi-join of those with the groups that have support enough. Both
+   need the pairs dealt by pair, so they share one shuffle: each block's count meets the sum of its group, and goes or stays;
+3. what stays goes back to its block, and the occurrences that it names are written as the next relation.
 
-A phrase is known by the numbers of its first k and its last k words, so counts are exact and no text is shuffled beyond single words. Nothing is broadcast
-by hand: the frequent phrases may be as many as they are. A phrase's counts of all its beginnings and ends come along the same two numbers.
+A phrase is known by the names of its first k and its last k words, so counts are exact and no text is shuffled beyond single words. Its own name is the
+least of the numbers its blocks gave it. Nothing is broadcast by hand: the frequent phrases may be as many as they are. A pair has one row in each block, so
+no phrase is a hot key. The counts of all beginnings and ends of a phrase come along the same two names.
 
 Null and empty texts have no words. Documents need no id. A language with fewer candidates than the limit gives them all; an empty table gives no rows.
 """
@@ -28,15 +30,20 @@ from pyspark.sql import functions as F
 
 from stockledger.llm.common import Ids, text_runs, written
 
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 19
 SUPPORT = 100
 LONGEST = 5
+NUMBER_BITS = 24  # of a phrase within its block; a block with more reserves the numbers of the next blocks
+BLOCK_BITS = 16  # of a block within its task
 COVERED = 100
 LIMIT = 2000
 SALTS = 64
 UNKNOWN = "und"
 EXACT = "decimal(38,0)"
 
+# Rows hold up to some megabytes, so pages are looked at after each row instead of after a hundred.
+BLOB_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
+
 _STOPS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+")
 _GAP = b"."
 _LONG_TEXT = 1 << 22
@@ -44,8 +51,8 @@ _LONG_TEXT = 1 << 22
 OCCURRENCES = pa.schema(
     [("block", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("vocabulary", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
 )
-RELATION = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("phrases", pa.binary())])
-PAIRS = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
+RELATION = pa.schema([("block", pa.int64()), ("steps", pa.binary()), ("numbers", pa.binary()), ("names", pa.binary())])
+PAIRS = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("own", pa.int64()), ("n", pa.int64())])
 
 
 class _Block:
@@ -87,7 +94,7 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     limit = BLOCK_WORDS
 
     def run(batches):
-        number, size, open_ = TaskContext.get().partitionId() << 33, 0, {}
+        number, size, open_ = TaskContext.get().partitionId() << BLOCK_BITS, 0, {}
         for batch in batches:
             langs, at = batch.column(0).to_pylist(), 0
             for texts in text_runs(batch.column(1)):
@@ -99,80 +106,89 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                         size += block.size - before
                         if size >= limit:
                             for name in list(open_):
-                                yield open_.pop(name).row(number, name)
-                                number += 1
+                                block = open_.pop(name)
+                                yield block.row(number, name)
+                                number += 1 + (block.size >> NUMBER_BITS)
                             size = 0
                 at += len(texts)
         for name, block in open_.items():
             yield block.row(number, name)
-            number += 1
+            number += 1 + (block.size >> NUMBER_BITS)
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
     frame = docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
     return frame.mapInArrow(run, "block long, lang string, words binary, vocabulary array<binary>, counts array<long>")
 
 
-def _relation(block: int, places: np.ndarray, phrases: np.ndarray) -> pa.Table:
-    row = [[block], [places.astype(np.int32).tobytes()], [phrases.astype(np.int64).tobytes()]]
-    return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(row, RELATION)], schema=RELATION)
+_RELATION_DDL = "block long, steps binary, numbers binary, names binary"
 
 
-_RELATION_DDL = "block long, places binary, phrases binary"
+def _relation(block: int, places: np.ndarray, numbers: np.ndarray, names: np.ndarray) -> pa.Table:
+    """A block's occurrences: steps from place to place, the number of the phrase at each, and the phrases' names by number."""
+    row = [[block], [np.diff(places, prepend=0).astype(np.int32).tobytes()], [numbers.astype(np.int32).tobytes()], [names.astype(np.int64).tobytes()]]
+    return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(row, RELATION)], schema=RELATION)
 
 
 def _word_relation(words: pa.Table, kept: pa.Table) -> pa.Table:
     """Places of the frequent words of a block."""
     if not words.num_rows or not kept.num_rows:
         return RELATION.empty_table()
-    numbers = np.frombuffer(words.column("words")[0].as_py(), dtype=np.int32)
-    no, names = kept.column("no").to_numpy(), kept.column("id").to_numpy()
-    name = np.full(max(int(numbers.max(initial=0)), int(no.max())) + 1, -1, dtype=np.int64)
-    name[no] = names
-    phrases = name[numbers]
-    places = np.flatnonzero(phrases >= 0)
-    return _relation(words.column("block")[0].as_py(), places, phrases[places])
+    written_as = np.frombuffer(words.column("words")[0].as_py(), dtype=np.int32)
+    block = words.column("block")[0].as_py()
+    no, names = kept.column("own").to_numpy() - (block << NUMBER_BITS), kept.column("id").to_numpy()
+    number = np.full(max(int(written_as.max(initial=0)), int(no.max())) + 1, -1, dtype=np.int32)
+    number[no] = np.arange(len(no))
+    numbers = number[written_as]
+    places = np.flatnonzero(numbers >= 0)
+    return _relation(block, places, numbers[places], names)
 
 
-def _adjacent(places: bytes, phrases: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merge join on the next place: the places that have one, with a code of the two phrases there; the phrases; the places' own."""
-    at, name = np.frombuffer(places, dtype=np.int32), np.frombuffer(phrases, dtype=np.int64)
-    distinct, number = np.unique(name, return_inverse=True)
-    met = np.flatnonzero(at[1:] == at[:-1] + 1)
-    return at[met], number[met] * len(distinct) + number[met + 1], distinct, name[met]
+def _adjacent(steps: pa.Scalar, numbers: pa.Scalar, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge join on the next place: the places that have one, with a code of the two phrases that stand there."""
+    step, number = (np.frombuffer(c.as_buffer(), dtype=np.int32) for c in (steps, numbers))
+    met = np.flatnonzero(step[1:] == 1)
+    return np.cumsum(step, dtype=np.int64)[met], number[met].astype(np.int64) * size + number[met + 1]
 
 
 def _pairs(batches):
     """The pairs of adjacent phrases of each block, counted."""
     for batch in batches:
-        for block, places, phrases in zip(*(c.to_pylist() for c in batch.columns)):
-            _, code, distinct, _ = _adjacent(places, phrases)
-            pair, n = np.unique(code, return_counts=True)
+        for block, steps, numbers, named in zip(*batch.columns):
+            names = np.frombuffer(named.as_buffer(), dtype=np.int64)
+            pair, n = np.unique(_adjacent(steps, numbers, len(names))[1], return_counts=True)
             if len(pair):
-                columns = distinct[pair // len(distinct)], distinct[pair % len(distinct)], np.full(len(pair), block), n
+                own = (block.as_py() << NUMBER_BITS) + np.arange(len(pair))
+                columns = names[pair // len(names)], names[pair % len(names)], own, n
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], schema=PAIRS)
 
 
 def _longer_relation(relation: pa.Table, kept: pa.Table) -> pa.Table:
-    """Places of a block where a kept pair stands, under the pair's own number."""
+    """Places of a block where a kept pair stands, under the pair's own name."""
     if not relation.num_rows or not kept.num_rows:
         return RELATION.empty_table()
-    at, code, distinct, _ = _adjacent(relation.column("places")[0].as_py(), relation.column("phrases")[0].as_py())
-    p, q, name = (kept.column(c).to_numpy() for c in ("p", "q", "id"))
-    wanted = np.searchsorted(distinct, p) * len(distinct) + np.searchsorted(distinct, q)
-    order = np.argsort(wanted)
-    wanted, name = wanted[order], name[order]
-    found = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-    there = wanted[found] == code
-    return _relation(relation.column("block")[0].as_py(), at[there], name[found[there]])
+    block, steps, numbers, named = (c[0] for c in relation.columns)
+    places, code = _adjacent(steps, numbers, len(named.as_buffer()) // 8)
+    pair = np.unique(code, return_inverse=True)[1]
+    no, names = kept.column("own").to_numpy() - (block.as_py() << NUMBER_BITS), kept.column("id").to_numpy()
+    number = np.full(len(code), -1, dtype=np.int32)
+    number[no] = np.arange(len(no))
+    numbers = number[pair]
+    there = numbers >= 0
+    return _relation(block.as_py(), places[there], numbers[there], names)
 
 
-def _semi_joined(relation: DataFrame, kept: DataFrame, function) -> DataFrame:
-    """Each block's row and its kept phrases, brought together by block."""
-    return relation.groupBy("block").cogroup(kept.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(function, _RELATION_DDL)
+def _frequent(counts: DataFrame, phrase: list[str], support: int, name: str) -> DataFrame:
+    """The blocks' counts of phrases that have support over all blocks, with the sum ``f`` and the phrase's name ``id``."""
+    group = Window.partitionBy(*phrase)
+    summed = counts.withColumns({"f": F.sum("n").over(group), "id": F.min("own").over(group)})
+    return written(summed.where(F.col("f") >= support).drop("n"), name)
 
 
-def _numbered(groups: DataFrame, name: str) -> DataFrame:
-    return written(groups.withColumn("id", F.monotonically_increasing_id()), name)
+def _kept(relation: DataFrame, frequent: DataFrame, function, name: str) -> DataFrame:
+    """Each block's row and what stays of its phrases, brought together by block."""
+    stays = frequent.select(F.shiftright("own", NUMBER_BITS).alias("of"), "own", "id")
+    kept = relation.groupBy("block").cogroup(stays.groupBy("of")).applyInArrow(function, _RELATION_DDL)
+    return written(kept, name, **BLOB_PAGES)
 
 
 def frequent_phrases(
@@ -183,30 +199,26 @@ def frequent_phrases(
     Phrases: id, p and q (first and last words but one, null for words), lang, phrase, f, heads and tails (occurrences of its first
     1, 2, ... words and of its last), last (its last word). Words of a language: lang, n.
     """
-    blocks = written(occurrences(docs, text_col, lang_col), "occurrences")
-    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("no", "word")).select(
-        "block", "lang", (F.col("no") + 1).alias("no"), F.col("word.vocabulary").alias("word"), F.col("word.counts").alias("n")
-    )
-    counted = words.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    totals = written(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    frequent = _numbered(counted.where(F.col("f") >= support), "words")
-    kept = words.join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("block", "no", "id")
-    relation = written(_semi_joined(blocks.select("block", "words"), kept, _word_relation), "relation-1")
-    none = F.array().cast("array<long>")
-    text = F.col("word").cast("string")
-    null = F.lit(None).cast("long")
-    levels = [frequent.select("id", null.alias("p"), null.alias("q"), "lang", text.alias("phrase"), "f", none.alias("heads"), none.alias("tails"), text.alias("last"))]
+    blocks = written(occurrences(docs, text_col, lang_col), "occurrences", **BLOB_PAGES)
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+    totals = written(blocks.select("lang", size.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("no", "word"))
+    own = (F.shiftleft("block", NUMBER_BITS) + F.col("no") + 1).alias("own")
+    words = words.select("lang", F.col("word.vocabulary").alias("word"), own, F.col("word.counts").alias("n"))
+    frequent = _frequent(words, ["lang", "word"], support, "words")
+    none, null, text = F.array().cast("array<long>"), F.lit(None).cast("long"), F.col("word").cast("string")
+    once = frequent.where("own = id")
+    levels = [once.select("id", null.alias("p"), null.alias("q"), "lang", text.alias("phrase"), "f", none.alias("heads"), none.alias("tails"), text.alias("last"))]
+    relation = _kept(blocks.select("block", "words"), frequent, _word_relation, "relation-1")
     for size in range(2, longest + 1):
-        pairs = relation.mapInArrow(_pairs, "p long, q long, block long, n long")
-        groups = pairs.groupBy("p", "q").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
-        frequent = _numbered(groups, f"phrases-{size}")
+        pairs = relation.mapInArrow(_pairs, "p long, q long, own long, n long")
+        frequent = _frequent(pairs, ["p", "q"], support, f"phrases-{size}")
         if size < longest:
-            kept = pairs.join(frequent.select("p", "q", "id"), ["p", "q"]).select("block", "p", "q", "id")
-            relation = written(_semi_joined(relation, kept, _longer_relation), f"relation-{size}")
+            relation = _kept(relation, frequent, _longer_relation, f"relation-{size}")
         shorter = levels[-1]
         first = shorter.select(F.col("id").alias("p"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("f")).alias("heads"))
         rest = shorter.select(F.col("id").alias("q"), F.concat("tails", F.array("f")).alias("tails"), "last")
-        joined = frequent.join(first, "p").join(rest, "q")
+        joined = frequent.where("own = id").join(first, "p").join(rest, "q")
         longer = joined.select("id", "p", "q", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "f", "heads", "tails", "last")
         levels.append(written(longer, f"named-{size}"))
     return levels, totals
