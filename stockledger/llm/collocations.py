@@ -28,21 +28,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import Ids, text_runs, written
+from stockledger.llm.common import Ids, fresh, released, text_runs, written
 
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 21
 SUPPORT = 100
 LONGEST = 5
 NUMBER_BITS = 24  # of a phrase within its block; a block with more reserves the numbers of the next blocks
 BLOCK_BITS = 16  # of a block within its task
 COVERED = 100
 LIMIT = 2000
-SALTS = 64
+SALTS = 16
 UNKNOWN = "und"
 EXACT = "decimal(38,0)"
 
-# Rows hold up to some megabytes, so pages are looked at after each row instead of after a hundred.
-BLOB_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
+# Rows hold up to some megabytes, so pages are looked at after each row instead of after a hundred; zstd works in small buffers.
+BLOB_PAGES = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
 
 _STOPS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+")
 _GAP = b"."
@@ -199,7 +199,9 @@ def frequent_phrases(
     Phrases: id, p and q (first and last words but one, null for words), lang, phrase, f, heads and tails (occurrences of its first
     1, 2, ... words and of its last), last (its last word). Words of a language: lang, n.
     """
-    blocks = written(occurrences(docs, text_col, lang_col), "occurrences", **BLOB_PAGES)
+    # Relations are released as soon as the next one is there; names are this call's own.
+    spark, place = docs.sparkSession, fresh("occurrences")
+    blocks = written(occurrences(docs, text_col, lang_col), place, **BLOB_PAGES)
     size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
     totals = written(blocks.select("lang", size.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("no", "word"))
@@ -209,12 +211,18 @@ def frequent_phrases(
     none, null, text = F.array().cast("array<long>"), F.lit(None).cast("long"), F.col("word").cast("string")
     once = frequent.where("own = id")
     levels = [once.select("id", null.alias("p"), null.alias("q"), "lang", text.alias("phrase"), "f", none.alias("heads"), none.alias("tails"), text.alias("last"))]
-    relation = _kept(blocks.select("block", "words"), frequent, _word_relation, "relation-1")
+    before, place = place, fresh("relation")
+    relation = _kept(blocks.select("block", "words"), frequent, _word_relation, place)
+    released(spark, before)
     for size in range(2, longest + 1):
         pairs = relation.mapInArrow(_pairs, "p long, q long, own long, n long")
         frequent = _frequent(pairs, ["p", "q"], support, f"phrases-{size}")
         if size < longest:
-            relation = _kept(relation, frequent, _longer_relation, f"relation-{size}")
+            before, place = place, fresh("relation")
+            relation = _kept(relation, frequent, _longer_relation, place)
+            released(spark, before)
+        else:
+            released(spark, place)
         shorter = levels[-1]
         first = shorter.select(F.col("id").alias("p"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("f")).alias("heads"))
         rest = shorter.select(F.col("id").alias("q"), F.concat("tails", F.array("f")).alias("tails"), "last")

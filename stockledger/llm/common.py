@@ -16,6 +16,7 @@ from stockledger.session import shared_dir
 RUN_BYTES = 1 << 20
 
 _SCRATCH: dict[str, str] = {}
+_WRITTEN: dict[tuple[str, str], list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +45,18 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    _WRITTEN.setdefault((spark.sparkContext.applicationId, name), []).append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, *names: str) -> None:
+    """Remove what ``written`` has written under ``names``, once all that was made of it has been written too."""
+    for name in names:
+        for path in _WRITTEN.pop((spark.sparkContext.applicationId, name), []):
+            _remove(spark, path)
+
+
 def fresh(name: str) -> str:
     """A column name that no table of a user has."""
     return f"{name}_{uuid.uuid4().hex}"
