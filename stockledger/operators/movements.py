@@ -236,5 +236,10 @@ def movements(
     return ledger
 
 
+def kind_label() -> Column:
+    """Label of a movement from the number of its branch."""
+    return F.coalesce(*[F.when(F.col("branch_no") == b.no, F.lit(b.label)) for b in ALL])
+
+
 def needs_active_category() -> Column:
     return F.col("branch_no").isin(*[b.no for b in NEED_ACTIVE_CATEGORY])

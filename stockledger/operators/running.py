@@ -47,14 +47,23 @@ def before_name(total: str) -> str:
 
 
 def totals_before(
-    chunks: DataFrame, group: Sequence[str], levels: Sequence[Level], totals: Sequence[str]
+    chunks: DataFrame,
+    group: Sequence[str],
+    levels: Sequence[Level],
+    totals: Sequence[str],
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Per chunk, the sum of each total over all earlier chunks of its group.
 
-    ``chunks`` has one row for each chunk: the group, the level keys and the totals.
+    ``chunks`` has one row for each chunk: the group, the level keys, the totals and the
+    columns to be carried along. It is dealt by all keys but the last, for the window over
+    the last and for the sums of the next level alike; a hash names the columns that the
+    sums do not need, so that Spark has one shuffle for both.
     """
     names = level_names(levels)
     outer, last, down = [*group, *names[:-1]], names[-1], not levels[-1].ascending
+    if len(levels) > 1:
+        chunks = chunks.repartition(*outer)
     earlier = (
         Window.partitionBy(*outer)
         .orderBy(F.col(last).desc() if down else F.col(last).asc())
@@ -63,6 +72,7 @@ def totals_before(
     here = chunks.select(
         *outer,
         last,
+        *carried,
         *[
             F.coalesce(F.sum(t).over(earlier), F.lit(0)).cast(_kind(t)).alias(before_name(t))
             for t in totals
@@ -70,13 +80,18 @@ def totals_before(
     )
     if len(levels) == 1:
         return here
-    summed = chunks.groupBy(*outer).agg(*[F.sum(t).cast(_kind(t)).alias(t) for t in totals])
+    whole = F.max(F.hash(last, *carried)).alias("__whole")
+    summed = chunks.groupBy(*outer).agg(*[F.sum(t).cast(_kind(t)).alias(t) for t in totals], whole)
+    summed = summed.where("__whole IS NOT NULL").drop("__whole")
     above = totals_before(summed, group, levels[:-1], totals).withColumnsRenamed(
         {before_name(t): f"__above{t}" for t in totals}
     )
     both = {t: F.col(before_name(t)) + F.col(f"__above{t}") for t in totals}
     return here.join(above, outer).select(
-        *outer, last, *[column.cast(_kind(t)).alias(before_name(t)) for t, column in both.items()]
+        *outer,
+        last,
+        *carried,
+        *[column.cast(_kind(t)).alias(before_name(t)) for t, column in both.items()],
     )
 
 

@@ -1,16 +1,22 @@
 """Movement histories with unit conversion, running balances and totals.
 
-A history keeps its ledger rows apart from the item attributes they need. Rows as such
-are never shuffled by item: where totals are wanted, the ledger is first summed per
-(item, division, day, kind, unit) and only the sums meet the items; a running balance
-brings the items to its chunks of rows together with what came before each chunk. An
-item with a third of all movements is spread over its divisions and days throughout.
+A history keeps its ledger rows apart from the attributes of items, divisions and units
+that they need. Where totals are wanted, the ledger is first summed per (item, division,
+day, kind, unit) and only these sums, its classes, meet the items, divisions and units.
+
+For a running balance the rows are dealt by chunk, a group's rows of one division and
+day: the only shuffle of rows. The classes are summed where the rows lie, described, and
+come back as one row for each chunk, with what came before the chunk and the
+descriptions of its few classes; a row takes the one of its class. So the ledger is read
+once, a row meets one join, and an item, division or unit with a third of all movements
+is spread over its chunks throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +30,7 @@ from stockledger.operators.movements import (
     OPENING,
     SALE_RETURN,
     SALE_RETURN_WITH_RECEIPT,
+    kind_label,
     movements,
     needs_active_category,
 )
@@ -43,8 +50,38 @@ from stockledger.schemas import QTY
 from stockledger.sources.base import Source
 
 TIE_BREAKERS = ["branch_no", "no_transaksi", "line_no", "kd_satuan", "debet", "kredit", "harga"]
-CLASS = ["kd_divisi", "branch_no", "transaksi", "kd_satuan"]
+CLASS = ["kd_divisi", "branch_no", "kd_satuan"]
 NOT_IN_CLASS = {"tanggal": "timestamp_ntz", "no_transaksi": "string", "line_no": "int", "harga": QTY}
+# What a class has from its item, division and unit.
+DESCRIBED = [
+    "kd_divisi",
+    "divisi",
+    "kepala_nota",
+    "transaksi",
+    "barang",
+    "kd_satuan",
+    "satuan",
+    "konversi",
+]
+COLUMNS = [
+    "server_key",
+    "kd_divisi",
+    "divisi",
+    "kepala_nota",
+    "tanggal",
+    "transaksi",
+    "no_transaksi",
+    "kd_barang",
+    "barang",
+    "debet",
+    "kredit",
+    "kd_satuan",
+    "satuan",
+    "harga",
+    "konversi",
+    "branch_no",
+    "line_no",
+]
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -53,36 +90,79 @@ Step = Callable[[DataFrame], DataFrame]
 class History:
     """Ledger rows, the items they refer to, and the steps that make a history of both.
 
-    A step sees one column set, whether the rows are single movements or their sums per
-    class, and treats quantities linearly; so it may be applied to either.
+    ``describe`` gives carded rows their names and factors, all or none for the rows of
+    a class; ``steps`` follow. A step sees one column set, whether the rows are single
+    movements or their sums per class, and treats quantities linearly; so it may be
+    applied to either. Columns that start with two underscores pass through.
     """
 
     ledger: DataFrame
     cards: DataFrame
-    steps: tuple[Step, ...]
+    describe: tuple[Step, ...]
+    steps: tuple[Step, ...] = ()
 
     def then(self, step: Step) -> "History":
         return replace(self, steps=(*self.steps, step))
 
-    def shape(self, carded: DataFrame) -> DataFrame:
-        for step in self.steps:
+    def described(self, carded: DataFrame) -> DataFrame:
+        for step in self.describe:
             carded = step(carded)
         return carded
 
+    def shape(self, described: DataFrame) -> DataFrame:
+        for step in self.steps:
+            described = step(described)
+        return described
+
     def rows(self) -> DataFrame:
         """All movements of the history, in no order."""
-        return self.shape(self.ledger.join(self.cards, ITEM, "left"))
+        return self.shape(self.described(self.ledger.join(self.cards, ITEM, "left")))
+
+    def classes(self) -> DataFrame:
+        """Summed quantities and row counts per item and class."""
+        return self.shape(self._described_sums(self.ledger))
 
-    def classes(self, *keys: str, ledger: DataFrame | None = None) -> DataFrame:
-        """Summed quantities and row counts per item, class and further ``keys``."""
-        ledger = self.ledger if ledger is None else ledger
+    def _described_sums(self, ledger: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
         summed = ledger.groupBy(*ITEM, *CLASS, *keys).agg(
             F.sum("debet").alias("debet"),
             F.sum("kredit").alias("kredit"),
             F.count(F.lit(1)).alias(COUNT),
+            *more,
         )
+        if more:
+            summed = summed.where("__whole IS NOT NULL").drop("__whole")
+        own = F.struct(*[F.col(c).alias(f"own_{c}") for c in CLASS])
         blank = {c: F.lit(None).cast(kind) for c, kind in NOT_IN_CLASS.items()}
-        return self.shape(summed.withColumns(blank).join(self.cards, ITEM, "left"))
+        summed = summed.withColumns({**blank, "__own": own})
+        return self.described(summed.join(self.cards, ITEM, "left"))
+
+    def chunk_classes(self, dealt: DataFrame, *keys: str) -> DataFrame:
+        """Classes per item and ``keys`` of rows dealt by both; ``__class`` describes a class.
+
+        The sums need few columns of the rows, and Spark would read the ledger a second time
+        for those. A hash names the others, so that both uses have one shuffle in common.
+        """
+        whole = F.max(F.hash(*NOT_IN_CLASS)).alias("__whole")
+        described = self._described_sums(dealt, *keys, more=[whole])
+        return self.shape(described.withColumn("__class", F.struct("__own.*", *DESCRIBED)))
+
+    def chunk_rows(self, rows: DataFrame) -> DataFrame:
+        """Movements of rows that carry the ``__classes`` of their chunk.
+
+        A row takes the description of its class. An opening row for each base unit has several,
+        and a row whose class has been left out has none.
+        """
+        mine = F.filter(
+            "__classes",
+            lambda c: (c["own_branch_no"] == F.col("branch_no"))
+            & c["own_kd_divisi"].eqNullSafe(F.col("kd_divisi"))
+            & c["own_kd_satuan"].eqNullSafe(F.col("kd_satuan")),
+        )
+        hidden = [c for c in rows.columns if c.startswith("__") and c != "__classes"]
+        each = rows.withColumn("__class", F.explode(mine))
+        values = {c: F.coalesce(c, F.lit(0)) for c in ("debet", "kredit", "harga")}
+        values |= {c: F.col(f"__class.{c}") for c in DESCRIBED}
+        return self.shape(each.select(*[values.get(c, F.col(c)).alias(c) for c in COLUMNS], *hidden))
 
 
 def movement_history(
@@ -131,7 +211,7 @@ def movement_history(
         return rows.withColumn("kd_satuan", code)
 
     def with_names(rows: DataFrame) -> DataFrame:
-        label = F.col("transaksi")
+        label = kind_label()
         if not known_only:
             label = F.when(
                 F.col("branch_no") == SALE_RETURN.no, SALE_RETURN_WITH_RECEIPT
@@ -140,26 +220,21 @@ def movement_history(
         return (
             rows.join(divisi, ["server_key", "kd_divisi"], "inner" if known_only else "left")
             .join(satuan, ["server_key", "kd_satuan"], "left")
-            .select(
-                "server_key",
-                or_blank(F.col("kd_divisi")).alias("kd_divisi"),
-                or_blank(F.col("keterangan")).alias("divisi"),
-                or_blank(F.col("kepala_nota")).alias("kepala_nota"),
-                "tanggal",
-                label.alias("transaksi"),
-                "no_transaksi",
-                "kd_barang",
-                or_blank(F.col("barang")).alias("barang"),
-                F.coalesce("debet", F.lit(0)).alias("debet"),
-                F.coalesce("kredit", F.lit(0)).alias("kredit"),
-                "kd_satuan",
-                or_blank(F.col("satuan")).alias("satuan"),
-                F.coalesce("harga", F.lit(0)).alias("harga"),
-                factor_of(F.col("kd_satuan")).alias("konversi"),
-                "branch_no",
-                "line_no",
-                *hidden,
+            .withColumns(
+                {
+                    "kd_divisi": or_blank(F.col("kd_divisi")),
+                    "divisi": or_blank(F.col("keterangan")),
+                    "kepala_nota": or_blank(F.col("kepala_nota")),
+                    "transaksi": label,
+                    "barang": or_blank(F.col("barang")),
+                    "debet": F.coalesce("debet", F.lit(0)),
+                    "kredit": F.coalesce("kredit", F.lit(0)),
+                    "satuan": or_blank(F.col("satuan")),
+                    "harga": F.coalesce("harga", F.lit(0)),
+                    "konversi": factor_of(F.col("kd_satuan")),
+                }
             )
+            .select(*COLUMNS, *hidden)
         )
 
     return History(ledger, item_cards(source), (counted, with_unit_code, with_names))
@@ -215,22 +290,26 @@ def _net() -> Column:
 def _balanced(
     history: History, levels: list[Level], order: list[Column], reset_per_division: bool
 ) -> DataFrame:
-    ledger = with_levels(history.ledger, levels)
+    ledger = with_levels(history.ledger.drop("transaksi"), levels)
     group = list(ITEM)
     if reset_per_division:
         group.append("__division")
         ledger = ledger.withColumn("__division", or_blank(F.col("kd_divisi")))
     chunk = [*group, *level_names(levels)]
     keys = [c for c in chunk if c not in ITEM]
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in chunk])
+    dealt = ledger.where(present).repartition(*chunk)
     chunks = (
-        history.classes(*keys, ledger=ledger)
+        history.chunk_classes(dealt, *keys)
         .groupBy(*chunk)
-        .agg(F.sum(_net()).cast(RUNNING).alias("__sum0"), F.sum(COUNT).alias(COUNT))
-    )
-    before = totals_before(chunks, group, levels, ["__sum0", COUNT]).join(
-        history.cards, ITEM, "left"
+        .agg(
+            F.sum(_net()).cast(RUNNING).alias("__sum0"),
+            F.sum(COUNT).alias(COUNT),
+            F.collect_list("__class").alias("__classes"),
+        )
     )
-    rows = history.shape(ledger.join(before, chunk))
+    before = totals_before(chunks, group, levels, ["__sum0", COUNT], ["__classes"])
+    rows = history.chunk_rows(dealt.join(before, chunk))
     return within_chunks(rows, chunk, order, {"saldo": _net()}, ordinal="no")
 
 
