@@ -21,6 +21,7 @@ def test_rows_meet_one_join(spark, tables, no_broadcasts, shaped, step):
         **dimensions(),
         m_barang=[item("1")],
         m_barang_satuan=[unit("1", "PCS", 1), unit("1", "BOX", 12)],
+        m_barang_divisi=[{"kd_divisi": "A", "kd_barang": "1", "stok_awal": 10, "harga_beli_awal": 3}],
         **split("t_penjualan", [sale("S1", "A", "1", 2, "BOX"), sale("S2", "B", "1", 1)]),
     )
     found = shaped(step(H.movement_history(source, CLOSING)))
