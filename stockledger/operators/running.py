@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockledger.functions.numbers import RUNNING
+from stockledger.operators.sharing import naming, unnamed
 from stockledger.session import reliable_checkpoint
 
 CUT = "__cut"
@@ -57,8 +58,7 @@ def totals_before(
 
     ``chunks`` has one row for each chunk: the group, the level keys, the totals and the
     columns to be carried along. It is dealt by all keys but the last, for the window over
-    the last and for the sums of the next level alike; a hash names the columns that the
-    sums do not need, so that Spark has one shuffle for both.
+    the last and for the sums of the next level alike.
     """
     names = level_names(levels)
     outer, last, down = [*group, *names[:-1]], names[-1], not levels[-1].ascending
@@ -80,9 +80,8 @@ def totals_before(
     )
     if len(levels) == 1:
         return here
-    whole = F.max(F.hash(last, *carried)).alias("__whole")
-    summed = chunks.groupBy(*outer).agg(*[F.sum(t).cast(_kind(t)).alias(t) for t in totals], whole)
-    summed = summed.where("__whole IS NOT NULL").drop("__whole")
+    sums = [F.sum(t).cast(_kind(t)).alias(t) for t in totals]
+    summed = unnamed(chunks.groupBy(*outer).agg(*sums, naming(last, *carried)))
     above = totals_before(summed, group, levels[:-1], totals).withColumnsRenamed(
         {before_name(t): f"__above{t}" for t in totals}
     )

@@ -45,6 +45,7 @@ from stockledger.operators.running import (
     with_levels,
     within_chunks,
 )
+from stockledger.operators.sharing import naming, unnamed
 from stockledger.params import LedgerWindow
 from stockledger.schemas import QTY
 from stockledger.sources.base import Source
@@ -130,7 +131,7 @@ class History:
             *more,
         )
         if more:
-            summed = summed.where("__whole IS NOT NULL").drop("__whole")
+            summed = unnamed(summed)
         own = F.struct(*[F.col(c).alias(f"own_{c}") for c in CLASS])
         blank = {c: F.lit(None).cast(kind) for c, kind in NOT_IN_CLASS.items()}
         summed = summed.withColumns({**blank, "__own": own})
@@ -139,11 +140,9 @@ class History:
     def chunk_classes(self, dealt: DataFrame, *keys: str) -> DataFrame:
         """Classes per item and ``keys`` of rows dealt by both; ``__class`` describes a class.
 
-        The sums need few columns of the rows, and Spark would read the ledger a second time
-        for those. A hash names the others, so that both uses have one shuffle in common.
+        The sums share the shuffle of the rows.
         """
-        whole = F.max(F.hash(*NOT_IN_CLASS)).alias("__whole")
-        described = self._described_sums(dealt, *keys, more=[whole])
+        described = self._described_sums(dealt, *keys, more=[naming(*NOT_IN_CLASS)])
         return self.shape(described.withColumn("__class", F.struct("__own.*", *DESCRIBED)))
 
     def chunk_rows(self, rows: DataFrame) -> DataFrame:

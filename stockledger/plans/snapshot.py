@@ -10,14 +10,12 @@ from stockledger.functions.text import or_blank
 from stockledger.operators.items import ITEM, division_names, factor_of, item_factors, item_master
 from stockledger.operators.movements import (
     HISTORY_POLICY,
+    PURCHASE,
     SNAPSHOT_POLICY,
+    LedgerPolicy,
     movements,
 )
-from stockledger.operators.purchases import (
-    last_buy_price,
-    opening_costs,
-    weighted_average_price,
-)
+from stockledger.operators.purchases import Purchases, opening_costs, purchases_once
 from stockledger.operators.stock import net_by_unit, net_stock
 from stockledger.params import LedgerWindow
 from stockledger.sources.base import Source
@@ -25,19 +23,27 @@ from stockledger.sources.base import Source
 STOCK = ["server_key", "kd_divisi", "kd_barang"]
 
 
+def _quantities(
+    source: Source, window: LedgerWindow, policy: LedgerPolicy, bought: Purchases
+) -> DataFrame:
+    """The ledger's quantities; its purchases come from the reading that gives the prices too."""
+    others = policy.only(*[b for b in policy.branches if b is not PURCHASE])
+    columns = [*STOCK, "kd_satuan", "debet", "kredit"]
+    rest = movements(source, window, others).select(*columns)
+    return rest.unionByName(bought.quantities(window, policy).select(*columns))
+
+
 def stock_snapshot(source: Source, window: LedgerWindow) -> DataFrame:
     """Stock of every active item in every division it moved in, with names and prices."""
-    ledger = movements(source, window, SNAPSHOT_POLICY)
+    bought = purchases_once(source)
+    ledger = _quantities(source, window, SNAPSHOT_POLICY, bought)
     items = item_master(source)
     stock = net_stock(
         net_by_unit(ledger, *STOCK).join(item_factors(source), ITEM, "left"),
         factor_of(F.col("kd_satuan")),
         *STOCK,
     )
-    priced = (
-        items.join(last_buy_price(source), ITEM, "left")
-        .join(weighted_average_price(source), ITEM, "left")
-    )
+    priced = items.join(bought.prices(), ITEM, "left")
     zero = F.lit(0)
     return (
         stock.join(priced, ITEM)
@@ -69,7 +75,8 @@ def stock_as_of(source: Source, window: LedgerWindow) -> DataFrame:
     status, a zero factor stays zero, and the last purchase price falls back to the
     highest opening cost of the item.
     """
-    ledger = movements(source, window, HISTORY_POLICY)
+    bought = purchases_once(source)
+    ledger = _quantities(source, window, HISTORY_POLICY, bought)
     items = item_master(source)
     # The master keeps active categories only, which settles the category rule of the ledger.
     stock = net_stock(
@@ -77,10 +84,7 @@ def stock_as_of(source: Source, window: LedgerWindow) -> DataFrame:
         factor_of(F.col("kd_satuan"), ZERO_IS_ZERO),
         *STOCK,
     )
-    priced = (
-        items.join(last_buy_price(source), ITEM, "left")
-        .join(opening_costs(source), ITEM, "left")
-    )
+    priced = items.join(bought.prices(), ITEM, "left").join(opening_costs(source), ITEM, "left")
     return (
         stock.join(priced, ITEM)
         .join(division_names(source), ["server_key", "kd_divisi"])
