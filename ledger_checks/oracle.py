@@ -398,6 +398,7 @@ FROM ({_snapshot(IN_BASE)}) b LEFT JOIN ({_stock(IN_FEED)}) d USING (server_key,
 ORACLES["delta_applied"] = statement(_APPLIED)
 ORACLES["delta_refreshed_store"] = ORACLES["delta_applied"]
 ORACLES["delta_stream"] = ORACLES["delta_applied"]
+ORACLES["stream_late_headers"] = ORACLES["delta_applied"]
 ORACLES["delta_unmatched"] = statement(f"""
 SELECT d.server_key, d.kd_divisi, d.kd_barang, CAST(d.stok AS DOUBLE) AS delta_stok
 FROM ({_stock(IN_FEED)}) d ANTI JOIN ({_snapshot(IN_BASE)}) b USING (server_key, kd_divisi, kd_barang)""")
@@ -454,6 +455,10 @@ for _name, _condition in {
     ORACLES[_name] = statement(_report(_condition))
 
 ORACLES["report_stored"] = ORACLES["report_all"]
+ORACLES["low_stock_stored"] = ORACLES["low_stock"]
+ORACLES["report_order"] = f"""
+SELECT *, row_number() OVER (PARTITION BY server_key ORDER BY divisi, barang, kd_divisi, kd_barang) AS urutan
+FROM ({ORACLES["snapshot_full"]})"""
 ORACLES["kpi_stored"] = ORACLES["kpi_summary"]
 ORACLES["search_stored"] = ORACLES["search_code_prefix"]
 
@@ -584,7 +589,7 @@ SELECT branch_no, transaksi, kd_divisi, count(*) AS baris, CAST(sum(debet) AS DO
        CAST(sum(kredit) AS DOUBLE) AS kredit
 FROM branches WHERE (branch_no <> 6 OR status IN (0, 1)) AND branch_no NOT IN (7, 9) GROUP BY 1, 2, 3""")
 ORACLES["costing_both"] = f"""
-SELECT 'stok_akhir' AS hasil, kd_barang, stok_akhir AS stok FROM ({ORACLES["stock_per_item"]})
+SELECT 'stok_akhir' AS hasil, kd_barang, CAST(NULL AS VARCHAR) AS tanggal, CAST(NULL AS VARCHAR) AS jenis,
+       stok_akhir AS stok, CAST(NULL AS DOUBLE) AS harga FROM ({ORACLES["stock_per_item"]})
 UNION ALL
-SELECT 'histori_masuk', kd_barang, CAST(sum(CAST(stok AS DECIMAL(28,4))) AS DOUBLE)
-FROM ({ORACLES["inbound_layers"]}) GROUP BY kd_barang"""
+SELECT 'histori_masuk', kd_barang, tanggal, jenis, stok, harga FROM ({ORACLES["inbound_layers"]})"""

@@ -245,8 +245,8 @@ def delta_refreshed_store(spark, sf_dir):
 KINDS = ["t_penjualan", "t_penjualan_retur", "t_pembelian", "t_pembelian_retur", "t_mutasi_stok"]
 
 
-def _stream(spark, sf_dir, store: SnapshotStore, checkpoint: str) -> None:
-    """All lines not read before under ``checkpoint``, of the line table as one file or as a folder of part files."""
+def _line_stream(spark, sf_dir) -> TestdataSource:
+    """The tables with a stream of the line table, which may be one file or a folder of part files."""
     source = _source(spark, sf_dir)
     files, path = file_system(spark, f"{sf_dir}/lineitem.parquet")
     reader = spark.readStream.schema(source.lineitem.schema)
@@ -254,7 +254,12 @@ def _stream(spark, sf_dir, store: SnapshotStore, checkpoint: str) -> None:
         lines = reader.parquet(f"{sf_dir}/lineitem.parquet")
     else:  # A stream reads folders; the pattern picks the one file out of its own.
         lines = reader.option("pathGlobFilter", path.getName()).parquet(sf_dir)
-    feed = TestdataSource(spark, sf_dir, lineitem=lines)
+    return TestdataSource(spark, sf_dir, lineitem=lines)
+
+
+def _stream(spark, sf_dir, store: SnapshotStore, checkpoint: str) -> None:
+    """All lines not read before under ``checkpoint``."""
+    source, feed = _source(spark, sf_dir), _line_stream(spark, sf_dir)
     run = stream_refresh(store, feed, source, FEED, f"{store.root}/{checkpoint}", ["main"], KINDS)
     run.awaitTermination()
     if checkpoint == "checkpoint" and not any(p["numInputRows"] for p in run.recentProgress):
@@ -270,6 +275,33 @@ def delta_stream(spark, sf_dir):
     return _read_and_remove(store, store.read("main"))
 
 
+@query
+def stream_late_headers(spark, sf_dir):
+    """Lines and headers as streams: all lines first, half of the headers a batch later, the others after that."""
+    source, store = _source(spark, sf_dir), _store(spark)
+    full_refresh(store, source, ORDERS, LAST_REFRESH)
+    lines, landing, frames = _line_stream(spark, sf_dir), f"{store.root}/headers", {}
+    for kind in KINDS:
+        files, path = file_system(spark, f"{landing}/{kind}")
+        files.mkdirs(path)
+        frames[kind] = spark.readStream.schema(source.table(kind).schema).parquet(f"{landing}/{kind}")
+        frames[f"{kind}_detail"] = lines.table(f"{kind}_detail")
+    feed = FrameSource(spark, frames, None)
+    # Each partition of a join's state has several files a batch; their number stays what it is in the first batch.
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(8, int(partitions))))
+    try:
+        for half in (None, 0, 1):
+            for kind in KINDS if half is not None else ():
+                heads = source.table(kind)
+                number = next(c for c in heads.columns if c.startswith("no_"))
+                heads.where(F.pmod(F.xxhash64(number), F.lit(2)) == half).write.mode("append").parquet(f"{landing}/{kind}")
+            stream_refresh(store, feed, source, FEED, f"{store.root}/checkpoint", ["main"], KINDS).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return _read_and_remove(store, store.read("main"))
+
+
 @query
 def store_stream_then_batch(spark, sf_dir):
     """A stream, then a delta up to the end of the feed: nothing counts twice."""
@@ -342,6 +374,11 @@ def report_stored(spark, sf_dir):
     return report.stock_report(_stored(spark, sf_dir))
 
 
+@query
+def low_stock_stored(spark, sf_dir):
+    return report.low_stock(report.stock_report(_stored(spark, sf_dir)), 10)
+
+
 @query
 def kpi_stored(spark, sf_dir):
     return report.kpi_summary(report.stock_report(_stored(spark, sf_dir)))
@@ -360,6 +397,12 @@ def report_all(spark, sf_dir):
     return report.stock_report(_snapshot(spark, sf_dir))
 
 
+@query
+def report_order(spark, sf_dir):
+    """Every row of the snapshot with its place in the report."""
+    return snapshot.with_position(_snapshot(spark, sf_dir))
+
+
 @query
 def kpi_summary(spark, sf_dir):
     return report.kpi_summary(report.stock_report(_snapshot(spark, sf_dir)))
@@ -531,11 +574,24 @@ def export_history_converted(spark, sf_dir):
 def costing_both(spark, sf_dir):
     """Both inputs of a cost calculation, told apart by ``hasil``."""
     parts = costing.costing_inputs(_source(spark, sf_dir), COUNTS)
+    none = F.lit(None).cast("string")
     stock = _doubles(parts["stok_akhir"], "stok_akhir").select(
-        F.lit("stok_akhir").alias("hasil"), "kd_barang", F.col("stok_akhir").alias("stok")
+        F.lit("stok_akhir").alias("hasil"),
+        "kd_barang",
+        none.alias("tanggal"),
+        none.alias("jenis"),
+        F.col("stok_akhir").alias("stok"),
+        F.lit(None).cast("double").alias("harga"),
+    )
+    layers = parts["histori_masuk"].select(
+        F.lit("histori_masuk").alias("hasil"),
+        "kd_barang",
+        dates.as_text(F.col("tanggal")).alias("tanggal"),
+        "jenis",
+        "stok",
+        "harga",
     )
-    layers = parts["histori_masuk"].groupBy("kd_barang").agg(F.sum(F.col("stok").cast("decimal(28,4)")).cast("double").alias("stok"))
-    return stock.unionByName(layers.select(F.lit("histori_masuk").alias("hasil"), "kd_barang", "stok"))
+    return stock.unionByName(layers)
 
 
 @query

@@ -19,6 +19,7 @@ from stockledger.functions import dates
 from stockledger.params import LedgerWindow
 from stockledger.schemas import PRICE, QTY
 from stockledger.sources.base import Source
+from stockledger.streaming.documents import joined_streams
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,8 @@ def document_lines(
 ) -> DataFrame:
     """Lines of ``<name>_detail`` with the date and the named columns of their header.
 
-    The header is cut to the window before the join, so the date bounds reach its scan.
+    The header is cut to the window before the join, so the date bounds reach its scan. Where
+    both are streams, either may come first.
     """
     heads = source.table(name)
     if window is not None:
@@ -127,7 +129,10 @@ def document_lines(
         if ingested is not None:
             heads = heads.where(ingested)
     heads = heads.select("server_key", key, "tanggal", "tanggal_server", *header)
-    return source.table(f"{name}_detail").join(heads, ["server_key", key])
+    lines = source.table(f"{name}_detail")
+    if lines.isStreaming and heads.isStreaming:
+        return joined_streams(lines, heads, ["server_key", key], source.wait)
+    return lines.join(heads, ["server_key", key])
 
 
 def opening(source: Source, window: LedgerWindow) -> DataFrame:

@@ -16,6 +16,7 @@ from stockledger.operators.movements import (
     movements,
 )
 from stockledger.operators.purchases import Purchases, opening_costs, purchases_once
+from stockledger.operators.running import Level, running_totals
 from stockledger.operators.stock import net_by_unit, net_stock
 from stockledger.params import LedgerWindow
 from stockledger.sources.base import Source
@@ -68,6 +69,13 @@ def in_report_order(snapshot: DataFrame) -> DataFrame:
     return snapshot.orderBy("divisi", "barang", "kd_divisi", "kd_barang")
 
 
+def with_position(snapshot: DataFrame, name: str = "urutan") -> DataFrame:
+    """Place of each row of a site in report order, from 1; no site or division is sorted in one task."""
+    levels = [Level(or_blank(F.col("divisi"))), Level(or_blank(F.col("barang")))]
+    order = [F.col("kd_divisi").asc(), F.col("kd_barang").asc()]
+    return running_totals(snapshot, ["server_key"], levels, order, {}, name)
+
+
 def stock_as_of(source: Source, window: LedgerWindow) -> DataFrame:
     """Stock as one statement gives it: the whole ledger, known divisions only.
 

@@ -3,20 +3,28 @@
 Layout below ``root``::
 
     data/<uuid>/server_key=<site>/part-*.parquet   a full refresh, a compaction or the changes of a step
-    meta/*.json                                    one row per site and published step
+    meta/<site>-<number>.json                      one row per site and published step
 
 Data is written to a folder of its own first, then a meta row that names the folder makes it visible. So a
 reader never sees half a step, and an attempt that failed leaves nothing a later one could mistake for its own. A
 change costs as much as the changed keys, not as much as the snapshot: readers add the changes of a
 version to its rows, and ``compact`` folds them into a new version.
+
+The steps of a site are numbered, over all its versions. A step is published by renaming its row to the name of
+the next number, which fails if that name is taken: of two writers that start from the same state one succeeds. The other one starts
+again from the new state: a full refresh or a compaction by itself, a change by raising ``Conflict``, since what it
+would add may be there by now. This needs a file system whose rename refuses an existing target, as HDFS and local disks do.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
-from datetime import date, datetime
+from collections.abc import Callable, Iterable
+from datetime import date, datetime, timezone
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +36,7 @@ from stockledger.session import file_system
 
 META = {
     "server_key": "string",
+    "number": "bigint",
     "version": "bigint",
     "step": "bigint",
     "kind": "string",
@@ -52,6 +61,25 @@ DELTA = {
 
 # Steps of one site and version after which a change also folds them together.
 COMPACT_AFTER = 64
+ATTEMPTS = 20
+
+
+class Conflict(RuntimeError):
+    """Another writer has published a step of the site meanwhile."""
+
+
+def _escaped(key: str) -> str:
+    """A site as Spark writes it into the name of a partition folder."""
+    special = "\"#%'*/:=?\\\x7f{[]^"
+    return "".join(f"%{ord(c):02X}" if c in special or ord(c) < 32 else c for c in key)
+
+
+def _rename(spark: SparkSession, context, source, target) -> None:
+    """Rename that fails where the target exists."""
+    option = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.NONE
+    context.rename(source, target, options)
 
 
 class SnapshotStore:
@@ -71,13 +99,20 @@ class SnapshotStore:
         dealt.write.option("partitionOverwriteMode", "static").partitionBy("server_key").parquet(self._path(folder))
         return folder
 
-    def _read(self, folders: list[str], columns: dict[str, str]) -> DataFrame:
-        reader = self.spark.read.schema(schemas.ddl(columns))
-        parts = [reader.parquet(self._path(folder)) for folder in folders]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return rows
+    def _read(self, pairs: Iterable[tuple[str, str]], columns: dict[str, str]) -> DataFrame:
+        """Rows of (site, folder) pairs as one relation, whatever their number; the site is read off the path."""
+        wanted = schemas.ddl({c: t for c, t in columns.items() if c != "server_key"})
+        paths = sorted(f"{self._path(folder)}/server_key={_escaped(key)}" for key, folder in pairs)
+        if not paths:
+            return schemas.empty(self.spark, columns)
+        named = F.regexp_extract(F.col("_metadata.file_path"), "server_key=([^/]*)/[^/]*$", 1)
+        # The path may be escaped once more, as a URI; a plus sign stands for itself.
+        plain = F.url_decode(F.url_decode(F.replace(named, F.lit("+"), F.lit("%252B"))))
+        rows = self.spark.read.schema(wanted).parquet(*paths)
+        return rows.withColumn("server_key", plain).select(*columns)
+
+    def _written(self, folder: str, columns: dict[str, str]) -> DataFrame:
+        return self.spark.read.schema(schemas.ddl(columns)).parquet(self._path(folder))
 
     def _counts(self, rows: DataFrame) -> dict[str, int]:
         return {r.server_key: r["count"] for r in rows.groupBy("server_key").count().collect()}
@@ -91,7 +126,7 @@ class SnapshotStore:
 
     def info(self) -> DataFrame:
         """Latest step of each site, with the refresh moment, as-of day and row count."""
-        latest = F.max_by(F.struct(*META), F.struct("version", "step")).alias("m")
+        latest = F.max_by(F.struct(*META), "number").alias("m")
         return self.meta().groupBy("server_key").agg(latest).select("m.*")
 
     def state(self, server_key: str) -> dict | None:
@@ -99,15 +134,37 @@ class SnapshotStore:
         row = self.info().where(F.col("server_key") == server_key).first()
         return row.asDict() if row else None
 
-    def _states(self) -> dict[str, dict]:
-        """Latest step per site; one small row for each site."""
-        return {row.server_key: row.asDict() for row in self.info().collect()}
+    def states(self, batch_id: str | None = None) -> dict[str, dict]:
+        """Latest step per site, in one pass over the meta rows; one small row for each site.
 
-    def _publish(self, rows: list[dict]) -> None:
-        columns = [tuple(row.get(c) for c in META) for row in rows]
-        frame = self.spark.createDataFrame(columns, schemas.ddl(META))
-        stamped = frame.withColumn("published_at", F.current_timestamp().cast("timestamp_ntz"))
-        stamped.coalesce(1).write.mode("append").json(f"{self.root}/meta")
+        With a batch, ``applied`` says whether the site's current version holds it.
+        """
+        latest = F.max_by(F.struct(*META), "number").alias("m")
+        holding = F.collect_set(F.when(F.col("batch_id") == F.lit(batch_id), F.col("version"))).alias("holding")
+        sites = self.meta().groupBy("server_key").agg(latest, holding)
+        applied = F.array_contains("holding", F.col("m.version")).alias("applied")
+        return {row.server_key: row.asDict() for row in sites.select("m.*", applied).collect()}
+
+    def _publish(self, row: dict) -> None:
+        """Make a step visible, as the one after the state it was made from; ``Conflict`` if that is no longer the latest."""
+        stamped = {**row, "published_at": datetime.now(timezone.utc).replace(tzinfo=None)}
+        text = json.dumps({c: v.isoformat() if isinstance(v, date) else v for c, v in stamped.items() if c in META})
+        files, folder = file_system(self.spark, f"{self.root}/meta")
+        files.mkdirs(folder)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        ready = hadoop.Path(folder, f"_{uuid.uuid4().hex}")  # Readers pass over names with an underscore.
+        out = files.create(ready, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        name = f"{quote(row['server_key'], safe='')}-{row['number']:012d}.json"
+        context = hadoop.FileContext.getFileContext(folder.toUri() if folder.toUri().getScheme() else files.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            _rename(self.spark, context, ready, hadoop.Path(folder, name))
+        except Py4JJavaError as problem:
+            files.delete(ready, False)
+            if "FileAlreadyExists" not in str(problem.java_exception):
+                raise
+            raise Conflict(f"step {row['number']} of {row['server_key']} is published") from None
 
     def last_refresh(self, server_key: str) -> datetime | None:
         state = self.state(server_key)
@@ -137,21 +194,17 @@ class SnapshotStore:
         were read. It has to be taken before the read, so that documents arriving meanwhile come with
         the next delta. It must not lie before what a stream has put into the site's current version: those documents would be lost.
         """
-        until, states = as_moment(last_refresh), self._states()
-        for key in server_keys or states:
-            covered = states.get(key, {}).get("covered_until")
-            if covered is not None and server_keys is not None and covered > until:
-                raise ValueError(f"a stream has read {key} up to {covered}; refresh up to a later moment")
+        until, states = as_moment(last_refresh), self.states()
+        self._not_before_streams(states, server_keys, until)
         rows = snapshot.select(*schemas.SNAPSHOT)
         if server_keys is not None:
             rows = rows.where(F.col("server_key").isin(server_keys))
         folder = self._write(rows)
-        counts = self._counts(self._read([folder], schemas.SNAPSHOT))
-        named = counts if server_keys is None else server_keys
-        published = [
-            {
+        counts = self._counts(self._written(folder, schemas.SNAPSHOT))
+        versions = {}
+        for key in counts if server_keys is None else server_keys:
+            step = {
                 "server_key": key,
-                "version": states.get(key, {}).get("version", 0) + 1,
                 "step": 0,
                 "kind": "full",
                 "folder": folder,
@@ -162,18 +215,34 @@ class SnapshotStore:
                 "delta_rows": 0,
                 "updated_keys": 0,
             }
-            for key in named
-        ]
-        self._publish(published)
-        return {row["server_key"]: row["version"] for row in published}
+            versions[key] = self._new_version(step, states.get(key), server_keys, until)
+        return versions
+
+    @staticmethod
+    def _not_before_streams(states: dict[str, dict], server_keys: list[str] | None, until: datetime) -> None:
+        for key in server_keys or ():
+            covered = states.get(key, {}).get("covered_until")
+            if covered is not None and covered > until:
+                raise ValueError(f"a stream has read {key} up to {covered}; refresh up to a later moment")
+
+    def _new_version(self, step: dict, state: dict | None, server_keys: list[str] | None, until: datetime) -> int:
+        """Publish rows that need no earlier state; where another writer was first, after what that one has published."""
+        for _ in range(ATTEMPTS):
+            state = state or {"number": 0, "version": 0}
+            version = state["version"] + 1
+            try:
+                self._publish({**step, "number": state["number"] + 1, "version": version})
+                return version
+            except Conflict:
+                state = self.state(step["server_key"])
+                self._not_before_streams({step["server_key"]: state}, server_keys and [step["server_key"]], until)
+        raise Conflict(f"{step['server_key']} is published to all the time")
 
     # ---- changes -----------------------------------------------------------
 
     def is_applied(self, server_key: str, batch_id: str) -> bool:
         """Whether the site's current version holds the batch."""
-        state = self.state(server_key)
-        steps = self.meta().where((F.col("server_key") == server_key) & (F.col("batch_id") == batch_id))
-        return state is not None and not steps.where(F.col("version") == state["version"]).isEmpty()
+        return bool(self.states(batch_id).get(server_key, {}).get("applied"))
 
     def append_delta(
         self,
@@ -184,6 +253,7 @@ class SnapshotStore:
         delta_rows: int | Callable[[str], int] = 0,
         feed: str = "batch",
         covered_until: Callable[[str], datetime | None] | None = None,
+        states: dict[str, dict] | None = None,
     ) -> list[str]:
         """Add net changes per key to the current version of the named sites; the sites they were added to.
 
@@ -191,12 +261,14 @@ class SnapshotStore:
         refresh moment moves. Keys the snapshot lacks have no effect. A version takes changes of one feed only, be it batch
         deltas or one stream: two feeds could bring the same document. ``delta_rows`` and ``covered_until`` may be functions
         of the site, called after the changes are written and before they are published, for what is observed meanwhile.
+        ``states`` are those the changes were made from, ``self.states(batch_id)``; read here if not given. Where one of them is no longer
+        the latest, ``Conflict`` is raised for that site; sites before it have been added to.
         """
-        states = self._states()
+        states = self.states(batch_id) if states is None else states
         unknown = [key for key in server_keys if key not in states]
         if unknown:
             raise LookupError(f"no snapshot of {', '.join(unknown)}; refresh in full first")
-        keys = [key for key in server_keys if not self.is_applied(key, batch_id)]
+        keys = [key for key in server_keys if not states[key]["applied"]]
         if not keys:
             return []
         for key in keys:
@@ -207,7 +279,7 @@ class SnapshotStore:
             rows = delta.where(F.col("server_key").isin(keys))
             folder = self._write(rows.select(*[F.col(c).cast(t).alias(c) for c, t in DELTA.items()]))
             # Keys the snapshot lacks are written too, but no reader takes them.
-            changed = self._counts(matched(self._bases({k: states[k] for k in keys}), self._read([folder], DELTA)))
+            changed = self._counts(matched(self._bases(keys), self._written(folder, DELTA)))
         rows = []
         for key in keys:
             state, covered = states[key], covered_until(key) if covered_until else None
@@ -215,6 +287,7 @@ class SnapshotStore:
             rows.append(
                 {
                     **state,
+                    "number": state["number"] + 1,
                     "step": state["step"] + 1,
                     "kind": "delta",
                     "batch_id": batch_id,
@@ -226,8 +299,8 @@ class SnapshotStore:
                     "updated_keys": changed.get(key, 0),
                 }
             )
-        self._publish(rows)
         for row in rows:
+            self._publish(row)
             if row["step"] % COMPACT_AFTER == 0:
                 self.compact(row["server_key"])
         return keys
@@ -237,52 +310,48 @@ class SnapshotStore:
     def _folders(self, server_key: str | None = None) -> list:
         """One row for each site: its current version's snapshot folder and the folders of its changes."""
         steps = self.meta() if server_key is None else self.meta().where(F.col("server_key") == server_key)
-        changes = F.collect_set(F.when((F.col("kind") == "delta") & (F.col("updated_keys") > 0), F.col("folder")))
-        by_version = steps.groupBy("server_key", "version").agg(
-            F.max(F.when(F.col("kind") != "delta", F.col("folder"))).alias("base"), changes.alias("changes")
-        )
+        is_change = F.col("kind") == "delta"
+        changes = F.collect_set(F.when(is_change & (F.col("updated_keys") > 0), F.col("folder")))
+        base = F.max_by(F.when(F.col("row_count") > 0, F.col("folder")), F.when(~is_change, F.col("number")))
+        by_version = steps.groupBy("server_key", "version").agg(base.alias("base"), changes.alias("changes"))
         newest = F.max_by(F.struct("server_key", "base", "changes"), "version").alias("n")
         return by_version.groupBy("server_key").agg(newest).select("n.*").collect()
 
-    def _bases(self, states: dict[str, dict]) -> DataFrame:
+    def _bases(self, keys: Iterable[str]) -> DataFrame:
         """Snapshot rows, without changes, of the sites' current versions."""
-        rows = [r for r in self._folders() if r.server_key in states]
-        return self._of_sites([(r.server_key, r.base) for r in rows], schemas.SNAPSHOT)
-
-    def _of_sites(self, pairs: list[tuple[str, str]], columns: dict[str, str]) -> DataFrame:
-        """Rows of each site in its own folder, a folder read once."""
-        by_folder: dict[str, list[str]] = {}
-        for key, folder in pairs:
-            by_folder.setdefault(folder, []).append(key)
-        parts = [self._read([f], columns).where(F.col("server_key").isin(sorted(keys))) for f, keys in sorted(by_folder.items())]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return rows
+        return self._base_rows([r for r in self._folders() if r.server_key in set(keys)])
+
+    def _base_rows(self, sites: list) -> DataFrame:
+        return self._read([(r.server_key, r.base) for r in sites if r.base is not None], schemas.SNAPSHOT)
 
     def read(self, server_key: str | None = None) -> DataFrame:
         """Current snapshot of one site or of all, changes included."""
         current = self._folders(server_key)
         if not current:
             raise LookupError(f"no snapshot of {server_key or 'any site'}; refresh first")
-        base = self._of_sites([(r.server_key, r.base) for r in current], schemas.SNAPSHOT)
+        base = self._base_rows(current)
         log = [(r.server_key, folder) for r in current for folder in r.changes]
         if not log:
             return base
-        changes = self._of_sites(log, DELTA).groupBy(*STOCK).agg(F.sum("delta_stok").alias("delta_stok"))
+        changes = self._read(log, DELTA).groupBy(*STOCK).agg(F.sum("delta_stok").alias("delta_stok"))
         return apply_delta(base, changes)
 
     def compact(self, server_key: str) -> int:
         """Fold the changes of a site into a new version that keeps its day, moments and feed."""
-        state = self.state(server_key)
-        if state is None:
-            raise LookupError(f"no snapshot of {server_key}; refresh first")
-        folder = self._write(self.read(server_key))
-        version = state["version"] + 1
-        # The last batch stays known, so that a stream that repeats it changes nothing.
-        fresh = {"version": version, "step": 0, "kind": "compact", "folder": folder, "delta_rows": 0, "updated_keys": 0}
-        self._publish([{**state, **fresh}])
-        return version
+        for _ in range(ATTEMPTS):
+            state = self.state(server_key)
+            if state is None:
+                raise LookupError(f"no snapshot of {server_key}; refresh first")
+            folder = self._write(self.read(server_key))
+            version = state["version"] + 1
+            # The last batch stays known, so that a stream that repeats it changes nothing.
+            fresh = {"version": version, "step": 0, "kind": "compact", "folder": folder, "delta_rows": 0, "updated_keys": 0}
+            try:
+                self._publish({**state, **fresh, "number": state["number"] + 1})
+                return version
+            except Conflict:
+                continue  # What was published meanwhile has to be folded in too.
+        raise Conflict(f"{server_key} is published to all the time")
 
     def remove(self) -> None:
         """Delete the store and all it holds."""

@@ -12,17 +12,15 @@ import json
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stockledger.functions import dates
 from stockledger.operators.movements import DELTA_POLICY
 from stockledger.params import LedgerWindow, TimeLike, as_day, as_moment
 from stockledger.plans.delta import accumulate, delta_movements, delta_rows
 from stockledger.plans.snapshot import stock_snapshot
-from stockledger.sinks.snapshot_store import SnapshotStore
+from stockledger.sinks.snapshot_store import ATTEMPTS, Conflict, SnapshotStore
 from stockledger.sources.base import Source
 
 
@@ -55,6 +53,15 @@ def delta_refresh(
     a delta. The upper bound is fixed before the read, so nothing that arrives meanwhile is skipped. Says what was done:
     "full", "delta", or "unchanged" where there was nothing to add.
     """
+    for _ in range(ATTEMPTS):
+        try:
+            return _delta_refresh(store, source, window, known_until, server_key)
+        except Conflict:
+            continue  # Another refresh was first: begin again where it has left off.
+    raise Conflict(f"{server_key} is refreshed all the time")
+
+
+def _delta_refresh(store: SnapshotStore, source: Source, window: LedgerWindow, known_until: TimeLike, server_key: str) -> str:
     state = store.state(server_key)
     same = (
         state is not None
@@ -72,8 +79,10 @@ def delta_refresh(
     bounded = LedgerWindow(window.closing_ts, window.as_of, since, known_until)
     rows = delta_rows(source, bounded).where(F.col("server_key") == server_key)
     batch = f"batch-{since:%Y%m%dT%H%M%S%f}-{as_moment(known_until):%Y%m%dT%H%M%S%f}"
-    seen = _Seen(rows, [server_key])
-    added = store.append_delta([server_key], accumulate(seen.rows, source), batch, known_until, seen.count)
+    seen, states = _Seen(rows, [server_key]), {server_key: {**state, "applied": state["batch_id"] == batch}}
+    added = store.append_delta(
+        [server_key], accumulate(seen.rows, source), batch, known_until, seen.count, states=states
+    )
     return "delta" if added and seen.count(server_key) else "unchanged"
 
 
@@ -93,10 +102,15 @@ class _Seen:
         self.rows = rows.observe(self.observed, *sums).where(newer)
 
     def _value(self, name: str):
-        """An observed value; None where Spark left the feed out of the plan because it has no rows."""
+        """An observed value; None where Spark left the feed out of the plan because it has no rows.
+
+        Nothing is observed then, which Spark reports as a failed assertion. Anything else is a failure here too.
+        """
         try:
             return self.observed.get.get(name)
-        except (AssertionError, Py4JJavaError, PySparkException):
+        except Py4JJavaError as problem:
+            if problem.java_exception.getClass().getName() != "java.lang.AssertionError":
+                raise
             return None
 
     def count(self, server_key: str) -> int:
@@ -124,18 +138,19 @@ def stream_refresh(
     factors. All available lines are processed in micro-batches, then the query stops; the checkpoint remembers
     what was read, and its id and the batch's number tell whether a batch was added before.
 
-    A line is joined with a header that is there when its batch runs, so headers have to arrive before
-    their lines; only headers ingested after the window's bound are read. Rows up to the refresh moment of their site's base are
+    Headers may be tables or streams. A line is joined with a header table as it is when the line's batch runs, so headers have to arrive before
+    their lines. With streams of both, either may come first: they wait for each other as the state of the query, by site and document number, for
+    good or for as long as ``feed.wait`` says. Only headers ingested after the window's bound are read. Rows up to the refresh moment of their site's base are
     passed over, so a full refresh between two runs counts nothing twice. All sites need a snapshot, and a row of
-    a site that is not named is an error.
+    a site that is not named is an error. The state of all sites is read once a batch.
     """
     known = {branch.table: branch for branch in DELTA_POLICY.branches}
     odd = [k for k in kinds if k not in known or not feed.table(f"{k}_detail").isStreaming]
     if odd or not kinds:
         raise ValueError(f"no streams of lines: {', '.join(odd) or 'no kinds given'}")
-    for key in server_keys:
-        if store.state(key) is None:
-            raise LookupError(f"no snapshot of {key}; refresh in full first")
+    absent = sorted(set(server_keys) - set(store.states()))
+    if absent:
+        raise LookupError(f"no snapshot of {', '.join(absent)}; refresh in full first")
     spark = store.spark
     policy = DELTA_POLICY.only(*[b for b in DELTA_POLICY.branches if b.table in kinds])
     rows = delta_movements(feed, window, policy).withColumnRenamed("sumber", "source")
@@ -144,16 +159,16 @@ def stream_refresh(
         found = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value
         name = f"stream-{json.loads(found)['id']}"
         step = f"{name}-{batch_id}"
-        open_keys = [k for k in server_keys if not store.is_applied(k, step)]
+        states = store.states(step)
+        open_keys = [k for k in server_keys if not states[k]["applied"]]
         if not open_keys:
             return
-        newer = F.lit(False)
-        for key in open_keys:
-            moment = dates.moment(store.last_refresh(key))
-            newer = newer | ((F.col("server_key") == key) & (F.col("tanggal_server") > moment))
-        # Sites that hold the batch already are followed too, but have no newer rows.
-        seen = _Seen(batch, server_keys, newer)
-        store.append_delta(open_keys, accumulate(seen.rows, lookup), step, None, seen.count, name, seen.until)
+        # One small row for each site. Sites that hold the batch already are followed too, but have no newer rows.
+        moments = spark.createDataFrame([(k, states[k]["last_refresh"]) for k in open_keys], "server_key string, __since timestamp_ntz")
+        dated = batch.join(F.broadcast(moments), "server_key", "left")
+        newer = F.coalesce(F.col("tanggal_server") > F.col("__since"), F.lit(False))
+        seen = _Seen(dated, server_keys, newer)
+        store.append_delta(open_keys, accumulate(seen.rows, lookup), step, None, seen.count, name, seen.until, states)
 
     return (
         rows.writeStream.foreachBatch(apply)
