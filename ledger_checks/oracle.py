@@ -588,6 +588,10 @@ ORACLES["ledger_without_returns"] = statement("""
 SELECT branch_no, transaksi, kd_divisi, count(*) AS baris, CAST(sum(debet) AS DOUBLE) AS debet,
        CAST(sum(kredit) AS DOUBLE) AS kredit
 FROM branches WHERE (branch_no <> 6 OR status IN (0, 1)) AND branch_no NOT IN (7, 9) GROUP BY 1, 2, 3""")
+ORACLES["ledger_corrupt_returns"] = statement("""
+SELECT branch_no, transaksi, kd_divisi, count(*) AS baris, CAST(sum(debet) AS DOUBLE) AS debet,
+       CAST(sum(kredit) AS DOUBLE) AS kredit, 't_penjualan_retur_detail,part-broken.parquet' AS dilewati
+FROM branches WHERE (branch_no <> 6 OR status IN (0, 1)) AND branch_no <> 9 GROUP BY 1, 2, 3""")
 ORACLES["costing_both"] = f"""
 SELECT 'stok_akhir' AS hasil, kd_barang, CAST(NULL AS VARCHAR) AS tanggal, CAST(NULL AS VARCHAR) AS jenis,
        stok_akhir AS stok, CAST(NULL AS DOUBLE) AS harga FROM ({ORACLES["stock_per_item"]})

@@ -16,7 +16,7 @@ from stockledger.plans import costing, delta, history, report, snapshot
 from stockledger.session import file_system, reliable_checkpoint, shared_dir
 from stockledger.sinks import reports
 from stockledger.sinks.snapshot_store import SnapshotStore
-from stockledger.sources import FrameSource, run_statement
+from stockledger.sources import FrameSource, ParquetSource, run_statement
 from stockledger.sources.testdata import TestdataSource
 from stockledger.streaming.refresh import delta_refresh, full_refresh, stream_refresh
 
@@ -606,3 +606,30 @@ def ledger_without_returns(spark, sf_dir):
         F.sum("debet").cast("double").alias("debet"),
         F.sum("kredit").cast("double").alias("kredit"),
     )
+
+
+@query
+def ledger_corrupt_returns(spark, sf_dir):
+    """A part file of the returned lines is no parquet: that branch counts as empty, and the file is named."""
+    source, root = _source(spark, sf_dir), f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}"
+    returns = [name for name in schemas.TABLES if "retur" in name]
+    for name in returns:
+        source.table(name).write.parquet(f"{root}/{name}")
+    files, path = file_system(spark, f"{root}/t_penjualan_retur_detail/part-broken.parquet")
+    out = files.create(path, False)
+    out.write(bytearray(b"no parquet"))
+    out.close()
+    lake = ParquetSource(spark, root, on_missing="empty")
+    frames = {name: lake.table(name) if name in returns else source.table(name) for name in schemas.TABLES}
+    ledger = movements.movements(FrameSource(spark, frames, None), LedgerWindow(CLOSING), movements.HISTORY_POLICY)
+    left_out = F.regexp_extract(F.lit(str(lake.missing)), "[^/]*[.]parquet", 0)
+    found = ledger.groupBy("branch_no", "transaksi", "kd_divisi").agg(
+        F.count(F.lit(1)).alias("baris"),
+        F.sum("debet").cast("double").alias("debet"),
+        F.sum("kredit").cast("double").alias("kredit"),
+        F.concat_ws(",", F.lit(",".join(sorted(lake.missing))), F.max(left_out)).alias("dilewati"),
+    )
+    kept = reliable_checkpoint(found)
+    files, there = file_system(spark, root)
+    files.delete(there, True)
+    return kept

@@ -19,7 +19,9 @@ class Source:
 
     ``on_missing="error"`` makes an absent table an error. With ``"empty"`` it counts
     as a table without rows and its name is kept in ``missing``; the item master stays
-    compulsory, because nothing can be valued without it.
+    compulsory, because nothing can be valued without it. So does a table of which a file
+    cannot be read: that is asked before the table takes part in a plan, where the failure
+    of one table would be the failure of the whole ledger.
     """
 
     compulsory = frozenset({"m_barang"})
@@ -41,6 +43,10 @@ class Source:
     def _read(self, name: str) -> DataFrame:
         raise NotImplementedError
 
+    def unreadable(self, name: str) -> list[str]:
+        """Files of a table that cannot be read; sources without files have none."""
+        return []
+
     def table(self, name: str) -> DataFrame:
         """The declared columns of a table; the same frame each time it is asked for."""
         if name not in self._tables:
@@ -52,6 +58,10 @@ class Source:
         try:
             if not self.exists(name):
                 raise FileNotFoundError(f"table {name} does not exist")
+            if self.on_missing == "empty" and name not in self.compulsory:
+                broken = self.unreadable(name)
+                if broken:
+                    raise OSError(f"table {name} cannot be read: {', '.join(broken)}")
             return self._restrict(schemas.conform(self._read(name), columns, self.server_key))
         except (OSError, ValueError, PySparkException) as problem:
             if self.on_missing == "error" or name in self.compulsory:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from stockledger import schemas
@@ -47,6 +48,25 @@ class ParquetSource(Source):
                 raise
             return schemas.empty(self.spark, schemas.TABLES[name])
 
+    def unreadable(self, name: str) -> list[str]:
+        """Files whose footer cannot be read. Tasks read the footers, and only them; files are told apart if one fails."""
+        path, schema = self._path(name), schemas.ddl(schemas.TABLES[name])
+        files = self.spark.read.schema(schema).parquet(path)
+        try:
+            files.count()
+            return []
+        except (PySparkException, Py4JJavaError):
+            lenient = self.spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+            readable = {r.file_path for r in lenient.select("_metadata.file_path").distinct().collect()}
+        return [file for file in sorted(set(files.inputFiles()) - readable) if not self._is_readable(file, schema)]
+
+    def _is_readable(self, file: str, schema: str) -> bool:
+        try:
+            self.spark.read.schema(schema).parquet(file).count()
+            return True
+        except (PySparkException, Py4JJavaError):
+            return False
+
 
 class CatalogSource(Source):
     """Tables of a Spark catalog, for instance bucketed by document number."""

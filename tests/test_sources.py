@@ -135,3 +135,18 @@ def test_item_filter_reaches_every_scan(spark, tables, tmp_path):
 
 def test_shared_dir_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_table_with_a_corrupt_file_counts_as_empty_and_names_it(spark, site, tmp_path):
+    _write(site, str(tmp_path), ["main"])
+    lines = tmp_path / "t_penjualan_detail" / "server_key=main"
+    (lines / "part-1.parquet").write_bytes(b"no parquet")
+    (lines / "part-2.parquet").write_bytes(b"")
+    lenient = ParquetSource(spark, str(tmp_path), "main", on_missing="empty")
+    assert lenient.table("t_penjualan_detail").isEmpty() and not lenient.table("t_penjualan").isEmpty()
+    assert list(lenient.missing) == ["t_penjualan_detail"]
+    assert "part-1.parquet" in lenient.missing["t_penjualan_detail"]
+    # An empty table and a table of sound files are no failures.
+    assert lenient.unreadable("t_mutasi_stok") == [] and lenient.unreadable("m_divisi") == []
+    with pytest.raises(Exception, match="part-"):
+        ParquetSource(spark, str(tmp_path), "main").table("t_penjualan_detail").collect()
