@@ -9,18 +9,22 @@ those of the next level within them. Totals combine on the map side.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, TimestampNTZType
 
 from stockledger.functions.numbers import RUNNING
 from stockledger.operators.sharing import naming, unnamed
-from stockledger.session import reliable_checkpoint
 
-CUT = "__cut"
 COUNT = "__count"
+# Ranges of a value, and rows of one value in a chunk.
+RANGES = 128
+STRETCH = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -134,27 +138,54 @@ def running_totals(
     """Add cumulative sums, and a 1-based ordinal, over each group of rows.
 
     Rows are taken in the order of the level keys, then of ``order``. Group columns must
-    not be null. Both passes over ``rows`` read the same deterministic plan, so a lost
-    executor only means recomputed tasks.
+    not be null. Rows are dealt by chunk once, for their sums and for the windows.
     """
     chunk = [*group, *level_names(levels)]
-    keyed = with_levels(rows, levels)
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in chunk])
+    keyed = with_levels(rows, levels).where(present).repartition(*chunk)
     measures = {f"__sum{i}": F.coalesce(column, F.lit(0)) for i, column in enumerate(sums.values())}
     if ordinal is not None:
         measures[COUNT] = F.lit(1)
-    chunks = keyed.groupBy(*chunk).agg(
-        *[F.sum(column).cast(_kind(t)).alias(t) for t, column in measures.items()]
-    )
+    totals = [F.sum(column).cast(_kind(t)).alias(t) for t, column in measures.items()]
+    chunks = unnamed(keyed.groupBy(*chunk).agg(*totals, naming(*keyed.columns)))
     before = totals_before(chunks, group, levels, list(measures))
     return within_chunks(keyed.join(before, chunk), chunk, order, sums, ordinal)
 
 
-def cut_by_range(rows: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Number the ranges of the sorted rows in a column that serves as the only level.
+def _measure(value: Column, kind: DataType, shared: int = 0) -> Column:
+    """A double that never falls where the value rises; of a text, seven bytes behind its first ``shared``."""
+    if isinstance(kind, StringType):
+        digits = F.hex(F.substring(F.encode(value, "UTF-8"), shared + 1, 7))
+        return F.conv(F.rpad(digits, 14, "0"), 16, 10).cast("double")
+    if isinstance(kind, TimestampNTZType):
+        seconds = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
+        return (F.datediff(F.to_date(value), F.lit("1970-01-01").cast("date")) * 86400.0 + seconds).cast("double")
+    return value.cast("double")
+
+
+def range_levels(rows: DataFrame, value: Column, ascending: bool, number: Column) -> list[Level]:
+    """Levels that cut rows sorted by any value, nulls last, and then by ``number``, a running number within the group.
 
-    The ranges are of similar size whatever the distribution of the sort key. Their
-    bounds come from a sample of the rows, so the cut rows are checkpointed: both passes
-    of the running total, and any recomputed task, must see the same ranges.
+    First ranges of the value, between quantiles of all rows from one mergeable sketch; they
+    enter the plan as literals, so every pass and every task that is run again cuts alike.
+    Then the value itself, and for values that very many rows share, stretches of the number.
     """
-    ranges = rows.repartitionByRange(*[F.col(c) for c in group], *order)
-    return reliable_checkpoint(ranges.withColumn(CUT, F.spark_partition_id()))
+    kind = rows.select(value.alias("v")).schema["v"].dataType
+    shared = 0
+    if isinstance(kind, StringType):
+        ends = rows.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
+        shared = len(os.path.commonprefix([(ends.a or "").encode(), (ends.b or "").encode()]))
+    measure = _measure(value, kind, shared)
+    shares = [i / RANGES for i in range(1, RANGES)]
+    found = rows.agg(F.percentile_approx(measure, shares, 20 * RANGES).alias("bounds")).first().bounds
+    bounds = sorted(set(found or ()))
+    above = reduce(lambda a, b: a + b, [(measure > F.lit(b)).cast("int") for b in bounds], F.lit(0))
+    place = above if ascending else F.lit(len(bounds)) - above
+    place = F.when(value.isNull(), F.lit(len(bounds) + 1)).otherwise(place)
+    blank = {"string": "", "timestamp_ntz": "1970-01-01"}.get(kind.simpleString(), "0")
+    present = F.coalesce(value, F.lit(blank).cast(kind))
+    return [
+        Level(F.coalesce(place, F.lit(0))),
+        Level(present, ascending),
+        Level(F.coalesce(F.floor(number / STRETCH), F.lit(0))),
+    ]

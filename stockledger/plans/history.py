@@ -36,10 +36,10 @@ from stockledger.operators.movements import (
 )
 from stockledger.operators.running import (
     COUNT,
-    CUT,
+    STRETCH,
     Level,
-    cut_by_range,
     level_names,
+    range_levels,
     running_totals,
     totals_before,
     with_levels,
@@ -350,11 +350,16 @@ def sorted_history(
     """Position of each movement of an item, and its balance, in the chosen order.
 
     ``history`` are rows with the row number ``no`` of ``numbered``. A column of any kind can be
-    chosen, so the chunks are ranges of the sorted rows instead of its leading keys.
+    chosen, so the chunks are ranges of its values instead of the leading keys of the ledger
+    order; the bounds are asked of the rows when the order is declared.
     """
     order = sort_order(column, ascending)
-    cut = cut_by_range(history, ITEM, order)
-    return running_totals(cut, ITEM, [Level(F.col(CUT))], order, {"saldo": _net()}, name).drop(CUT)
+    if column == "saldo":
+        levels = [Level(F.floor(F.col("no") / STRETCH))]
+    else:
+        value = _or_epoch() if column == "tanggal" else F.col(column)
+        levels = range_levels(history, value, ascending, F.col("no"))
+    return running_totals(history, ITEM, levels, order, {"saldo": _net()}, name)
 
 
 def totals(history: History) -> DataFrame:

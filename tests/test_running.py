@@ -7,7 +7,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from stockledger.operators.running import CUT, Level, cut_by_range, running_totals
+from stockledger.operators import running
+from stockledger.operators.running import Level, level_names, range_levels, running_totals, with_levels
 
 GROUP = ["site", "item"]
 SCHEMA = "site string, item string, a string, b int, seq int, qty decimal(18,4)"
@@ -66,19 +67,28 @@ def test_levels(spark, levels, key):
     assert result(found) == brute(data, key)
 
 
-def test_ranges(spark):
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("column", ["qty", "b", "a", "text", "moment"])
+def test_ranges(spark, monkeypatch, column, ascending):
+    """Any kind of value, ties and nulls, with chunks of a few rows each."""
+    monkeypatch.setattr(running, "RANGES", 7)
+    monkeypatch.setattr(running, "STRETCH", 4)
     data = skewed(900, seed=9)
-    df = spark.createDataFrame(data, SCHEMA).repartition(5)
-    order = [F.col("qty").desc_nulls_last(), F.col("seq").asc()]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        cut = cut_by_range(df, GROUP, order)
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert cut.where("item = 'hot'").select(CUT).distinct().count() > 1
-    found = running_totals(cut, GROUP, [Level(F.col(CUT))], order, {"total": F.col("qty")}, "no")
-    expected = brute(data, lambda r: (r[5] is None, -(r[5] or 0), r[4]))
+    df = spark.createDataFrame(data, SCHEMA).repartition(5).withColumns(
+        {
+            "text": F.concat(F.lit("no-"), F.when(F.col("seq") % 11 != 0, F.lpad(F.col("seq") % 300, 4, "0"))),
+            "moment": F.expr("CASE WHEN seq % 7 <> 0 THEN timestamp_ntz '1969-12-30 23:59:00' + make_interval(0, 0, 0, seq % 90, 0, 0, seq % 3) END"),
+        }
+    )
+    value = {r.seq: r[column] for r in df.collect()}
+    levels = range_levels(df, F.col(column), ascending, F.col("seq"))
+    key = F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last()
+    found = running_totals(df, GROUP, levels, [key, F.col("seq").asc()], {"total": F.col("qty")}, "no")
+    ranks = {v: i for i, v in enumerate(sorted({v for v in value.values() if v is not None}, reverse=not ascending))}
+    expected = brute(data, lambda r: (ranks.get(value[r[4]], len(ranks)), r[4]))
     assert result(found) == expected
+    hot = with_levels(df, levels).where("item = 'hot'")
+    assert hot.select(level_names(levels)[0]).distinct().count() > (2 if column in ("a", "b") else 5)
 
 
 def test_the_only_window_is_over_chunks(spark):
