@@ -196,7 +196,7 @@ def covered(strings: list[bytes], left: np.ndarray, groups: np.ndarray, span: in
 
 
 def segment_rows(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(row, start, size, anchor, digest) of all segments of all rows with an id."""
+    """(row, start, size, anchor, digest) of all segments of all rows."""
 
     def run(batches):
         for ids, part in runs(batches):
@@ -327,8 +327,8 @@ def covered_segments(texts: DataFrame, segments: DataFrame, span: int = SPAN, cr
 def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of ``docs``.
 
-    ``kept`` is the bytes that are left; cut ends may fall within a character. Ids must be unique: of rows without an id nothing is
-    removed and nothing is compared with them.
+    ``kept`` is the bytes that are left; cut ends may fall within a character. Every row is a text of its own, whether its id is unique,
+    repeated or null: rows are numbered in a written copy of ids and texts, and known by that number.
     """
 
     def run(batches):
@@ -348,13 +348,15 @@ def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
                 yield record(KEPT, *map(list, zip(*rows, strict=True)))
                 at += len(ids)
 
-    texts = id_and_text(docs, id_col, text_col)
-    segments = written(segment_rows(texts.where("id IS NOT NULL"), span), "segments")
+    numbered = id_and_text(docs, id_col, text_col).withColumn("number", F.monotonically_increasing_id())
+    numbered = written(numbered, "texts", compression="zstd")
+    texts = numbered.select(F.col("number").alias("id"), "text")
+    segments = written(segment_rows(texts, span), "segments")
     cover = covered_segments(texts, segments, span)
     spans = segments.join(cover, ["anchor", "digest"]).groupBy(F.col("row").alias("of")).agg(
         F.collect_list(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("spans")
     )
-    given = texts.join(written(spans, "spans"), F.col("id") == F.col("of"), "left").select("id", "text", "spans")
+    given = numbered.join(written(spans, "spans"), F.col("number") == F.col("of"), "left").select("id", "text", "spans")
     return given.mapInArrow(
         run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
