@@ -41,4 +41,4 @@ def test_every_stage_takes_effect_and_keeps_clean_documents(spark, tmp_path):
 
 def test_each_operator_has_its_query():
     names = [name.split("_")[0] for name in queries.REGISTRY if name != "pipeline"]
-    assert names == [f"op{n}" for n in range(1, 11)] and "pipeline" in queries.REGISTRY
+    assert names == [f"op{n}" for n in range(1, 14)] and "pipeline" in queries.REGISTRY
