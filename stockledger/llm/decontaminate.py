@@ -16,13 +16,14 @@ a document has no hits and such an item is found nowhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import Ids, id_and_text, offsets_of, record, runs, text_runs
+from stockledger.llm.common import Ids, id_and_text, offsets_of, record, runs, text_runs, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -136,7 +137,7 @@ def _shard(suffixes: Suffixes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarr
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark's items in blocks of at most ``BLOCK_BYTES`` of text (a longer item: a block of its own)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = items.where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    items = items.where(F.col("text").isNotNull())
     block, size = [], 0
     for row in items.toLocalIterator():
         text = row.text.encode()
@@ -153,7 +154,7 @@ def _find(docs: DataFrame, items: list[tuple[int, bytes]], window: int) -> DataF
 
     def run(batches):
         suffixes = Suffixes(shared.value, window)
-        item_ids = np.asarray(suffixes.items, dtype=np.int64)
+        item_ids = suffixes.items
         for ids, texts in runs(batches):
             words, begins = _shard(suffixes, texts)
             hit, pairs = np.zeros(len(words) + 1, dtype=np.int64), []
@@ -175,7 +176,7 @@ def _find(docs: DataFrame, items: list[tuple[int, bytes]], window: int) -> DataF
                     ids[d],
                     int(begins[d + 1] - begins[d] - 1),
                     (covered[cut[d] : cut[d + 1]] - begins[d]).astype(np.int32),
-                    item_ids[sorted(by_doc.get(d, ()))],
+                    sorted({item_ids[i] for i in by_doc.get(d, ())}, key=lambda x: (x is None, x)),
                 )
                 for d in range(len(ids))
             ]
@@ -193,24 +194,28 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_words, hits, items): places of hit words and ids of the items found, a row for each document.
+    """(doc_id, n_words, hits, items): places of hit words and the different ids of the items found, a row for each row of ``docs``.
 
-    With a benchmark of one block this is one pass without a shuffle. With more, findings are joined by
-    document id, which must then be unique and not null.
+    With a benchmark of one block this is one pass without a shuffle. With more, rows are numbered in a written copy and the
+    findings of the blocks joined by that number; the rows are the same. Items without an id count as one item.
     """
     texts = id_and_text(docs, id_col, text_col)
     blocks = _blocks(benchmark, item_col, item_text_col)
-    found = _find(texts, next(blocks), window)
-    rest = [_find(texts, block, window) for block in blocks]
-    if not rest:
-        return found
-    for other in rest:
-        found = found.unionByName(other.where(F.size("items") > 0))
-    return found.groupBy("doc_id").agg(
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _find(texts, first, window)
+    numbered = written(texts.withColumn("number", F.monotonically_increasing_id()), "texts", compression="zstd")
+    rows = numbered.select("number", "text")
+    found = _find(rows, first, window)
+    for block in chain([second], blocks):
+        found = found.unionByName(_find(rows, block, window).where(F.size("items") > 0))
+    found = found.groupBy(F.col("doc_id").alias("number")).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    ids = numbered.select(F.col("id").alias("doc_id"), "number")
+    return ids.join(found, "number").drop("number")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -257,7 +262,7 @@ def matches(
                     size = np.diff(np.append(first, len(item))) + length - 1
                     doc = np.searchsorted(begins, place[first], "right") - 1
                     yield record(
-                        MATCHES, [ids[d] for d in doc], np.asarray(suffixes.items, dtype=np.int64)[item[first]],
+                        MATCHES, [ids[d] for d in doc], [suffixes.items[i] for i in item[first]],
                         place[first] - begins[doc], start[first], size,
                     )
 
