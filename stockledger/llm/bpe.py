@@ -243,19 +243,37 @@ class _Words(dict):
         self.codec, self.prefix, self.older = codec, prefix, {}
 
     def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        return self._ids(word, self.codec.pattern.findall(self.prefix + word)) if out is None else self._kept(word, out)
+
+    def _kept(self, word: str, out: bytes) -> bytes:
         if len(self) > MAX_WORDS // 2:
             self.older = dict(self)
             self.clear()
-        out = self.older.get(word)
-        if out is None:
-            ids: list[int] = []
-            for piece in self.codec.pattern.findall(self.prefix + word):
-                ids += self.codec.transducer.encode(piece.encode())
-            out = np.asarray(ids, dtype="<u4").tobytes()
         if len(word) <= 64:
             self[word] = out
         return out
 
+    def _ids(self, word: str, pieces: list[str]) -> bytes:
+        ids: list[int] = []
+        for piece in pieces:
+            ids += self.codec.transducer.encode(piece.encode())
+        return self._kept(word, np.asarray(ids, dtype="<u4").tobytes())
+
+    def learn(self, words: list[str]) -> None:
+        """Encode the words that are new, the pattern run once over all of them.
+
+        With a space as prefix a word's first match is known by beginning with a space and a
+        non-space. Words of which the matches do not come out whole are left to be encoded one by one.
+        """
+        new = [w for w in set(words) if w not in self and w not in self.older and len(w) <= 64]
+        pieces = self.codec.pattern.findall(self.prefix + self.prefix.join(new)) if len(new) > 1 else []
+        starts = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        if new and len(starts) == len(new):
+            for word, begin, end in zip(new, starts, [*starts[1:], len(pieces)], strict=True):
+                if "".join(pieces[begin:end]) == self.prefix + word:
+                    self._ids(word, pieces[begin:end])
+
 
 class Codec:
     def __init__(self, path: str, pattern: str):
@@ -276,6 +294,7 @@ class Codec:
         if not text:
             return b""
         words = self.places.split(text) if self.double.search(text) else text.split(" ")
+        self.rest.learn(words[1:])
         return self.first[words[0]] + b"".join(map(self.rest.__getitem__, words[1:]))
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
