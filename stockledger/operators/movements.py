@@ -241,6 +241,16 @@ def movements(
     return ledger
 
 
+def movement_items(source: Source, items: Iterable[str] | None = None) -> DataFrame:
+    """The item of every movement there may be, from the tables of lines alone: no header, no window."""
+    tables = [OPENING.table, COUNT_IN.table, *[f"{b.table}_detail" for b in ALL if b.source is not None]]
+    rows = [source.table(name).select("server_key", "kd_barang") for name in dict.fromkeys(tables)]
+    # Each line of a transfer moves twice.
+    moved = source.table(f"{TRANSFER_OUT.table}_detail").select("server_key", "kd_barang")
+    found = reduce(DataFrame.unionByName, [*rows, moved]).where("kd_barang is not null")
+    return found if items is None else found.where(F.col("kd_barang").isin(*items))
+
+
 def kind_label() -> Column:
     """Label of a movement from the number of its branch."""
     return F.coalesce(*[F.when(F.col("branch_no") == b.no, F.lit(b.label)) for b in ALL])

@@ -25,14 +25,22 @@ COUNT = "__count"
 # Ranges of a value, and rows of one value in a chunk.
 RANGES = 128
 STRETCH = 1 << 16
+# Groups beyond this many rows are cut into chunks; counted by buckets of their hash, so that few numbers say which.
+BUSY = 1 << 16
+BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Level:
-    """A leading sort key, not null, by which the rows of a group are cut into chunks."""
+    """A leading sort key, not null, by which the rows of a group are cut into chunks.
+
+    ``blank``, of the type ``kind``, stands for the key in groups that are not cut.
+    """
 
     key: Column
     ascending: bool = True
+    kind: str = "string"
+    blank: str = ""
 
 
 def level_names(levels: Sequence[Level]) -> list[str]:
@@ -43,6 +51,19 @@ def with_levels(rows: DataFrame, levels: Sequence[Level]) -> DataFrame:
     return rows.withColumns({n: v.key for n, v in zip(level_names(levels), levels, strict=True)})
 
 
+def bucket(group: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*group), F.lit(BUCKETS))
+
+
+def busy_buckets(keys: DataFrame, group: Sequence[str]) -> list[int]:
+    """Buckets of the groups that have more than ``BUSY`` rows in ``keys``, in order; a bucket may hold small groups too.
+
+    At most one for each ``BUSY`` rows. As literals they cut alike in every pass and every task that is run again.
+    """
+    counts = keys.groupBy(bucket(group).alias("bucket")).count()
+    return sorted(r.bucket for r in counts.where(F.col("count") > BUSY).select("bucket").collect())
+
+
 def _kind(total: str) -> str:
     return "bigint" if total == COUNT else RUNNING
 
@@ -127,6 +148,19 @@ def within_chunks(
     return rows.select(*kept, *[column.alias(name) for name, column in result.items()])
 
 
+def whole_groups(
+    rows: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    sums: Mapping[str, Column],
+    ordinal: str | None = None,
+) -> DataFrame:
+    """Cumulative sums, and the ordinal, of groups that are small enough to be a chunk each."""
+    nothing = [before_name(f"__sum{i}") for i in range(len(sums))] + [before_name(COUNT)]
+    zero = {name: F.lit(0).cast(_kind(COUNT if name == before_name(COUNT) else name)) for name in nothing}
+    return within_chunks(rows.withColumns(zero), group, order, sums, ordinal)
+
+
 def running_totals(
     rows: DataFrame,
     group: Sequence[str],

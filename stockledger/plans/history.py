@@ -31,6 +31,7 @@ from stockledger.operators.movements import (
     SALE_RETURN,
     SALE_RETURN_WITH_RECEIPT,
     kind_label,
+    movement_items,
     movements,
     needs_active_category,
 )
@@ -38,10 +39,13 @@ from stockledger.operators.running import (
     COUNT,
     STRETCH,
     Level,
+    bucket,
+    busy_buckets,
     level_names,
     range_levels,
     running_totals,
     totals_before,
+    whole_groups,
     with_levels,
     within_chunks,
 )
@@ -84,9 +88,17 @@ COLUMNS = [
     "line_no",
 ]
 
+# Whether the item of a row is one of those cut into chunks.
+BUSY_ITEM = "ramai"
+
 Step = Callable[[DataFrame], DataFrame]
 
 
+def _lot(key: str) -> str:
+    """Name of a level key on item cards, and on what is joined with them."""
+    return key.replace("level", "lot")
+
+
 @dataclass(frozen=True)
 class History:
     """Ledger rows, the items they refer to, and the steps that make a history of both.
@@ -101,6 +113,8 @@ class History:
     cards: DataFrame
     describe: tuple[Step, ...]
     steps: tuple[Step, ...] = ()
+    # The item of each movement before any filter but that of the items; None: not to be counted apart.
+    keys: DataFrame | None = None
 
     def then(self, step: Step) -> "History":
         return replace(self, steps=(*self.steps, step))
@@ -123,7 +137,9 @@ class History:
         """Summed quantities and row counts per item and class."""
         return self.shape(self._described_sums(self.ledger))
 
-    def _described_sums(self, ledger: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
+    def _described_sums(
+        self, ledger: DataFrame, *keys: str, more: Sequence[Column] = (), cards: DataFrame | None = None, on: Sequence[str] = ()
+    ) -> DataFrame:
         summed = ledger.groupBy(*ITEM, *CLASS, *keys).agg(
             F.sum("debet").alias("debet"),
             F.sum("kredit").alias("kredit"),
@@ -135,14 +151,19 @@ class History:
         own = F.struct(*[F.col(c).alias(f"own_{c}") for c in CLASS])
         blank = {c: F.lit(None).cast(kind) for c, kind in NOT_IN_CLASS.items()}
         summed = summed.withColumns({**blank, "__own": own})
-        return self.described(summed.join(self.cards, ITEM, "left"))
+        summed = summed.withColumnsRenamed({key: _lot(key) for key in on})
+        carded = summed.join(self.cards if cards is None else cards, [*ITEM, *[_lot(key) for key in on]], "left")
+        return self.described(carded.withColumnsRenamed({_lot(key): key for key in on}))
 
-    def chunk_classes(self, dealt: DataFrame, *keys: str) -> DataFrame:
+    def chunk_classes(
+        self, dealt: DataFrame, *keys: str, cards: DataFrame | None = None, on: Sequence[str] = ()
+    ) -> DataFrame:
         """Classes per item and ``keys`` of rows dealt by both; ``__class`` describes a class.
 
-        The sums share the shuffle of the rows.
+        The sums share the shuffle of the rows. ``cards`` may be item cards dealt like them, which carry
+        those of the keys, ``on``, by the names of ``_lot``: then the sums stay where they are.
         """
-        described = self._described_sums(dealt, *keys, more=[naming(*NOT_IN_CLASS)])
+        described = self._described_sums(dealt, *keys, more=[naming(*NOT_IN_CLASS, "debet", "kredit")], cards=cards, on=on)
         return self.shape(described.withColumn("__class", F.struct("__own.*", *DESCRIBED)))
 
     def chunk_rows(self, rows: DataFrame) -> DataFrame:
@@ -157,8 +178,11 @@ class History:
             & c["own_kd_divisi"].eqNullSafe(F.col("kd_divisi"))
             & c["own_kd_satuan"].eqNullSafe(F.col("kd_satuan")),
         )
-        hidden = [c for c in rows.columns if c.startswith("__") and c != "__classes"]
-        each = rows.withColumn("__class", F.explode(mine))
+        return self.class_rows(rows.withColumn("__class", F.explode(mine)).drop("__classes"))
+
+    def class_rows(self, each: DataFrame) -> DataFrame:
+        """Movements of rows that carry the ``__class`` they are described by."""
+        hidden = [c for c in each.columns if c.startswith("__") and c != "__class"]
         values = {c: F.coalesce(c, F.lit(0)) for c in ("debet", "kredit", "harga")}
         values |= {c: F.col(f"__class.{c}") for c in DESCRIBED}
         return self.shape(each.select(*[values.get(c, F.col(c)).alias(c) for c in COLUMNS], *hidden))
@@ -185,6 +209,7 @@ def movement_history(
     """
     if opening_units not in ("first", "each"):
         raise ValueError(f"opening_units is 'first' or 'each', not {opening_units!r}")
+    items = None if items is None else list(items)
     ledger = movements(source, LedgerWindow(closing_ts), HISTORY_POLICY, items, divisions)
     wanted = dates.day_range(F.col("tanggal"), start, end)
     if wanted is not None:
@@ -236,7 +261,8 @@ def movement_history(
             .select(*COLUMNS, *hidden)
         )
 
-    return History(ledger, item_cards(source), (counted, with_unit_code, with_names))
+    keys = movement_items(source, items)
+    return History(ledger, item_cards(source), (counted, with_unit_code, with_names), keys=keys)
 
 
 def with_unit(history: History, satuan: str = "ALL") -> History:
@@ -266,7 +292,7 @@ def _or_epoch() -> Column:
 
 def _ledger_order() -> tuple[list[Level], list[Column]]:
     """Division, then date; documents of one date in the order of their kind."""
-    return [Level(or_blank(F.col("kd_divisi"))), Level(_day())], [
+    return [Level(or_blank(F.col("kd_divisi"))), Level(_day(), kind="date", blank="0001-01-01")], [
         F.col(c).asc_nulls_first() for c in ("tanggal", *TIE_BREAKERS)
     ]
 
@@ -275,8 +301,8 @@ def _screen_order(ascending: bool = True) -> tuple[list[Level], list[Column]]:
     """Date over all divisions, a missing date counting as the epoch."""
     moment = _or_epoch()
     levels = [
-        Level(F.to_date(moment), ascending),
-        Level(moment, ascending),
+        Level(F.to_date(moment), ascending, "date", "0001-01-01"),
+        Level(moment, ascending, "timestamp_ntz", "0001-01-01"),
         Level(or_blank(F.col("kd_divisi"))),
     ]
     return levels, [F.col(c).asc_nulls_first() for c in ("tanggal", *TIE_BREAKERS)]
@@ -289,17 +315,35 @@ def _net() -> Column:
 def _balanced(
     history: History, levels: list[Level], order: list[Column], reset_per_division: bool
 ) -> DataFrame:
-    ledger = with_levels(history.ledger.drop("transaksi"), levels)
-    group = list(ITEM)
+    ledger = history.ledger.drop("transaksi")
+    found = None if history.keys is None else busy_buckets(history.keys, ITEM)
+    # An item that is not busy is one chunk. No bucket has the number -1.
+    busy = F.lit(True) if found is None else bucket(ITEM).isin(*(found or [-1]))
+    cut = [Level(F.when(busy, v.key).otherwise(F.lit(v.blank).cast(v.kind)), v.ascending) for v in levels]
+    within = [v.key.asc() if v.ascending else v.key.desc() for v in levels] + order
+    ledger, names, division = with_levels(ledger, cut), level_names(levels), or_blank(F.col("kd_divisi"))
+    group = [*ITEM, "__division"] if reset_per_division else list(ITEM)
+    chunk = [*group, *names]
+    if found is not None and not found:
+        lie = [*ITEM, *names]
+        dealt = ledger.where(F.col("server_key").isNotNull()).repartition(*lie)
+        blank = {_lot(n): F.when(busy, F.lit(None)).otherwise(F.lit(v.blank).cast(v.kind)) for n, v in zip(names, levels)}
+        classes = history.chunk_classes(dealt, *names, cards=history.cards.withColumns(blank), on=names)
+        # Neither side moves: the classes lie where the rows do. As bounds, which take a null as a value, since
+        # an equality would have both sides dealt again by the class.
+        mine, own = F.struct(*CLASS), F.struct(*[F.col(f"__class.own_{c}") for c in CLASS])
+        same = [mine.alias("__mine"), own.alias("__own")]
+        left, right = dealt.select("*", same[0]), classes.select(*lie, "__class", same[1])
+        alike = [left[c] == right[c] for c in lie] + [left["__mine"] <= right["__own"], left["__mine"] >= right["__own"]]
+        met = left.join(right, reduce(lambda a, b: a & b, alike)).select(left["*"], right["__class"]).drop("__mine")
+        rows = history.class_rows(met.withColumn("__division", division))
+        return whole_groups(rows, chunk, within, {"saldo": _net()}, ordinal="no").withColumn(BUSY_ITEM, F.lit(False))
     if reset_per_division:
-        group.append("__division")
-        ledger = ledger.withColumn("__division", or_blank(F.col("kd_divisi")))
-    chunk = [*group, *level_names(levels)]
-    keys = [c for c in chunk if c not in ITEM]
+        ledger = ledger.withColumn("__division", division)
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in chunk])
     dealt = ledger.where(present).repartition(*chunk)
     chunks = (
-        history.chunk_classes(dealt, *keys)
+        history.chunk_classes(dealt, *[c for c in chunk if c not in ITEM])
         .groupBy(*chunk)
         .agg(
             F.sum(_net()).cast(RUNNING).alias("__sum0"),
@@ -307,9 +351,9 @@ def _balanced(
             F.collect_list("__class").alias("__classes"),
         )
     )
-    before = totals_before(chunks, group, levels, ["__sum0", COUNT], ["__classes"])
+    before = totals_before(chunks, group, cut, ["__sum0", COUNT], ["__classes"])
     rows = history.chunk_rows(dealt.join(before, chunk))
-    return within_chunks(rows, chunk, order, {"saldo": _net()}, ordinal="no")
+    return within_chunks(rows, chunk, within, {"saldo": _net()}, ordinal="no").withColumn(BUSY_ITEM, busy)
 
 
 def with_balance(history: History, reset_per_division: bool = False) -> DataFrame:
@@ -349,17 +393,26 @@ def sorted_history(
 ) -> DataFrame:
     """Position of each movement of an item, and its balance, in the chosen order.
 
-    ``history`` are rows with the row number ``no`` of ``numbered``. A column of any kind can be
-    chosen, so the chunks are ranges of its values instead of the leading keys of the ledger
-    order; the bounds are asked of the rows when the order is declared.
+    ``history`` are rows of ``numbered``, with the row number ``no``. A column of any kind can be
+    chosen, so the chunks of busy items are ranges of its values instead of the leading keys of the ledger
+    order; the bounds are asked of their rows when the order is declared. Other items are one chunk each.
     """
-    order = sort_order(column, ascending)
-    if column == "saldo":
-        levels = [Level(F.floor(F.col("no") / STRETCH))]
-    else:
-        value = _or_epoch() if column == "tanggal" else F.col(column)
-        levels = range_levels(history, value, ascending, F.col("no"))
-    return running_totals(history, ITEM, levels, order, {"saldo": _net()}, name)
+    order, sums = sort_order(column, ascending), {"saldo": _net()}
+
+    def cut(rows: DataFrame) -> DataFrame:
+        if column == "saldo":
+            levels = [Level(F.floor(F.col("no") / STRETCH))]
+        else:
+            value = _or_epoch() if column == "tanggal" else F.col(column)
+            levels = range_levels(rows, value, ascending, F.col("no"))
+        return running_totals(rows, ITEM, levels, order, sums, name)
+
+    if BUSY_ITEM not in history.columns:
+        return cut(history)
+    # Which items are busy depends on the item only, so the condition reaches the scans.
+    busy, calm = history.where(BUSY_ITEM), history.where(~F.col(BUSY_ITEM))
+    found = whole_groups(calm, ITEM, order, sums, name)
+    return found if busy.isEmpty() else found.unionByName(cut(busy))
 
 
 def totals(history: History) -> DataFrame:
