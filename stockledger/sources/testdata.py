@@ -206,12 +206,14 @@ class TestdataSource(Source):
 
     def _m_barang_divisi(self) -> DataFrame:
         # (p_partkey + n_nationkey) % 5 = 0 as an equality of residues.
-        part = self._raw("part").selectExpr("*", "pmod(-p_partkey, 5) AS residue")
+        # Each item becomes a row for a fifth of all divisions: the items are dealt out before, as their file may be one task's.
+        part = self._raw("part").withColumn("kd_barang", F.col("p_partkey").cast("string")).repartition("kd_barang")
+        part = part.selectExpr("*", "pmod(-p_partkey, 5) AS residue")
         nation = self._nation().selectExpr("*", "cast(n_nationkey AS bigint) % 5 AS residue")
         return part.join(nation, "residue").selectExpr(
             "server_key",
             "cast(n_nationkey AS string) AS kd_divisi",
-            "cast(p_partkey AS string) AS kd_barang",
+            "kd_barang",
             "CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size % 10 = 1 THEN 0 ELSE p_size END "
             "AS stok_awal",
             f"CASE WHEN p_partkey % 7 <> 0 THEN cast(p_retailprice AS {PRICE}) * 0.8BD END "
