@@ -25,8 +25,9 @@ COUNT = "__count"
 # Ranges of a value, and rows of one value in a chunk.
 RANGES = 128
 STRETCH = 1 << 16
-# Groups beyond this many rows are cut into chunks; counted by buckets of their hash, so that few numbers say which.
-BUSY = 1 << 16
+# Groups beyond this many rows, half of what a shuffle partition of usual size holds, are cut into chunks; counted by
+# buckets of their hash, so that few numbers say which.
+BUSY = 1 << 18
 BUCKETS = 1 << 20
 
 
