@@ -18,10 +18,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stockledger.operators.movements import DELTA_POLICY
 from stockledger.params import LedgerWindow, TimeLike, as_day, as_moment
-from stockledger.plans.delta import accumulate, delta_movements, delta_rows
+from stockledger.plans.delta import DELTA, accumulate, delta_movements, delta_rows
 from stockledger.plans.snapshot import stock_snapshot
 from stockledger.sinks.snapshot_store import ATTEMPTS, Conflict, SnapshotStore
 from stockledger.sources.base import Source
+from stockledger.streaming.documents import state_on_disk
 
 
 def full_refresh(
@@ -153,7 +154,8 @@ def stream_refresh(
         raise LookupError(f"no snapshot of {', '.join(absent)}; refresh in full first")
     spark = store.spark
     policy = DELTA_POLICY.only(*[b for b in DELTA_POLICY.branches if b.table in kinds])
-    rows = delta_movements(feed, window, policy).withColumnRenamed("sumber", "source")
+    # What a refresh does not add up has no place in the state of a stream of headers either.
+    rows = delta_movements(feed, window, policy).withColumnRenamed("sumber", "source").select(*DELTA, "tanggal_server")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         found = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value
@@ -170,9 +172,10 @@ def stream_refresh(
         seen = _Seen(dated, server_keys, newer)
         store.append_delta(open_keys, accumulate(seen.rows, lookup), step, None, seen.count, name, seen.until, states)
 
-    return (
-        rows.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state_on_disk(spark):
+        return (
+            rows.writeStream.foreachBatch(apply)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
