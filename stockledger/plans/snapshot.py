@@ -40,26 +40,34 @@ def stock_snapshot(source: Source, window: LedgerWindow) -> DataFrame:
     ledger = _quantities(source, window, SNAPSHOT_POLICY, bought)
     items = item_master(source)
     stock = net_stock(
-        net_by_unit(ledger, *STOCK).join(item_factors(source), ITEM, "left"),
+        net_by_unit(ledger, *STOCK).join(item_factors(source).hint("shuffle_hash"), ITEM, "left"),
         factor_of(F.col("kd_satuan")),
         *STOCK,
     )
-    priced = items.join(bought.prices(), ITEM, "left")
     zero = F.lit(0)
+    # What depends on the item alone is worked out once for each item, not for each of its divisions.
+    priced = items.join(bought.prices(), ITEM, "left").select(
+        *ITEM,
+        or_blank(F.col("nama")).alias("barang"),
+        *[or_blank(F.col(c)).alias(c) for c in ("kategori", "merk", "model", "warna", "ukuran")],
+        F.coalesce("harga_jual", zero).cast("double").alias("harga_jual"),
+        F.coalesce("harga_beli", zero).cast("double").alias("harga_beli_akhir"),
+        to_double(F.coalesce("harga_avg", zero), 2).alias("harga_avg"),
+    )
     return (
-        stock.join(priced, ITEM)
+        stock.join(priced.hint("shuffle_hash"), ITEM)
         .join(division_names(source), ["server_key", "kd_divisi"], "left")
         .select(
             "server_key",
             "kd_divisi",
             F.coalesce("divisi", "kd_divisi").alias("divisi"),
             "kd_barang",
-            or_blank(F.col("nama")).alias("barang"),
-            *[or_blank(F.col(c)).alias(c) for c in ("kategori", "merk", "model", "warna", "ukuran")],
+            "barang",
+            *["kategori", "merk", "model", "warna", "ukuran"],
             F.col("stok").cast("double").alias("stok_akhir"),
-            F.coalesce("harga_jual", zero).cast("double").alias("harga_jual"),
-            F.coalesce("harga_beli", zero).cast("double").alias("harga_beli_akhir"),
-            to_double(F.coalesce("harga_avg", zero), 2).alias("harga_avg"),
+            "harga_jual",
+            "harga_beli_akhir",
+            "harga_avg",
         )
     )
 

@@ -93,10 +93,19 @@ class SnapshotStore:
         return f"{self.root}/data/{folder}"
 
     def _write(self, rows: DataFrame) -> str:
-        """Write rows to a fresh folder, few files for each site, sorted by item so that a search skips row groups."""
+        """Write rows to a fresh folder, few files for each site, sorted by item so that a search skips row groups.
+
+        Dealing by ranges reads the rows twice, for a sample first. They are written as they come before, so that what
+        they are made of is computed once and the sample reads two columns of files.
+        """
         folder = uuid.uuid4().hex
-        dealt = rows.repartitionByRange("server_key", "kd_barang").sortWithinPartitions("server_key", "kd_barang")
+        unsorted = self._path(f"_{folder}")
+        rows.write.parquet(unsorted)
+        made = self.spark.read.schema(rows.schema).parquet(unsorted)
+        dealt = made.repartitionByRange("server_key", "kd_barang").sortWithinPartitions("server_key", "kd_barang")
         dealt.write.option("partitionOverwriteMode", "static").partitionBy("server_key").parquet(self._path(folder))
+        files, path = file_system(self.spark, unsorted)
+        files.delete(path, True)
         return folder
 
     def _read(self, pairs: Iterable[tuple[str, str]], columns: dict[str, str]) -> DataFrame:

@@ -267,6 +267,7 @@ class TestdataSource(Source):
         documents = (
             self._raw("lineitem")
             .where(lines)
+            .repartition("l_orderkey")  # One shuffle for the grouping and for the join with orders.
             .groupBy("l_orderkey", "l_suppkey")
             .agg({"l_shipdate": "max"})
         )
