@@ -92,20 +92,24 @@ class SnapshotStore:
     def _path(self, folder: str) -> str:
         return f"{self.root}/data/{folder}"
 
-    def _write(self, rows: DataFrame) -> str:
-        """Write rows to a fresh folder, few files for each site, sorted by item so that a search skips row groups.
+    def _write(self, rows: DataFrame, one_site: bool) -> str:
+        """Write rows to a fresh folder, sorted by item within each file so that a search skips row groups and pages.
 
-        Dealing by ranges reads the rows twice, for a sample first. They are written as they come before, so that what
-        they are made of is computed once and the sample reads two columns of files.
+        The rows of one site are written by the tasks that make them: nothing is dealt anew, and the rows are written once. Those of
+        several are dealt by ranges, as otherwise each task would write a file for every site. That reads the rows twice, for a sample
+        first, so they are written as they come before: what they are made of is computed once, and the sample reads two columns of files.
         """
-        folder = uuid.uuid4().hex
-        unsorted = self._path(f"_{folder}")
-        rows.write.parquet(unsorted)
-        made = self.spark.read.schema(rows.schema).parquet(unsorted)
-        dealt = made.repartitionByRange("server_key", "kd_barang").sortWithinPartitions("server_key", "kd_barang")
-        dealt.write.option("partitionOverwriteMode", "static").partitionBy("server_key").parquet(self._path(folder))
-        files, path = file_system(self.spark, unsorted)
-        files.delete(path, True)
+        folder, by_item = uuid.uuid4().hex, ["server_key", "kd_barang"]
+        made, unsorted = rows, None
+        if not one_site:
+            unsorted = self._path(f"_{folder}")
+            rows.write.parquet(unsorted)
+            made = self.spark.read.schema(rows.schema).parquet(unsorted).repartitionByRange(*by_item)
+        ordered = made.sortWithinPartitions(*by_item)
+        ordered.write.option("partitionOverwriteMode", "static").partitionBy("server_key").parquet(self._path(folder))
+        if unsorted is not None:
+            files, path = file_system(self.spark, unsorted)
+            files.delete(path, True)
         return folder
 
     def _read(self, pairs: Iterable[tuple[str, str]], columns: dict[str, str]) -> DataFrame:
@@ -114,9 +118,11 @@ class SnapshotStore:
         paths = sorted(f"{self._path(folder)}/server_key={_escaped(key)}" for key, folder in pairs)
         if not paths:
             return schemas.empty(self.spark, columns)
-        named = F.regexp_extract(F.col("_metadata.file_path"), "server_key=([^/]*)/[^/]*$", 1)
+        # Worked out for every row, so by plain searches; only a name with escaped characters is decoded.
+        named = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/server_key=", -1), "/", 1)
         # The path may be escaped once more, as a URI; a plus sign stands for itself.
-        plain = F.url_decode(F.url_decode(F.replace(named, F.lit("+"), F.lit("%252B"))))
+        decoded = F.url_decode(F.url_decode(F.replace(named, F.lit("+"), F.lit("%252B"))))
+        plain = F.when(F.contains(named, F.lit("%")), decoded).otherwise(named)
         rows = self.spark.read.schema(wanted).parquet(*paths)
         return rows.withColumn("server_key", plain).select(*columns)
 
@@ -208,7 +214,7 @@ class SnapshotStore:
         rows = snapshot.select(*schemas.SNAPSHOT)
         if server_keys is not None:
             rows = rows.where(F.col("server_key").isin(server_keys))
-        folder = self._write(rows)
+        folder = self._write(rows, server_keys is not None and len(server_keys) == 1)
         counts = self._counts(self._written(folder, schemas.SNAPSHOT))
         versions = {}
         for key in counts if server_keys is None else server_keys:
@@ -286,7 +292,7 @@ class SnapshotStore:
         folder, changed = None, {}
         if delta is not None:
             rows = delta.where(F.col("server_key").isin(keys))
-            folder = self._write(rows.select(*[F.col(c).cast(t).alias(c) for c, t in DELTA.items()]))
+            folder = self._write(rows.select(*[F.col(c).cast(t).alias(c) for c, t in DELTA.items()]), len(keys) == 1)
             # Keys the snapshot lacks are written too, but no reader takes them.
             changed = self._counts(matched(self._bases(keys), self._written(folder, DELTA)))
         rows = []
@@ -351,7 +357,7 @@ class SnapshotStore:
             state = self.state(server_key)
             if state is None:
                 raise LookupError(f"no snapshot of {server_key}; refresh first")
-            folder = self._write(self.read(server_key))
+            folder = self._write(self.read(server_key), True)
             version = state["version"] + 1
             # The last batch stays known, so that a stream that repeats it changes nothing.
             fresh = {"version": version, "step": 0, "kind": "compact", "folder": folder, "delta_rows": 0, "updated_keys": 0}
