@@ -85,7 +85,9 @@ def purchases_once(source: Source) -> Purchases:
         }
     )
     present = F.col("server_key").isNotNull() & F.col("moment").isNotNull()
-    return Purchases(known.where(present).repartition(*ITEM, "moment"))
+    # The one site of a source is a constant, which no join takes for a key; dealt by it too, all lines would be shuffled again for that join.
+    dealt = ITEM if source.server_key is None else ["kd_barang"]
+    return Purchases(known.where(present).repartition(*dealt, "moment"))
 
 
 def last_buy_price(source: Source) -> DataFrame:

@@ -242,20 +242,25 @@ class TestdataSource(Source):
         )
 
     def _order_header(self, key: str, lines: str) -> DataFrame:
-        """Header per order; the division is the customer's nation."""
+        """Header per order; the division is the customer's nation.
+
+        Orders and lines meet under the number of the document, so headers lie as a join with their lines wants them.
+        """
+        number = f"cast(o_orderkey AS string) AS {key}"
         arrived = (
             self._raw("lineitem")
             .where(lines)
-            .selectExpr("l_orderkey AS o_orderkey", "l_shipdate")
-            .groupBy("o_orderkey")
+            .selectExpr(f"{ORDER_KEY} AS {key}", "l_shipdate")
+            .groupBy(key)
             .agg({"l_shipdate": "max"})
         )
         return (
             self._orders()
-            .join(arrived, "o_orderkey", "left")
+            .selectExpr(number, "customer_site", "customer_divisi", "tanggal")
+            .join(arrived, key, "left")
             .selectExpr(
                 "customer_site AS server_key",
-                f"cast(o_orderkey AS string) AS {key}",
+                key,
                 "customer_divisi AS kd_divisi",
                 "tanggal",
                 "`max(l_shipdate)` AS tanggal_server",
