@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -153,16 +154,16 @@ class Transducer:
             path: list[tuple[int, list[tuple[int, int]]]] = []
             left, floor = tokens[-1] if tokens else last, begun
             while True:
-                ends, end = [], at + 1
-                while end <= size:
+                ends = []
+                for end in range(at + 1, size + 1):
                     found = known.get(text[at:end])
                     if found is None:
                         break
-                    if found[0] >= 0 and end > floor and end not in dead:
-                        ends.append((end, found[0]))
-                    if not found[1]:
+                    token, longer = found
+                    if token >= 0 and end > floor and end not in dead:
+                        ends.append((end, token))
+                    if not longer:
                         break
-                    end += 1
                 path.append((left, ends))
                 while path:
                     left, ends = path[-1]
@@ -197,8 +198,9 @@ class Transducer:
                 if full:
                     return ids + self._rest(state, piece[i:])
                 move = self._move(state, byte)
-            state = move[0]
-            ids += move[1]
+            state, out = move
+            if out:
+                ids += out
         return ids + list(self.states[state][2][-1][1])
 
 
@@ -258,7 +260,7 @@ class _Words(dict):
         ids: list[int] = []
         for piece in pieces:
             ids += self.codec.transducer.encode(piece.encode())
-        return self._kept(word, np.asarray(ids, dtype="<u4").tobytes())
+        return self._kept(word, struct.pack(f"<{len(ids)}I", *ids))
 
     def learn(self, words: list[str]) -> None:
         """Encode the words that are new, the pattern run once over all of them.
@@ -268,11 +270,12 @@ class _Words(dict):
         """
         new = [w for w in set(words) if w not in self and w not in self.older and len(w) <= 64]
         pieces = self.codec.pattern.findall(self.prefix + self.prefix.join(new)) if len(new) > 1 else []
-        starts = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        starts = [i for i, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and not p[1].isspace()]
         if new and len(starts) == len(new):
             for word, begin, end in zip(new, starts, [*starts[1:], len(pieces)], strict=True):
-                if "".join(pieces[begin:end]) == self.prefix + word:
-                    self._ids(word, pieces[begin:end])
+                own = pieces[begin:end]
+                if "".join(own) == self.prefix + word:
+                    self._ids(word, own)
 
 
 class Codec:
