@@ -19,14 +19,13 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from stockledger.llm.common import id_and_text, record, runs
+from stockledger.llm.common import held, id_and_text, record, runs
 
 MAX_STATES = 60_000
 MAX_WORDS = 600_000
@@ -315,10 +314,9 @@ class Codec:
         yield machine.close()
 
 
-@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each Python worker."""
-    return Codec(path, pattern)
+    """One codec for each Python worker and stage."""
+    return held(Codec, path, pattern)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
