@@ -21,6 +21,7 @@ for each text and piece.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import fresh, id_and_text, mixed, record, runs, written
+from stockledger.llm.common import fresh, id_and_text, mixed, offsets_of, record, runs, written
 from stockledger.llm.components import components
-from stockledger.llm.textstats import TextRun
 
 SHINGLE = 5
 CROWD = 16  # different sets in a piece, beyond which they are compared with centres first
 BLOCK = 2048  # members of a crowded piece in one block
 ROUNDS = 4  # in which members of crowded pieces are compared with the nearest of another component only
+FEW = 10  # pairs given for each link, beyond which these rounds are over
+FIRST = 8  # of its crowded pieces that go with a member, to tell pairs that meet elsewhere too
+AT_ONCE = 1 << 18  # pairs of sketches in one step of a comparison
 BROADCAST_IDS = 2_000_000  # 16 MB
 
 SETS = pa.schema(
@@ -47,18 +50,25 @@ HASHES = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; on short arrays much faster than the table of values that ``np.unique`` makes."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
-    text = TextRun([t.lower() for t in texts])
-    words = np.asarray([xxhash.xxh64_intdigest(w) for w in text.vocabulary], dtype=np.uint64)[text.ids]
+    split = [t.lower().split() for t in texts]
+    words_at = offsets_of([len(ws) for ws in split]).tolist()
+    words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), dtype=np.uint64, count=words_at[-1])
     joined = np.zeros(max(0, len(words) - size + 1), dtype=np.uint64)
     for k in range(size):
         joined = joined * np.uint64(0x9E3779B97F4A7C15) + mixed(words[k : k + len(joined)] + np.uint64(k + 1))
     joined = mixed(joined)
     out = []
-    for a, b in zip(text.words_at, text.words_at[1:], strict=False):
+    for a, b in zip(words_at, words_at[1:], strict=False):
         if b - a >= size:
-            out.append(np.unique(joined[a : b - size + 1]))
+            out.append(distinct(joined[a : b - size + 1]))
         elif b > a:
             out.append(np.asarray([xxhash.xxh64_intdigest(words[a:b].tobytes(), seed=int(b - a))], dtype=np.uint64))
         else:
@@ -97,6 +107,7 @@ def n_pieces(high: int) -> int:
 def pieces(hashes: np.ndarray) -> np.ndarray:
     """Keys of the pieces by which a set must be found: for each of its bands, the first D + 1."""
     n = len(hashes)
+    spread = mixed(hashes)
     largest, band = 4 * n // 3, n.bit_length()
     found = []
     for high, top in ((1 << band, min(largest, (1 << band) - 1)), (2 << band, largest)):
@@ -107,7 +118,7 @@ def pieces(hashes: np.ndarray) -> np.ndarray:
         at = ((hashes >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         size = np.diff(np.append(first, n)).astype(np.uint64)
-        parity = np.bitwise_xor.reduceat(mixed(hashes), first)
+        parity = np.bitwise_xor.reduceat(spread, first)
         key = mixed(parity + (at[first] << np.uint64(40)) + (size << np.uint64(20)) + np.uint64(high))
         rank = (key >> np.uint64(1)) | ((size == 1).astype(np.uint64) << np.uint64(63))
         if len(key) > differ + 1:
@@ -308,17 +319,21 @@ def linked(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_co
     links = written(verified(pairs, texts, size), "links")
     crowds = met.where("piece IS NOT NULL").select("piece", F.col("b").alias("d1")).distinct()
     crowds = written(crowds.join(named.select("d1", "node", "n"), "d1").drop("d1"), "crowds")
+    cards = written(with_first_pieces(crowds, named), "cards")
+    last = False
     for turn in range(ROUNDS + 1):
-        last, groups = turn == ROUNDS, components(links)
-        found = written(across(crowds, named, groups, nearest=not last), "across")
-        found = written(verified(found, texts, size), "links")
+        groups, last = components(links), last or turn == ROUNDS
+        given = written(across(crowds, cards, groups, nearest=not last).distinct(), "across")
+        found = written(verified(given, texts, size), "links")
         if found.isEmpty() and not last:
-            last, found = True, written(across(crowds, named, groups, nearest=False), "across")
-            found = written(verified(found, texts, size), "links")
+            last, given = True, written(across(crowds, cards, groups, nearest=False).distinct(), "across")
+            found = written(verified(given, texts, size), "links")
         links = links.unionByName(found)
         if last:
             groups = groups if found.isEmpty() else components(links)
             break
+        # Where hardly any pair links, components have grown together, and what is left is compared as a whole.
+        last = found.count() * FEW < given.count()
     owner = sets.drop("sketch").join(nodes, ["d1", "d2"], "left")
     groups = groups.withColumnRenamed("node", "of")
     return owner.join(groups, F.col("node") == F.col("of"), "left").select(
@@ -326,44 +341,87 @@ def linked(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_co
     )
 
 
-def across(crowds: DataFrame, sketches: DataFrame, groups: DataFrame, nearest: bool) -> DataFrame:
+def with_first_pieces(crowds: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, sketch, first) of the nodes of crowded pieces; ``first`` has the least ``FIRST`` of a node's crowded pieces, or -1 for lack of them."""
+    least = F.sort_array(F.collect_set("piece"))
+    lack = F.array_repeat(F.lit(-1).cast("long"), FIRST)
+    first = crowds.groupBy(F.col("node").alias("of")).agg(F.slice(F.concat(least, lack), 1, FIRST).alias("first"))
+    return sketches.select("node", "sketch").join(first, F.col("node") == F.col("of")).drop("of")
+
+
+def met_before(first: np.ndarray, x: np.ndarray, y: np.ndarray, piece: int) -> np.ndarray:
+    """Whether nodes ``x`` and ``y`` are known, by their first pieces, to share one below ``piece``."""
+    found = np.zeros(len(x), dtype=bool)
+    for k in range(first.shape[1]):
+        own = first[x, k]
+        # -1 stands for lack of pieces; should it be the key of one, a pair may be given twice.
+        found |= (own < piece) & (own != -1) & (first[y] == own[:, None]).any(axis=1)
+    return found
+
+
+def across(crowds: DataFrame, cards: DataFrame, groups: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (a, b) of a crowded piece (piece, node, n) that are in different components and may link.
 
     Pieces within one component are done with. Of the others, members are dealt in blocks, and every two blocks of a piece
-    are compared in a task of their own. With ``nearest`` each member gives one pair at most for a block it is compared
+    are compared in a task of their own. Near copies share very many pieces; a pair is left to the least of them, as far as the first pieces
+    of its nodes tell, so it is not given again for each, but may be given twice. With ``nearest`` each member gives one pair at most for a block it is compared
     with: that of the smallest distance.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows: list[tuple]) -> np.ndarray:
-        i, j, block, node, n, component, sketch = zip(*rows, strict=True)
-        block, node, n, component = map(np.asarray, (block, node, n, component))
+    def compare(rows: pa.Table) -> np.ndarray:
+        piece, i, j = (rows.column(k)[0].as_py() for k in range(3))
+        block, node, n, component = (rows.column(k).to_numpy() for k in range(3, 7))
+        sketch = [np.frombuffer(s.as_buffer(), dtype=np.uint8) for s in rows.column(7)]
         size = min(map(len, sketch))
-        bits = np.stack([folded(np.frombuffer(s, dtype=np.uint8), size) for s in sketch]).view(np.uint64)
-        here, there = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        bits = np.stack([folded(s, size) for s in sketch]).view(np.uint64).T.copy()
+        first = rows.column(8).combine_chunks().flatten().to_numpy().reshape(-1, FIRST)
+        group, sevenths = np.unique(component, return_inverse=True)[1].astype(np.int32), n.astype(np.int32)
+        here, there = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
-        for x in here:
-            others = there[there > x] if i[0] == j[0] and not nearest else there
-            others = others[component[others] != component[x]]
-            distance = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            able = np.flatnonzero(may_link(n[others], n[x], distance))
-            if nearest and len(able):
-                able = able[[distance[able].argmin()]]
-            y = others[able]
-            found.append(np.column_stack([np.full(len(y), node[x]), node[y]]))
+        step = max(1, AT_ONCE // max(1, len(there)))
+        for at in range(0, len(here), step):
+            x = here[at : at + step]
+            distance = np.zeros((len(x), len(there)), dtype=np.int32)
+            for word in bits:
+                distance += np.bitwise_count(word[x, None] ^ word[there])
+            distance *= 7
+            able = distance <= sevenths[x, None] + sevenths[there]
+            able &= group[x, None] != group[there]
+            if i == j and not nearest:
+                able &= there > x[:, None]
+            row, column = np.nonzero(able)
+            new = may_link(n[x[row]], n[there[column]], distance[row, column] // 7)
+            new &= ~met_before(first, x[row], there[column], piece)
+            row, column = row[new], column[new]
+            if nearest:
+                order = np.lexsort((distance[row, column], row))
+                row, column = row[order], column[order]
+                best = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+                row, column = row[best], column[best]
+            found.append(np.column_stack([node[x[row]], node[there[column]]]))
         return np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), dtype=np.int64)
 
     def run(batches):
-        key, rows = None, []
+        key, parts = None, []
+
+        def done():
+            return record(schema, *np.unique(compare(pa.Table.from_batches(parts)), axis=0).T)
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if rows:
-                        yield record(schema, *np.unique(compare(rows), axis=0).T)
-                    key, rows = row[:3], []
-                rows.append(row[1:])
-        if rows:
-            yield record(schema, *np.unique(compare(rows), axis=0).T)
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+                own = tuple(keys[start].tolist())
+                if own != key:
+                    if parts:
+                        yield done()
+                    key, parts = own, []
+                parts.append(batch.slice(start, end - start))
+        if parts:
+            yield done()
 
     groups = groups.withColumnRenamed("node", "of")
     known = crowds.join(groups, F.col("node") == F.col("of"), "left").drop("of")
@@ -372,13 +430,13 @@ def across(crowds: DataFrame, sketches: DataFrame, groups: DataFrame, nearest: b
         F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
     )
     open_ = open_.where("low < high").drop("low", "high")
-    dealt = known.join(open_, "piece").join(sketches.select("node", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = known.join(open_, "piece").join(cards, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "piece", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "sketch"
+        "piece", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "sketch", "first"
     )
     dealt = dealt.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def representatives(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
