@@ -20,13 +20,15 @@ each document has counted its own words.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import id_and_text, record, runs, written
+from stockledger.llm.common import id_and_text, offsets_of, record, runs, written
 from stockledger.llm.quality import held_out
 
 OWN = 1536
@@ -66,14 +68,13 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     """(word, n) over all texts; each task adds up what it can hold before the shuffle."""
 
     def run(batches):
-        found: dict[bytes, int] = {}
+        found: Counter[bytes] = Counter()
         for _, part in runs(batches):
             for text in part:
-                for word in tokens_of(text):
-                    found[word] = found.get(word, 0) + 1
+                found.update(tokens_of(text))
             if len(found) > flush:
                 yield record(COUNTS, list(found), list(found.values()))
-                found = {}
+                found.clear()
         if found:
             yield record(COUNTS, list(found), list(found.values()))
 
@@ -128,37 +129,51 @@ class Symbols(dict):
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
-def pair_counts(texts: DataFrame, own: list[bytes], classes: int, flush: int = 1 << 21) -> DataFrame:
+class Places(dict):
+    """Place of each word in the head, from 0; of any other word -1 less its class. Words looked up once are remembered, up to a bound."""
+
+    def __init__(self, head: list[bytes], classes: int):
+        super().__init__({w: i for i, w in enumerate(head)})
+        self.most, self.classes = len(head) + 400_000, classes
+
+    def __missing__(self, word: bytes) -> int:
+        place = -1 - class_of(word, self.classes)
+        if len(self) < self.most:
+            self[word] = place
+        return place
+
+
+def tokens_in(part: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Tokens of some texts in a row, and where each text begins."""
+    tokens = [tokens_of(text) for text in part]
+    return list(chain.from_iterable(tokens)), offsets_of([len(t) for t in tokens])[:-1]
+
+
+def before_of(after: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+    """The symbol before each; ``start`` at the beginning of a text."""
+    before = np.roll(after, 1)
+    before[starts] = start
+    return before
+
+
+def pair_counts(texts: DataFrame, own: list[bytes], classes: int, flush: int = 3 << 20) -> DataFrame:
     """(pair, n) of neighbouring symbols over all texts: before * (symbols + 1) + after; every text begins after the start symbol."""
     shared = texts.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):
         symbols = Symbols(shared.value, classes)
         width = symbols.start + 1
-        keys, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         found, size = [], 0
-
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            new, times = np.unique(np.concatenate(found), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return both, np.bincount(at, weights=np.concatenate([n, times]), minlength=len(both)).astype(np.int64)
-
         for _, part in runs(batches):
-            for text in part:
-                after = symbols.of(tokens_of(text))
-                before = np.concatenate([[symbols.start], after[:-1]])
-                found.append(before * width + after)
-                size += len(after)
+            tokens, starts = tokens_in(part)
+            after = symbols.of(tokens)
+            found.append(before_of(after, starts, symbols.start) * width + after)
+            size += len(after)
             if size >= flush:
-                keys, n = added()
+                yield record(PAIRS, *np.unique(np.concatenate(found), return_counts=True))
                 found, size = [], 0
-                if len(keys) >= flush:
-                    yield record(PAIRS, keys, n)
-                    keys, n = keys[:0], n[:0]
         if found:
-            keys, n = added()
-        if len(keys):
-            yield record(PAIRS, keys, n)
+            yield record(PAIRS, *np.unique(np.concatenate(found), return_counts=True))
 
     return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -240,16 +255,21 @@ def train(
     # The noise symbols of a step are shared by its pairs, which makes their scores one matrix product.
     share = np.float32(1 / 8)
 
-    def step(which: int, values: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        used, first = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(gradient[order], first, axis=0)
+    small = np.uint16 if symbols < 1 << 16 else np.int64  # short numbers are sorted by their digits
+
+    def sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different rows, the sum of the gradients of each, and how many there are."""
+        order = np.argsort(rows.astype(small), kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        return rows[first], np.add.reduceat(gradient[order], first, axis=0), np.diff(np.append(first, len(rows)))
+
+    def step(which: int, values: np.ndarray, used: np.ndarray, total: np.ndarray) -> None:
         past = model.past[which]
-        past[used] += total**2 if total.ndim == 1 else (total**2).mean(axis=1)
-        scale = rate / np.sqrt(past[used])
+        now = past[used] + (total**2 if total.ndim == 1 else np.einsum("ij,ij->i", total, total) / np.float32(SIZE))
+        past[used] = now
+        scale = rate / np.sqrt(now)
         values[used] += total * (scale if total.ndim == 1 else scale[:, None])
-        if which < 2:
-            model.uses[which][used] += np.diff(np.append(first, len(rows)))
 
     pairs, weights = visits_of(np.asarray(n, dtype=np.float64))
     few = -(-batch // len(pairs))
@@ -262,11 +282,21 @@ def train(
             false = np.searchsorted(noise_ends, draw.random(noise * 8)).clip(max=symbols - 1)
             c, t, f = contexts[u], targets[w], targets[false]
             right = much / (1 + np.exp((c * t).sum(axis=1) + bias[w] - odds[w]))
-            wrong = -share * much[:, None] / (1 + np.exp(-(c @ f.T + bias[false] - odds[false])))
-            rows = np.concatenate([w, false])
-            step(0, contexts, u, right[:, None] * t + wrong @ f)
-            step(1, targets, rows, np.concatenate([right[:, None] * c, wrong.T @ c]))
-            step(2, bias, rows, np.concatenate([right, wrong.sum(axis=0)]))
+            wrong = c @ f.T
+            np.subtract(odds[false] - bias[false], wrong, out=wrong)
+            np.exp(wrong, out=wrong)
+            wrong += 1
+            np.divide(-share * much[:, None], wrong, out=wrong)
+            used, total, times = sums(u, right[:, None] * t + wrong @ f)
+            step(0, contexts, used, total)
+            model.uses[0][used] += times
+            both = np.empty((len(w) + len(false), SIZE + 1), dtype=np.float32)  # of targets and biases
+            both[: len(w), :SIZE], both[: len(w), SIZE] = right[:, None] * c, right
+            both[len(w) :, :SIZE], both[len(w) :, SIZE] = wrong.T @ c, wrong.sum(axis=0)
+            used, total, times = sums(np.concatenate([w, false]), both)
+            step(1, targets, used, total[:, :SIZE])
+            step(2, bias, used, total[:, SIZE])
+            model.uses[1][used] += times
     return model.parameters()
 
 
@@ -398,28 +428,35 @@ def scored(
     def run(batches):
         head_counts, first, normal, class_logs = shared.value
         contexts, targets, bias = parameters_.value
-        known = {w: np.log(c + 0.5) for w, c in head_counts}
-        symbols_ = Symbols([w for w, _ in head_counts[:first]], classes)
-        row = 0
+        places = Places([w for w, _ in head_counts], classes)
+        # Of the head's words the symbol and the log of the count.
+        symbol = np.asarray([i if i < first else first + class_of(w, classes) for i, (w, _) in enumerate(head_counts)] or [0], dtype=np.int64)
+        log = np.log(np.asarray([c for _, c in head_counts] or [0], dtype=float) + 0.5)
+        start, row = first + classes, 0
         for ids, part in runs(batches):
-            rows = []
-            for doc_id, text in zip(ids, part, strict=True):
-                tokens = tokens_of(text)
-                after = symbols_.of(tokens)
-                before = np.concatenate([[symbols_.start], after[:-1]])
-                logs = np.fromiter((known.get(w, -1.0) for w in tokens), dtype=float, count=len(tokens))
-                rare = logs < 0  # not in the head; a known word's log is above 0
-                in_class = after >= first
-                base = logs[~rare].sum()
-                model_ = float(np.einsum("ij,ij->i", contexts[before], targets[after]).sum(dtype=np.float64))
-                model_ += float(bias[after].sum(dtype=np.float64) - normal[before].sum()) - class_logs[after[in_class] - first].sum()
-                model_ += logs[in_class & ~rare].sum()
-                times: dict[bytes, int] = {}
-                for i in np.flatnonzero(rare):
-                    times[tokens[i]] = times.get(tokens[i], 0) + 1
-                rows.append((doc_id, row, len(tokens), int((~rare).sum()), base, model_, list(times), list(times.values())))
-                row += 1
-            yield record(PARTS, *map(list, zip(*rows, strict=True)))
+            tokens, starts = tokens_in(part)
+            place = np.fromiter(map(places.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            rare = place < 0  # not in the head
+            known = np.where(rare, 0, place)
+            after = np.where(rare, first - 1 - place, symbol[known])
+            before = before_of(after, starts, start)
+            logs = np.where(rare, 0.0, log[known])
+            model_ = bias[after].astype(float) - normal[before]
+            for at in range(0, len(tokens), 1 << 13):
+                some = slice(at, at + (1 << 13))
+                model_[some] += np.einsum("ij,ij->i", contexts[before[some]], targets[after[some]])
+            in_class = np.flatnonzero(after >= first)
+            model_[in_class] += logs[in_class] - class_logs[after[in_class] - first]
+            ends = np.append(starts[1:], len(tokens))
+            unknown = np.flatnonzero(rare)
+            cuts = np.searchsorted(unknown, np.append(starts, len(tokens))).tolist()
+            words = list(map(tokens.__getitem__, unknown.tolist()))
+            times = [Counter(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield record(
+                PARTS, ids, np.arange(row, row + len(ids)), ends - starts, ends - starts - np.diff(cuts), np.add.reduceat(logs, starts),
+                np.add.reduceat(model_, starts), [list(x) for x in times], [list(x.values()) for x in times],
+            )
+            row += len(ids)
 
     parts = texts.mapInArrow(
         run,
