@@ -13,7 +13,7 @@ verified: first by folded sketches of a few bits for each shingle, which every t
 
 Equal sets are one node from the start, so copies never form pairs. In a piece that many different
 sets share, all are compared with a few centres at first. Those left in other components are then compared sketch by sketch, in blocks:
-for some rounds, in which most components grow together, only the nearest set of another component is
+for some rounds, while components grow together, only the nearest set of another component is
 verified, and at last all that may link and still are in different components. So no link between different texts is lost, and groups of near copies cost one comparison
 for each text and piece.
 """
