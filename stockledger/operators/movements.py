@@ -131,7 +131,7 @@ def document_lines(
     heads = heads.select("server_key", key, "tanggal", "tanggal_server", *header)
     lines = source.table(f"{name}_detail")
     if lines.isStreaming and heads.isStreaming:
-        return joined_streams(lines, heads, ["server_key", key], source.wait)
+        return joined_streams(lines, heads, ["server_key", key], source.wait, source.carried)
     return lines.join(heads, ["server_key", key])
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from datetime import date, datetime, timezone
 from urllib.parse import quote
 
@@ -112,8 +112,8 @@ class SnapshotStore:
             files.delete(path, True)
         return folder
 
-    def _read(self, pairs: Iterable[tuple[str, str]], columns: dict[str, str]) -> DataFrame:
-        """Rows of (site, folder) pairs as one relation, whatever their number; the site is read off the path."""
+    def _read(self, pairs: Sequence[tuple[str, str]], columns: dict[str, str]) -> DataFrame:
+        """Rows of (site, folder) pairs as one relation, whatever their number; the site is read off the path where there are several."""
         wanted = schemas.ddl({c: t for c, t in columns.items() if c != "server_key"})
         paths = sorted(f"{self._path(folder)}/server_key={_escaped(key)}" for key, folder in pairs)
         if not paths:
@@ -123,8 +123,9 @@ class SnapshotStore:
         # The path may be escaped once more, as a URI; a plus sign stands for itself.
         decoded = F.url_decode(F.url_decode(F.replace(named, F.lit("+"), F.lit("%252B"))))
         plain = F.when(F.contains(named, F.lit("%")), decoded).otherwise(named)
-        rows = self.spark.read.schema(wanted).parquet(*paths)
-        return rows.withColumn("server_key", plain).select(*columns)
+        rows, sites = self.spark.read.schema(wanted).parquet(*paths), {key for key, _ in pairs}
+        site = F.lit(next(iter(sites))) if len(sites) == 1 else plain  # The paths of one site need no reading.
+        return rows.withColumn("server_key", site).select(*columns)
 
     def _written(self, folder: str, columns: dict[str, str]) -> DataFrame:
         return self.spark.read.schema(schemas.ddl(columns)).parquet(self._path(folder))
@@ -294,7 +295,8 @@ class SnapshotStore:
             rows = delta.where(F.col("server_key").isin(keys))
             folder = self._write(rows.select(*[F.col(c).cast(t).alias(c) for c, t in DELTA.items()]), len(keys) == 1)
             # Keys the snapshot lacks are written too, but no reader takes them.
-            changed = self._counts(matched(self._bases(keys), self._written(folder, DELTA)))
+            written = self._written(folder, DELTA)
+            changed = {} if written.isEmpty() else self._counts(matched(self._bases(keys), written))
         rows = []
         for key in keys:
             state, covered = states[key], covered_until(key) if covered_until else None

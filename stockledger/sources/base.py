@@ -27,6 +27,8 @@ class Source:
     compulsory = frozenset({"m_barang"})
     #: How long streamed lines and headers of a document wait for each other, as "30 days"; None: for good.
     wait: str | None = None
+    #: Columns streamed lines and headers keep while they wait, besides the document's key; None: all.
+    carried: frozenset[str] | None = None
 
     def __init__(self, spark: SparkSession, server_key: str | None, on_missing: str = "error"):
         if on_missing not in ("error", "empty"):

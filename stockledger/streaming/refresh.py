@@ -8,6 +8,7 @@ the base of a version holds all documents up to its refresh moment, its changes
 
 from __future__ import annotations
 
+import copy
 import json
 from collections.abc import Sequence
 
@@ -24,6 +25,9 @@ from stockledger.sinks.snapshot_store import ATTEMPTS, Conflict, SnapshotStore
 from stockledger.sources.base import Source
 from stockledger.streaming.documents import state_on_disk
 
+# Columns of lines and headers that a refresh adds up, or adds up by.
+ADDED_UP = frozenset({"kd_barang", "qty", "kd_satuan", "kd_divisi", "kd_divisi_asal", "kd_divisi_tujuan", "tanggal_server"})
+
 
 def full_refresh(
     store: SnapshotStore,
@@ -155,6 +159,8 @@ def stream_refresh(
     spark = store.spark
     policy = DELTA_POLICY.only(*[b for b in DELTA_POLICY.branches if b.table in kinds])
     # What a refresh does not add up has no place in the state of a stream of headers either.
+    feed = copy.copy(feed)
+    feed.carried = ADDED_UP
     rows = delta_movements(feed, window, policy).withColumnRenamed("sumber", "source").select(*DELTA, "tanggal_server")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
